@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import op9_quality_rules
+from . import op1_bpe, op8_mixing, op9_quality_rules
 
 
 def queries() -> dict:
-    return {"op9_quality_rules": op9_quality_rules.query}
+    return {"op1_bpe": op1_bpe.query, "op8_mixing": op8_mixing.query, "op9_quality_rules": op9_quality_rules.query}
 
 
 def oracle_sql() -> dict:
-    return {"op9_quality_rules": op9_quality_rules.SQL}
+    return {"op8_mixing": op8_mixing.SQL, "op9_quality_rules": op9_quality_rules.SQL}
