@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import op1_bpe, op8_mixing, op9_quality_rules
+from . import op1_bpe, op3_token_files, op5_pii, op7_quality, op8_mixing, op9_quality_rules, op10_token_counts
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe.query, "op8_mixing": op8_mixing.query, "op9_quality_rules": op9_quality_rules.query}
+    return {"op1_bpe": op1_bpe.query, "op3_token_files": op3_token_files.query, "op5_pii": op5_pii.query, "op7_quality": op7_quality.query, "op8_mixing": op8_mixing.query, "op9_quality_rules": op9_quality_rules.query, "op10_token_counts": op10_token_counts.query}
 
 
 def oracle_sql() -> dict:
