@@ -58,6 +58,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = cut(e.distinct())
     nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     e = e.filter("a <> b")
+    if e.isEmpty():
+        return nodes.select("node", F.col("node").alias("component"))
     mark = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
