@@ -2,10 +2,447 @@
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import html, scoring, stem, text, urls
+from ..operators import crawl, graph, index, search, spell
+from ..sources import tables
+from ..streaming import ingest
+
+QUERY = ["adoci", "aiai", "aiou", "aitre"]
+VECTOR_ID = 7
+CENTRE = 3
+_QUERIES: dict = {}
+_SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return keep
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_SQL)
+
+
+# What several queries read -------------------------------------------------------------------
+
+
+def t(spark, d, name) -> DataFrame:
+    return tables.table(spark, d, name)
+
+
+def tokens(spark, d) -> DataFrame:
+    return index.document_tokens(t(spark, d, "documents").select("doc_id", "text"))
+
+
+def page_table(spark, d) -> DataFrame:
+    """page_id, url (normalised), title and heading of the pages, the last of each URL."""
+    rows = t(spark, d, "pages").select("page_id", urls.normalized(F.col("url")).alias("url"), F.regexp_extract("html", "<title[^>]*>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1).alias("heading"))
+    return index.latest(rows, "url", "page_id")
+
+
+def host_links(spark, d) -> DataFrame:
+    """Links among pages of a host: to its first page and to the next one."""
+    p = t(spark, d, "pages").select("page_id", urls.hostname(F.col("url")).alias("host"))
+    first = p.groupBy("host").agg(F.min("page_id").alias("to_page_id"))
+    a = p.join(first, "host").select(F.col("page_id").alias("from_page_id"), "to_page_id")
+    b = p.select(F.col("page_id").alias("from_page_id"), F.lead("page_id").over(Window.partitionBy("host").orderBy("page_id")).alias("to_page_id")).filter("to_page_id IS NOT NULL")
+    return a.unionByName(b).distinct()
+
+
+STOP = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
+NORM = "regexp_replace(lower({0}), '[^a-zA-Z0-9]+', ' ', 'g')"
+WORDS = "list_filter(string_split(" + NORM + ", ' '), lambda x: length(x) >= 2)"
+TOKENS = f"tok AS (SELECT doc_id AS page_id, unnest(list_filter({WORDS.format('text')}, lambda x: NOT list_contains({STOP}, x))) AS term FROM documents)"
+POSTINGS = TOKENS + ", post AS (SELECT term, page_id, count(*)::FLOAT AS tf FROM tok GROUP BY ALL), terms AS (SELECT term, count(*) AS df FROM post GROUP BY term), len AS (SELECT page_id, count(*) AS doc_length FROM tok GROUP BY page_id), stats AS (SELECT count(*) AS n, avg(doc_length) AS avg_len FROM len)"
+IN_QUERY = "(" + ", ".join(f"'{w}'" for w in QUERY) + ")"
+SCORES = POSTINGS + f""", scores AS (SELECT page_id, term, tf, df, doc_length,
+  ln((n - df + 0.5) / (df + 0.5)) * (tf::DOUBLE * 2.2 / (tf::DOUBLE + 1.2 * (0.3 + 0.7 * (doc_length::DOUBLE / avg_len)))) AS score
+  FROM post JOIN terms USING (term) JOIN len USING (page_id), stats WHERE term IN {IN_QUERY} AND df > 1 AND df < 25000)"""
+URL = r"'^([A-Za-z][A-Za-z0-9+.-]*):(?://([^/?#]*))?([^?#]*)'"
+HOST = f"nullif(lower(regexp_replace(regexp_replace(regexp_extract({{0}}, {URL}, 2), '^.*@', ''), ':[0-9]*$', '')), '')"
+NURL = f"""CASE WHEN regexp_extract({{0}}, {URL}, 1) <> '' THEN lower(regexp_extract({{0}}, {URL}, 1)) || '://' || regexp_extract(regexp_extract({{0}}, {URL}, 2), '^(.*@)?(.*)$', 1)
+  || regexp_replace(lower(regexp_extract(regexp_extract({{0}}, {URL}, 2), '^(.*@)?(.*)$', 2)), CASE lower(regexp_extract({{0}}, {URL}, 1)) WHEN 'http' THEN ':80$' WHEN 'https' THEN ':443$' ELSE '^$' END, '')
+  || regexp_replace(regexp_extract({{0}}, {URL}, 3), '/$', '') END"""
+PAGES = f"""pt AS (SELECT page_id, url, title, heading FROM (SELECT page_id, {NURL.format('url')} AS url, regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1) AS title,
+  regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS heading FROM pages) QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1)"""
+LINKS = f"""hp AS (SELECT page_id, {HOST.format('url')} AS host FROM pages),
+links AS (SELECT page_id AS from_page_id, m AS to_page_id FROM hp JOIN (SELECT host, min(page_id) AS m FROM hp GROUP BY host) USING (host)
+  UNION SELECT page_id, nx FROM (SELECT page_id, lead(page_id) OVER (PARTITION BY host ORDER BY page_id) AS nx FROM hp) WHERE nx IS NOT NULL)"""
+PLAIN = "replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+COUNTS = "counts AS (SELECT to_page_id AS page_id, count(*) AS backlink_count FROM links WHERE to_page_id <> from_page_id GROUP BY to_page_id)"
+DOT = "list_sum(list_transform(list_zip({0}::DOUBLE[], {1}::DOUBLE[]), lambda z: z[1] * z[2]))"
+DIST = f"1 - {DOT.format('e.embedding', 'q.embedding')} / (sqrt({DOT.format('e.embedding', 'e.embedding')}) * sqrt({DOT.format('q.embedding', 'q.embedding')}))"
+NEAR = f"near AS (SELECT e.vec_id AS page_id, {DIST} AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {VECTOR_ID}) q WHERE e.embedding IS NOT NULL ORDER BY 2, 1 LIMIT 100)"
+FUSED = """bm AS (SELECT page_id, sum(score) AS s FROM scores GROUP BY page_id ORDER BY 2 DESC, 1 LIMIT 100),
+bmr AS (SELECT page_id, row_number() OVER (ORDER BY s DESC, page_id) AS r FROM bm),
+ver AS (SELECT page_id, row_number() OVER (ORDER BY distance, page_id) AS r FROM near),
+fused AS (SELECT coalesce(bmr.page_id, ver.page_id) AS page_id, bmr.r AS br, ver.r AS vr,
+  coalesce(1.0::DOUBLE / (bmr.r - 1 + 60), 0) + coalesce(1.0::DOUBLE / (ver.r - 1 + 60), 0) AS rrf,
+  CASE WHEN ver.r IS NULL THEN 'bm25' WHEN bmr.r IS NULL THEN 'embedding' ELSE 'both' END AS type, coalesce(bmr.r, ver.r + 1000000000) AS ord
+  FROM bmr FULL JOIN ver ON bmr.page_id = ver.page_id)"""
+
+
+# URLs, pages, links --------------------------------------------------------------------------
+
+
+@query("url_normalize", f"SELECT page_id, {NURL.format('url')} AS norm_url FROM pages")
+def _(spark, d):
+    return t(spark, d, "pages").select("page_id", urls.normalized(F.col("url")).alias("norm_url"))
+
+
+@query("url_host_words", f"SELECT page_id, w FROM (SELECT page_id, unnest({WORDS.format(HOST.format('url'))}) AS w FROM pages)")
+def _(spark, d):
+    return t(spark, d, "pages").select("page_id", F.explode(text.normalized_words(urls.hostname(F.col("url")))).alias("w"))
+
+
+@query("url_dedup_upsert", f"WITH {PAGES} SELECT page_id, url, title, heading FROM pt")
+def _(spark, d):
+    return page_table(spark, d)
+
+
+_CRAWL = f"""lower(regexp_extract(u, {URL}, 1)) IN ('http', 'https') AND NOT list_contains({list(urls.BLOCKED_HOSTS)}, h)
+  AND (NOT contains(h, 'wikipedia') OR (starts_with(h || regexp_extract(u, {URL}, 3), 'en.wikipedia.org/wiki/')
+  AND NOT list_contains({list(urls.BLOCKED_NAMESPACES)}, string_split(regexp_replace(regexp_extract(u, {URL}, 3), '^/wiki/', ''), ':')[1])))"""
+_CASES = ("https://en.wikipedia.org/wiki/B", "https://en.wikipedia.org/wiki/B#s", "https://en.wikipedia.org/wiki/Talk:C", "https://en.wikipedia.org/wiki/User_talk:C", "https://en.wikipedia.org/wiki/Main_Page", "mailto:x@y", "https://www.google.com/q", "https://fr.wikipedia.org/wiki/D", "ftp://a.org/x", "http://a.org/x")
+
+
+@query("link_filter", f"SELECT u AS url, coalesce({_CRAWL}, false) AS crawlable FROM (SELECT u, regexp_replace(regexp_replace(regexp_extract(u, {URL}, 2), '^.*@', ''), ':[0-9]*$', '') AS h FROM (SELECT unnest({list(_CASES)}) AS u UNION ALL SELECT url FROM pages))")
+def _(spark, d):
+    rows = spark.createDataFrame([(u,) for u in _CASES], "url string").unionByName(t(spark, d, "pages").select("url"))
+    return rows.select("url", F.coalesce(urls.crawlable(F.col("url")), F.lit(False)).alias("crawlable"))
+
+
+_FOUND = f"""found AS (SELECT DISTINCT page_id, {NURL.format('u')} AS to_url FROM (SELECT page_id, regexp_extract(url, '^([^/]*//[^/?#]*)', 1) || unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS u FROM pages))"""
+
+
+@query("link_extract", f"WITH {_FOUND} SELECT page_id, to_url FROM found")
+def _(spark, d):
+    return index.links_found(html.with_records(t(spark, d, "pages")))
+
+
+@query("blank_pages", f"WITH {_FOUND} SELECT DISTINCT to_url AS url FROM found WHERE to_url NOT IN (SELECT {NURL.format('url')} FROM pages)")
+def _(spark, d):
+    return index.blank_pages(index.links_found(html.with_records(t(spark, d, "pages"))), page_table(spark, d))
+
+
+@query("title_extract", f"SELECT page_id, {PLAIN.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title FROM pages")
+def _(spark, d):
+    return html.with_records(t(spark, d, "pages")).select("page_id", "title")
+
+
+@query("heading_build", f"SELECT page_id, array_to_string(list_filter(list_transform(string_split({PLAIN.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")}, ' '), lambda x: trim(x)), lambda x: x <> ''), ' ') || '..' AS heading FROM pages")
+def _(spark, d):
+    return index.headings(t(spark, d, "pages"))
+
+
+@query("page_lookup", "SELECT page_id, url FROM pages WHERE page_id = 5")
+def _(spark, d):
+    return t(spark, d, "pages").filter("page_id = 5").select("page_id", "url")
+
+
+@query("page_by_url", "SELECT page_id, url FROM pages WHERE url = (SELECT max(url) FROM pages)")
+def _(spark, d):
+    p = t(spark, d, "pages").select("page_id", "url")
+    return p.join(F.broadcast(p.agg(F.max("url").alias("url"))), "url", "left_semi")
+
+
+@query("hydrate", f"WITH {PAGES} SELECT page_id, url, title, heading FROM pt WHERE page_id IN (1, 4, 9, 16)")
+def _(spark, d):
+    return page_table(spark, d).filter(F.col("page_id").isin(1, 4, 9, 16))
+
+
+@query("result_display", f"SELECT page_id, regexp_replace({HOST.format('url')}, '^www\\.', '') AS domain, CASE WHEN page_id % 3 = 0 THEN regexp_replace({HOST.format('url')}, '^www\\.', '') ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END AS shown_title FROM pages")
+def _(spark, d):
+    title = F.when(F.col("page_id") % 3 != 0, F.regexp_extract("html", "<title>([^<]*)</title>", 1)).otherwise("")
+    return t(spark, d, "pages").select("page_id", urls.display_domain(F.col("url")).alias("domain"), urls.display_title(title, F.col("url")).alias("shown_title"))
+
+
+# The index ------------------------------------------------------------------------------------
+
+
+@query("tokenize_clean", f"WITH {TOKENS} SELECT page_id, term, count(*) AS n FROM tok GROUP BY ALL")
+def _(spark, d):
+    return tokens(spark, d).groupBy("page_id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("doc_length", "SELECT doc_id AS page_id, len(list_filter(list_transform(string_split(text, ' '), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''))::INTEGER AS doc_length FROM documents")
+def _(spark, d):
+    return t(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.size(text.tag_tokens(F.col("text"))).alias("doc_length"))
+
+
+@query("postings_tf", f"WITH {POSTINGS} SELECT term, page_id, tf FROM post")
+def _(spark, d):
+    return index.postings(tokens(spark, d))
+
+
+@query("weighted_tf_tags")
+def _(spark, d):
+    return index.postings(index.page_words(index.page_tag_tokens(t(spark, d, "pages"))), "stem")
+
+
+@query("terms_df", f"WITH {POSTINGS} SELECT term, df FROM terms")
+def _(spark, d):
+    return index.terms(index.postings(tokens(spark, d)))
+
+
+@query("terms_merged", f"WITH {POSTINGS} SELECT term, df FROM terms")
+def _(spark, d):
+    post = index.postings(tokens(spark, d))
+    half = lambda r: index.terms(post.filter(F.col("page_id") % 2 == r))
+    return index.merged_terms(half(0), half(1))
+
+
+@query("vocab_filtered")
+def _(spark, d):
+    words = index.page_words(index.page_tag_tokens(t(spark, d, "pages")))
+    return index.vocabulary(words, index.terms(index.postings(words, "stem")))
+
+
+@query("stem_vocab")
+def _(spark, d):
+    return tokens(spark, d).select(F.col("term").alias("word")).distinct().withColumn("stem", stem.stem_column("word"))
+
+
+@query("corpus_stats", f"WITH {POSTINGS} SELECT n AS total_documents, round(avg_len, 6) AS avg_doc_length FROM stats")
+def _(spark, d):
+    return index.corpus_stats(index.doc_lengths(tokens(spark, d))).select("total_documents", F.round("avg_doc_length", 6).alias("avg_doc_length"))
+
+
+@query("length_buckets", f"WITH {POSTINGS} SELECT length(term)::INTEGER AS len, count(*) AS n_words FROM terms WHERE df > 2 GROUP BY 1")
+def _(spark, d):
+    return index.terms(index.postings(tokens(spark, d))).filter("df > 2").groupBy(F.length("term").alias("len")).agg(F.count(F.lit(1)).alias("n_words"))
+
+
+# Ranking --------------------------------------------------------------------------------------
+
+
+def _tables(spark, d) -> dict:
+    tok = tokens(spark, d)
+    post, lengths = index.postings(tok), index.doc_lengths(tok)
+    return {
+        "postings": post, "terms": index.terms(post), "lengths": lengths, "stats": index.corpus_stats(lengths),
+        "vectors": t(spark, d, "embeddings").select(F.col("vec_id").alias("page_id"), "embedding"),
+        "links": host_links(spark, d), "pages": page_table(spark, d),
+    }
+
+
+def _scores(spark, d):
+    x = _tables(spark, d)
+    return search.posting_scores(x["postings"], x["terms"], x["lengths"], x["stats"], QUERY)
+
+
+def _vector(spark, d):
+    return t(spark, d, "embeddings").filter(F.col("vec_id") == VECTOR_ID).select(F.col("embedding").alias("q"))
+
+
+@query("idf", f"WITH {POSTINGS} SELECT term, round(ln((n - df + 0.5) / (df + 0.5)), 6) AS idf FROM terms, stats")
+def _(spark, d):
+    x = _tables(spark, d)
+    return x["terms"].crossJoin(F.broadcast(x["stats"])).select("term", F.round(scoring.idf(F.col("total_documents"), F.col("df")), 6).alias("idf"))
+
+
+@query("bm25_posting", f"WITH {SCORES} SELECT page_id, term, tf, df, round(score, 6) AS score FROM scores")
+def _(spark, d):
+    return _scores(spark, d).select("page_id", "term", "tf", "df", F.round("score", 6).alias("score"))
+
+
+@query("bm25_topk", f"WITH {SCORES} SELECT page_id, round(s, 6) AS bm25_score FROM (SELECT page_id, sum(score) AS s FROM scores GROUP BY page_id) ORDER BY 2 DESC, 1 LIMIT 10")
+def _(spark, d):
+    return search.bm25_top(_scores(spark, d), 10).select("page_id", F.round("bm25_score", 6).alias("bm25_score"))
+
+
+@query("cosine_topk", f"WITH {NEAR} SELECT page_id AS vec_id, round(distance, 6) AS distance FROM near")
+def _(spark, d):
+    return search.nearest(t(spark, d, "embeddings"), _vector(spark, d), 100).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("image_topk", f"WITH {NEAR} SELECT n.page_id AS image_id, 'image ' || e.label AS alt_text, round(distance, 6) AS distance FROM near n JOIN embeddings e ON e.vec_id = n.page_id")
+def _(spark, d):
+    top = search.nearest(t(spark, d, "embeddings"), _vector(spark, d), 100)
+    alt = t(spark, d, "embeddings").select("vec_id", F.concat(F.lit("image "), F.col("label").cast("string")).alias("alt_text"))
+    return alt.join(F.broadcast(top), "vec_id").select(F.col("vec_id").alias("image_id"), "alt_text", F.round("distance", 6).alias("distance"))
+
+
+@query("rrf_fusion", f"WITH {SCORES}, {NEAR}, {FUSED} SELECT page_id, type, round(rrf, 6) AS rrf_score FROM fused")
+def _(spark, d):
+    bm = search.ranked(search.bm25_top(_scores(spark, d), 100), [F.desc("bm25_score"), "page_id"], "bm25_rank").select("page_id", "bm25_rank")
+    vec = search.ranked(search.nearest(t(spark, d, "embeddings").withColumnRenamed("vec_id", "page_id"), _vector(spark, d), 100, "page_id"), ["distance", "page_id"], "vector_rank").select("page_id", "vector_rank")
+    return search.fuse(bm, vec).select("page_id", "type", F.round("rrf_score", 6).alias("rrf_score"))
+
+
+@query("backlink_count", f"WITH {LINKS}, {COUNTS} SELECT page_id, backlink_count FROM counts")
+def _(spark, d):
+    return search.backlink_counts(host_links(spark, d))
+
+
+@query("backlink_boost", f"WITH {LINKS}, {COUNTS} SELECT page_id, round(1 + 0.5 * ln(1 + least(coalesce(backlink_count, 0), 1000)) / ln(1001), 6) AS backlink_boost FROM pages LEFT JOIN counts USING (page_id)")
+def _(spark, d):
+    x = t(spark, d, "pages").select("page_id").join(search.backlink_counts(host_links(spark, d)), "page_id", "left")
+    return x.select("page_id", F.round(scoring.backlink_boost(F.coalesce("backlink_count", F.lit(0))), 6).alias("backlink_boost"))
+
+
+_REL = "(CASE WHEN list_has_any({w}, {h}) THEN 4.0 ELSE 1.0 END * CASE WHEN list_has_any({w}, {t}) THEN 2.0 ELSE 1.0 END * CASE WHEN list_has_any({w}, {g}) THEN 1.5 ELSE 1.0 END)::DOUBLE"
+
+
+@query("relevance_boost", f"WITH {PAGES} SELECT page_id, {_REL.format(w=['blog', 'enber', 'der', 'le'], h=WORDS.format(HOST.format('url')), t=WORDS.format('title'), g=WORDS.format('heading'))} AS relevance_boost FROM pt")
+def _(spark, d):
+    words = F.array(*[F.lit(w) for w in ("blog", "enber", "der", "le")])
+    fields = [text.normalized_words(c) for c in (urls.hostname(F.col("url")), F.col("title"), F.col("heading"))]
+    return page_table(spark, d).select("page_id", scoring.relevance_boost(words, *fields).alias("relevance_boost"))
+
+
+def _search_sql(page: int) -> str:
+    q = list(QUERY)
+    rel = _REL.format(w=q, h=f"coalesce({WORDS.format(HOST.format('url'))}, [])", t=f"coalesce({WORDS.format('title')}, [])", g=f"coalesce({WORDS.format('heading')}, [])")
+    return f"""WITH {SCORES}, {NEAR}, {FUSED}, {LINKS}, {COUNTS}, {PAGES},
+b AS (SELECT f.*, coalesce(c.backlink_count, 0) AS bc, 1 + 0.5 * ln(1 + least(coalesce(c.backlink_count, 0), 1000)) / ln(1001) AS bb FROM fused f LEFT JOIN counts c ON f.page_id = c.page_id),
+o AS (SELECT *, row_number() OVER (ORDER BY bb * rrf DESC, rrf DESC, ord) AS pos FROM b),
+s AS (SELECT o.*, pt.url, pt.title FROM o LEFT JOIN pt ON o.page_id = pt.page_id WHERE pos > {(page - 1) * 10} AND pos <= {page * 10}),
+r AS (SELECT s.*, {rel} AS rb FROM (SELECT s.*, pt.heading FROM s LEFT JOIN pt ON s.page_id = pt.page_id) s)
+SELECT page_id, url, title, type, round(rrf, 6) AS rrf_score, bc AS backlink_count, round(bb, 6) AS backlink_boost, rb AS relevance_boost, round(bb * rrf * rb, 6) AS final_score FROM r"""
+
+
+def _search(page):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        out = search.search(_tables(spark, d), QUERY, _vector(spark, d), page)
+        r = lambda c: F.round(c, 6).alias(c)
+        return out.select("page_id", "url", "title", "type", r("rrf_score"), "backlink_count", r("backlink_boost"), "relevance_boost", r("final_score"))
+
+    return run
+
+
+query("hybrid_search", _search_sql(1))(_search(1))
+query("hybrid_search_page2", _search_sql(2))(_search(2))
+
+_MISSPELT = ("adocx", "the", "aiou", "zzzzzz", "thstion", "enberre", "qqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqq")
+
+
+@query("spell_correct", f"""WITH {POSTINGS}, v AS (SELECT term AS w FROM terms WHERE df > 2),
+q AS (SELECT unnest(range({len(_MISSPELT)})) AS pos, unnest({list(_MISSPELT)}) AS word),
+u AS (SELECT * FROM q WHERE word NOT IN (SELECT w FROM v) AND NOT list_contains({STOP}, word)),
+c AS (SELECT pos, w, levenshtein(word, w) AS dist, CASE length(w) - length(word) WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS o FROM u JOIN v ON abs(length(w) - length(word)) <= 1),
+b AS (SELECT pos, w FROM c QUALIFY row_number() OVER (PARTITION BY pos ORDER BY dist, o, w) = 1)
+SELECT q.pos AS pos, word, coalesce(b.w, word) AS corrected FROM q LEFT JOIN b ON q.pos = b.pos""")
+def _(spark, d):
+    vocab = index.terms(index.postings(tokens(spark, d))).filter("df > 2").select(F.col("term").alias("word"))
+    return spell.correct(spark.createDataFrame(list(enumerate(_MISSPELT)), "pos long, word string"), vocab)
+
+
+# The graph ------------------------------------------------------------------------------------
+
+_NEIGH = f"""{PAGES}, {LINKS},
+fwd AS (SELECT page_id, url, title FROM pt WHERE page_id IN (SELECT to_page_id FROM links WHERE from_page_id = {CENTRE} AND to_page_id <> {CENTRE})),
+bck AS (SELECT page_id, url, title FROM pt WHERE page_id IN (SELECT from_page_id FROM links WHERE to_page_id = {CENTRE} AND from_page_id <> {CENTRE})),
+ego AS (SELECT page_id, url, title, kind FROM (SELECT page_id, url, title, 'current' AS kind, 0 AS o FROM pt WHERE page_id = {CENTRE} UNION ALL SELECT *, 'backlink', 1 FROM bck UNION ALL SELECT *, 'forward', 2 FROM fwd) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY o) = 1)"""
+
+
+@query("forward_links", f"WITH {_NEIGH} SELECT * FROM fwd")
+def _(spark, d):
+    return graph.forward(host_links(spark, d), page_table(spark, d), CENTRE)
+
+
+@query("back_links", f"WITH {_NEIGH} SELECT * FROM bck")
+def _(spark, d):
+    return graph.back(host_links(spark, d), page_table(spark, d), CENTRE)
+
+
+@query("ego_graph", f"WITH {_NEIGH} SELECT * FROM ego")
+def _(spark, d):
+    return graph.ego(host_links(spark, d), page_table(spark, d), CENTRE)
+
+
+@query("ego_layout", f"""WITH {_NEIGH}, i AS (SELECT page_id, kind, row_number() OVER (PARTITION BY kind ORDER BY page_id) - 1 AS i, count(*) OVER (PARTITION BY kind) AS n FROM ego),
+a AS (SELECT *, CASE WHEN kind = 'backlink' THEN pi() ELSE 0 END + CASE WHEN n > 1 THEN -radians(170) / 2 + radians(170) * i / (n - 1) ELSE 0 END AS a, CASE WHEN kind = 'current' THEN 0 ELSE 150.0 + (i % 5) * 40 END AS r FROM i)
+SELECT page_id, kind, round(r * cos(a), 3) + 0.0::DOUBLE AS x, round(r * sin(a), 3) + 0.0::DOUBLE AS y FROM a""")
+def _(spark, d):
+    x = graph.layout(graph.ego(host_links(spark, d), page_table(spark, d), CENTRE))
+    return x.select("page_id", "kind", (F.round("x", 3) + F.lit(0.0)).alias("x"), (F.round("y", 3) + F.lit(0.0)).alias("y"))
+
+
+@query("image_dedup_md5", "SELECT url, alt_text, md5(url) AS url_hash FROM (SELECT 'http://img.example/' || (page_id % 40) AS url, url AS alt_text, page_id FROM pages) QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1")
+def _(spark, d):
+    found = t(spark, d, "pages").select("page_id", F.lit(0).alias("seq"), F.concat(F.lit("http://img.example/"), (F.col("page_id") % 40).cast("string")).alias("url"), F.col("url").alias("alt"))
+    return index.images(found)
+
+
+# Crawling, logs, streams ----------------------------------------------------------------------
+
+
+@query("frontier_expand", f"WITH {_FOUND} SELECT DISTINCT to_url AS url FROM found WHERE to_url NOT IN (SELECT {NURL.format('url')} FROM pages WHERE page_id % 2 = 0) ORDER BY 1 LIMIT 500")
+def _(spark, d):
+    out = index.links_found(html.with_records(t(spark, d, "pages"))).select(F.col("to_url").alias("url"))
+    seen = t(spark, d, "pages").filter("page_id % 2 = 0").select(urls.normalized(F.col("url")).alias("url"))
+    return crawl.expand(out, seen, 500)
+
+
+@query("claim_dedup", f"SELECT url, page_id FROM (SELECT {NURL.format('url')} AS url, page_id FROM pages) QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1")
+def _(spark, d):
+    return crawl.claim(t(spark, d, "pages").select(urls.normalized(F.col("url")).alias("url"), "page_id"), "url", "page_id")
+
+
+@query("rate_limit_windows", "SELECT user_id, time_bucket(INTERVAL 10 MINUTE, ts) AS window_start, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
+def _(spark, d):
+    return crawl.over_limit(t(spark, d, "events"), "user_id", "ts", limit=1)
+
+
+@query("domain_cooldown", """SELECT event_id, coalesce(epoch_us(ts) - epoch_us(last) < 3600000000, false) AS blocked FROM (SELECT event_id, ts,
+  max(CASE WHEN event_id % 7 = 0 THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM events)""")
+def _(spark, d):
+    rows = t(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("host"), "ts", F.when(F.col("event_id") % 7 == 0, 429).otherwise(200).alias("status"))
+    return crawl.cooled(rows, 3600).select(F.col("id").alias("event_id"), "blocked")
+
+
+_KIND = "CASE WHEN event_type = 'click' THEN NULL WHEN event_id % 3 = 0 THEN 'INFO: ' || event_type ELSE event_type END"
+
+
+def _metric_rows(spark, d):
+    e = t(spark, d, "events")
+    error = F.when(F.col("event_type") == "click", F.lit(None)).when(F.col("event_id") % 3 == 0, F.concat(F.lit("INFO: "), F.col("event_type"))).otherwise(F.col("event_type"))
+    return tables.metrics(e, F.col("event_type"), error, F.col("value"), F.col("ts"))
+
+
+@query("metric_classify", f"SELECT CASE WHEN er IS NULL THEN 'SUCCESS' WHEN contains(er, 'INFO') THEN 'INFO' ELSE 'ERROR' END AS \"metricType\", strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, event_type AS text, trunc(value)::INTEGER AS duration_ms FROM (SELECT *, {_KIND} AS er FROM events)")
+def _(spark, d):
+    return _metric_rows(spark, d)
+
+
+@query("metric_summary", f"SELECT CASE WHEN er IS NULL THEN 'SUCCESS' WHEN contains(er, 'INFO') THEN 'INFO' ELSE 'ERROR' END AS metric_type, count(*) AS n, round(avg(trunc(value)::INTEGER), 6) AS mean_ms FROM (SELECT *, {_KIND} AS er FROM events) GROUP BY 1")
+def _(spark, d):
+    return _metric_rows(spark, d).groupBy(F.col("metricType").alias("metric_type")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("duration_ms"), 6).alias("mean_ms"))
+
+
+@query("pagination_window", "SELECT event_id, greatest(1, least(c - 5, p - 9))::BIGINT AS first, least(p, greatest(1, least(c - 5, p - 9)) + 9)::BIGINT AS last, p AS pages FROM (SELECT event_id, event_id % 20 + 1 AS c, greatest(1, ceil((event_id % 300) / 10.0))::BIGINT AS p FROM events)")
+def _(spark, d):
+    first, last, pages = search.page_window(F.col("event_id") % 300, 10, F.col("event_id") % 20 + 1)
+    return t(spark, d, "events").select("event_id", first.alias("first"), last.alias("last"), pages.alias("pages"))
+
+
+@query("crawl_simulation", f"""WITH RECURSIVE {LINKS}, s(page_id, depth) AS (SELECT {CENTRE}::BIGINT, 0 UNION SELECT to_page_id, depth + 1 FROM s JOIN links ON from_page_id = s.page_id WHERE depth < 3)
+SELECT 'http://h/' || page_id AS url, min(depth)::INTEGER AS depth FROM s GROUP BY page_id""")
+def _(spark, d):
+    name = lambda c: F.concat(F.lit("http://h/"), F.col(c).cast("string"))
+    links = host_links(spark, d).select(name("from_page_id").alias("from_url"), name("to_page_id").alias("to_url"))
+    return crawl.simulate(t(spark, d, "pages").select(name("page_id").alias("url")), links, f"http://h/{CENTRE}", 3)
+
+
+@query("stream_index_counts", f"WITH {POSTINGS} SELECT count(*) AS n_postings, count(DISTINCT term) AS n_terms, sum(tf)::DOUBLE AS n_tokens FROM post")
+def _(spark, d):
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodeseek-")
+    folder = f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{spark.sql('SELECT uuid()').first()[0]}"
+    ingest.index_stream(spark, f"{d}/documents.parque[t]", t(spark, d, "documents").schema, f"{folder}/index", f"{folder}/state")
+    post = spark.read.parquet(f"{folder}/index/postings")
+    return post.agg(F.count(F.lit(1)).alias("n_postings"), F.count_distinct("term").alias("n_terms"), F.sum("tf").alias("n_tokens"))
