@@ -62,13 +62,17 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
     stage = stage.withColumn("__r", F.transform(F.filter("__g", again), lambda x: x["i"]))
     covered = F.array_distinct(F.flatten(F.transform("__r", lambda i: F.array(i, i + 1, i + 2))))
-    return stage.withColumns({
-        "word_chars": F.char_length(F.array_join("__w", "")).cast("long"),
-        "n_symbols": F.regexp_count("__t", F.lit("[#*$%&|<>]")).cast("long"),
-        "n_lines": F.size("__l").cast("long"),
-        "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
-        "n_repeat_words": F.size(covered).cast("long"),
-    }).drop("__t", "__w", "__l", "__q", "__c", "__g", "__r")
+    found = F.struct(
+        F.col("n_words"),
+        F.char_length(F.array_join("__w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("__t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
+        F.size(covered).cast("long").alias("n_repeat_words"),
+        F.size("__l").cast("long").alias("n_lines"),
+    )
+    # a generator ends the projections: a later filter on measures would else be pushed down as one nested expression
+    rest = [c for c in stage.columns if c not in ("__t", "__w", "__l", "__q", "__c", "__g", "__r", *MEASURES)]
+    return stage.select(*[F.col(f"`{c}`") for c in rest], F.inline(F.array(found)))
 
 
 def conditions() -> dict[str, Column]:
