@@ -38,12 +38,16 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each epoch in which a document is read; the document at a leaf's cut is kept whole."""
+    """A row for each epoch in which a document is read; the document at a leaf's cut is kept whole.
+
+    Documents without an id have no place in the order and are read once.
+    """
     docs = docs.select(*COLUMNS)
-    chosen = op8_mixing.mix(op8_mixing.leveled(docs), budget_percent=MIX_PERCENT)
+    chosen = op8_mixing.mix(op8_mixing.leveled(docs.filter("doc_id IS NOT NULL")), budget_percent=MIX_PERCENT)
     times = chosen.select("doc_id", (F.col("epochs") + F.col("read").cast("long")).alias("times"))
     out = docs.join(times, "doc_id")
-    return out.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*COLUMNS)
+    out = out.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*COLUMNS)
+    return out.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
