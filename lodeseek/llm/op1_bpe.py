@@ -51,8 +51,10 @@ def decode(rows: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", dec
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                lists = part.column(ids)
-                blobs = [dec.decode(x.values.to_pylist()) if x.is_valid else b"" for x in lists]
+                lists = part.column(ids).fill_null([])
+                ends = lists.offsets.to_numpy()
+                flat = lists.values.to_numpy()
+                blobs = [dec.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(blobs, type=pa.binary())], names=[*keep, decoded])
 
     return rows.mapInArrow(run, out)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -17,8 +18,9 @@ import xxhash
 NONE = 1 << 40
 #: Texts are handed on in slices of at most this many UTF-8 bytes (or one text).
 SLICE_BYTES = 8 << 20
-#: Entries of each of the two generations of a worker's memo.
-MEMO_ENTRIES = 200_000
+#: Entries of each of the two generations of a worker's memo of pieces, and of that of pre-tokens.
+MEMO_ENTRIES = 150_000
+TOKEN_ENTRIES = 500_000
 #: Longer pieces are encoded without a place in the memo.
 MEMO_PIECE = 64
 
@@ -78,7 +80,8 @@ class Codec:
         for k, r in ranks.items():
             self.pieces[r] = k
         self.lengths = np.array([len(x) for x in self.pieces], dtype=np.int64)
-        self.tokens = Memo(self.encode_token)
+        self.twos = [ranks.get(bytes((i >> 8, i & 255)), NONE) for i in range(1 << 16)]
+        self.tokens = Memo(self.encode_token, TOKEN_ENTRIES)
         self.lead = Memo(self.encode_piece)
         self.spaced = Memo(lambda p: self.encode_piece(" " + p))
 
@@ -86,8 +89,9 @@ class Codec:
         """Ids of one pre-token: a heap of neighbouring pairs over bytes linked both ways."""
         get, n = self.ranks.get, len(word)
         nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [get(word[i : i + 2], NONE) for i in range(n)]  # rank of the pair that starts here
-        pair[-1] = NONE
+        twos = self.twos
+        pair = [twos[a << 8 | b] for a, b in zip(word, word[1:])]  # rank of the pair that starts here
+        pair.append(NONE)
         heap = [r << 40 | i for i, r in enumerate(pair) if r < NONE]
         heapify(heap)
         while heap:
@@ -119,11 +123,12 @@ class Codec:
     def encode_token(self, token: str) -> bytes:
         word = token.encode("utf-8", "replace")
         x = self.hash.slot(word)
-        return np.array([self.rank_at[x]] if x >= 0 else self.merge(word), dtype="<i4").tobytes()
+        return array("i", (self.rank_at[x],) if x >= 0 else self.merge(word)).tobytes()
 
     def encode_piece(self, piece: str) -> bytes:
         """Ids of a piece as little-endian 32-bit integers."""
-        return b"".join(self.tokens.all(self.pattern.findall(piece)))
+        found = self.pattern.findall(piece)
+        return self.tokens(found[0]) if len(found) == 1 else b"".join(map(self.tokens, found))
 
     def encode(self, text: str) -> bytes:
         return join_pieces(text, self.lead, self.spaced)
