@@ -16,7 +16,9 @@ are written as often as they occur; an empty table gives no file and no row.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -34,7 +36,7 @@ from .tokens import Memo, slices
 
 MAGIC = b"LDSK0001"
 SAMPLE = 256
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 500_000
 END_ID = 2
 
 
@@ -96,11 +98,20 @@ class EliasFano:
         return out
 
 
+#: Letters that stay single under the tokenizer's normalisation and have a plain lower case; U+0130 has not.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+#: A whole piece between spaces that holds an apostrophe or a character beyond Latin and ASCII; else a run of letters, or of other characters but spaces.
+_PARTS = re.compile(rf"[^ ]*['\u00aa\u00b5\u00ba\u0130\u0180-\U0010ffff][^ ]*|[{_LATIN}]+|[^ {_LATIN}]+")
+
+
 class HuggingPieces:
-    """Ids of texts by the tokenizers library, piece by piece between spaces.
+    """Ids of texts by the tokenizers library, part by part.
 
-    The tokenizer drops white space and no token, normalisation or merge reaches over a space,
-    so pieces can be encoded apart; each new piece is encoded once, in batches.
+    The tokenizer drops white space and no token, normalisation or merge reaches over a space.
+    Within a piece between spaces, its pattern splits runs of letters from what is around them,
+    but for contractions; so Latin pieces without an apostrophe are cut there too. Letters are
+    looked up in lower case, as the tokenizer lowers them. Each new part is encoded once, in
+    batches.
     """
 
     def __init__(self, spec: str, dtype: str):
@@ -108,16 +119,23 @@ class HuggingPieces:
         from tokenizers import Tokenizer
 
         self.tok, self.dtype = Tokenizer.from_str(spec), dtype
+        self.special = [t["content"] for t in json.loads(spec).get("added_tokens", [])]
         self.memo = Memo(lambda p: self.many([p])[0], MEMO_ENTRIES)
 
     def many(self, pieces: list[str]) -> list[bytes]:
         found = self.tok.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
 
+    def parts(self, text: str) -> list[str]:
+        if any(s in text for s in self.special):
+            return text.split(" ")
+        # a capital sigma is the one letter that Python lowers by its place in the word
+        return _PARTS.findall(text if "\u03a3" in text else text.lower())
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
+        split = [self.parts(t) for t in texts]
         young, old = self.memo.young, self.memo.old
-        new = list({p for ps in split for p in ps if p not in young and p not in old})
+        new = list({p for ps in split for p in set(ps) if p not in young and p not in old})
         for at in range(0, len(new), 5000):
             part = new[at : at + 5000]
             for p, v in zip(part, self.many(part)):
@@ -172,8 +190,6 @@ class TokenFile:
 
 def write(docs: DataFrame, spec: str, folder: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> list[dict]:
     """Writes the files and returns the manifest: part, name, n_docs, n_ids, base (ids before it), in key order."""
-    import json
-
     model = json.loads(spec)
     top = max([end_id, *model["model"]["vocab"].values(), *(t["id"] for t in model.get("added_tokens", []))])
     dtype = "<u2" if top < 1 << 16 else "<u4"
