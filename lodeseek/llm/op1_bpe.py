@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import codec, int_lists, read_ranks, slices
+from .tokens import codec, int_lists, read_ranks, slices, smaller_batches
 
 
 def _with(schema: T.StructType, *new: T.StructField) -> T.StructType:
@@ -27,6 +27,7 @@ def _with(schema: T.StructType, *new: T.StructField) -> T.StructType:
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with ids: array<int>, of the whole text."""
     raw = read_ranks(vocabulary)
+    smaller_batches(docs)
     out = _with(docs.schema, T.StructField(ids, T.ArrayType(T.IntegerType())))
     keep = [f.name for f in out.fields[:-1]]
 
@@ -43,6 +44,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", i
 def decode(rows: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """rows with decoded: binary, the bytes of the ids."""
     raw = read_ranks(vocabulary)
+    smaller_batches(rows)
     out = _with(rows.schema, T.StructField(decoded, T.BinaryType()))
     keep = [f.name for f in out.fields[:-1]]
 

@@ -16,11 +16,13 @@ import xxhash
 
 #: Above every rank.
 NONE = 1 << 40
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 2000
 #: Texts are handed on in slices of at most this many UTF-8 bytes (or one text).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Entries of each of the two generations of a worker's memo of pieces, and of that of pre-tokens.
-MEMO_ENTRIES = 150_000
-TOKEN_ENTRIES = 500_000
+MEMO_ENTRIES = 80_000
+TOKEN_ENTRIES = 200_000
 #: Longer pieces are encoded without a place in the memo.
 MEMO_PIECE = 64
 
@@ -196,6 +198,14 @@ def codec(raw: bytes, pattern: str) -> Codec:
     return Codec(ranks, pattern)
 
 
+def smaller_batches(rows) -> None:
+    """Arrow batches of at most BATCH_ROWS rows from now on in the session, so that texts and ids of a batch stay small."""
+    conf = rows.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+
+
 def slices(batch: pa.RecordBatch, column: str):
     """The batch in slices of bounded text, with the texts (null: empty) of each."""
     col = batch.column(column)
