@@ -50,3 +50,14 @@ def test_op9_policies_and_ablations(spark, sf_dir):
         bit = 1 << op9.RULES[name]
         assert r.n_failed == led.filter(f"fail_bits & {bit} <> 0").count()
         assert r.n_kept_without == kept + r.n_only
+
+
+def test_op9_v3_rejects_every_second_word_a_symbol(spark, sf_dir):
+    word = lambda i: "".join(chr(97 + int(d)) for d in f"{i:02d}")
+    rows = [(1, " ".join(f"{word(i)} |" for i in range(40))), (2, " ".join(word(i) for i in range(60)) + " # 50%"), (3, " ".join(f"{word(i)} <>" for i in range(40)))]
+    led = op9.ledger(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = lambda version: sorted(r.doc_id for r in op9.apply_policy(led, version).filter("kept").collect())
+    assert kept("v2") == [1, 2] and kept("v3") == [2]
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
+    good = op9.ledger(spark.read.parquet(f"{sf_dir}/documents.parquet").join(labels, "doc_id", "left_semi"))
+    assert op9.apply_policy(good, "v3").filter("kept").count() == op9.apply_policy(good, "v2").filter("kept").count() > 0
