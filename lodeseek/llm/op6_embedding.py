@@ -5,8 +5,10 @@ vector passes the filters whose caps hold it. Each vector's list of filters is d
 its scores with the two halves' codewords: first codewords that no partner could lift over the
 cap's height are dropped, then the rest is paired. There are ROTATIONS such product codes, each
 with a height at which a vector passes about LIST filters: several short lists find more than
-a long one, as the lengths of lists of one code vary. Vectors are joined on filters and
-verified in double precision.
+a long one, as the lengths of lists of one code vary. Directions far from all codewords pass
+few caps or none, so each vector takes at least its FEWEST best filters of each code. Vectors
+are joined on filters and verified in double precision. Up to FEW_DIMS components, cells of a
+grid take the place of filters, and the search is exact.
 
 Equal vectors are one node with a count. A pair that shares several filters counts in the
 least of them only, so numbers of links need no list of pairs; filters with many vectors are
@@ -14,8 +16,10 @@ dealt out as pairs of bounded blocks.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link
 with nothing; vectors of different lengths don't link; repeated rows are vectors of their own
-that link with each other; an empty table gives no row. Links are searched, not proven: the
-recall measured on random pairs is 0.995 at a cosine of 0.9 and 0.998 at 0.95.
+that link with each other; an empty table gives no row. In more than FEW_DIMS components links
+are searched, not proven: of 6,000 pairs at a cosine of 0.9 around the 40 directions of 12,000
+that pass the fewest caps, all were found in 64 components (without FEWEST 0.554 of them, in the
+worst direction none); likewise in 10 and, of 3,000 directions, in 384.
 """
 
 from __future__ import annotations
@@ -38,6 +42,10 @@ CODES = 96
 LIST = 3
 SEED = 31
 BLOCK = 512
+#: Filters of each code that a vector passes at least, however far its direction is from the codewords.
+FEWEST = 6
+#: Vectors of so many components or fewer are searched exactly, in cells.
+FEW_DIMS = 8
 
 
 @lru_cache(maxsize=8)
@@ -63,6 +71,46 @@ def even(x: np.ndarray) -> np.ndarray:
     return np.hstack([x, np.zeros((len(x), 1))]) if x.shape[1] % 2 else x
 
 
+@lru_cache(maxsize=8)
+def turn(dim: int) -> np.ndarray:
+    """A random rotation, so that sparse vectors aren't on the borders of cells."""
+    return np.linalg.qr(np.random.default_rng(SEED + dim).normal(size=(dim, dim)))[0]
+
+
+def cells_of(x: np.ndarray, min_cosine: float) -> list[np.ndarray]:
+    """The cells of a grid that each row's cap of half the links' angle meets, ascending.
+
+    The middle of two vectors that link lies in the caps of both, so its cell is in both lists.
+    Cells are as wide as the cap at least: in each component a cap meets its own cell and the nearest one.
+    """
+    reach = (1 - min_cosine) / 2  # square of the cap's radius
+    n = 4 if x.shape[1] <= 4 and 16 * reach <= 1 else 2  # cells of each component
+    y = (x @ turn(x.shape[1]) + 1) * n / 2
+    own = np.clip(np.floor(y), 0, n - 1)
+    near = np.where((own == n - 1) | ((y - own < 0.5) & (own > 0)), own - 1, own + 1)
+    cost = ((y - np.maximum(own, near)) * 2 / n) ** 2
+    row, cell, spent = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x))
+    for i in range(x.shape[1]):
+        more = np.flatnonzero(spent + cost[row, i] <= reach + 1e-9)
+        cell = np.concatenate([cell * n + own[row, i].astype(np.int64), cell[more] * n + near[row[more], i].astype(np.int64)])
+        row, spent = np.concatenate([row, row[more]]), np.concatenate([spent, spent[more] + cost[row[more], i]])
+    return by_row(row, cell, len(x))
+
+
+def by_row(row: np.ndarray, f: np.ndarray, n: int) -> list[np.ndarray]:
+    """f of each of n rows, ascending, without repetitions."""
+    both = np.unique(row.astype(np.int64) << 20 | f)
+    return np.split((both & ((1 << 20) - 1)).astype(np.int32), np.searchsorted(both >> 20, np.arange(1, n)))
+
+
+def best_of(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The filters (i, j) of the k greatest sums a[i] + b[j] of each row; they are among the k best of both halves."""
+    i, j = np.argpartition(-a, k - 1, 1)[:, :k], np.argpartition(-b, k - 1, 1)[:, :k]
+    sums = np.take_along_axis(a, i, 1)[:, :, None] + np.take_along_axis(b, j, 1)[:, None, :]
+    top = np.argpartition(-sums.reshape(len(a), -1), k - 1, 1)[:, :k]
+    return np.take_along_axis(i, top // k, 1), np.take_along_axis(j, top % k, 1)
+
+
 def filters_of(x: np.ndarray) -> list[np.ndarray]:
     """The filters of each row of unit vectors, ascending."""
     half = x.shape[1] // 2
@@ -76,11 +124,10 @@ def filters_of(x: np.ndarray) -> list[np.ndarray]:
             p, j = np.nonzero(a[r, k][:, None] + b[r] >= height)
             out_row.append(r[p])
             out_f.append((c * CODES + k[p]) * CODES + j)
-    if not out_row:
-        return [np.zeros(0, np.int32)] * len(x)
-    row, f = np.concatenate(out_row), np.concatenate(out_f).astype(np.int32)
-    order = np.lexsort((f, row))
-    return np.split(f[order], np.searchsorted(row[order], np.arange(1, len(x))))
+        i, j = best_of(a, b, FEWEST)
+        out_row.append(np.repeat(np.arange(len(x)), FEWEST))
+        out_f.append(((c * CODES + i) * CODES + j).ravel())
+    return by_row(np.concatenate(out_row), np.concatenate(out_f), len(x))
 
 
 def matrix(col) -> np.ndarray:
@@ -89,7 +136,7 @@ def matrix(col) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
-def with_filters(reps: DataFrame) -> DataFrame:
+def with_filters(reps: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     """reps (node, mult, embedding) with filters and dim."""
     kind = reps.schema["embedding"].dataType.simpleString()
 
@@ -98,7 +145,8 @@ def with_filters(reps: DataFrame) -> DataFrame:
             dims = pc.list_value_length(batch.column("embedding")).to_numpy(zero_copy_only=False)
             for d in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == d))
-                f = filters_of(even(matrix(part.column("embedding"))))
+                x = even(matrix(part.column("embedding")))
+                f = cells_of(x, min_cosine) if d <= FEW_DIMS else filters_of(x)
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("mult"), part.column("embedding"), pa.array(f, pa.list_(pa.int32())), pa.array(np.full(len(f), d, np.int32))], names=["node", "mult", "embedding", "filters", "dim"])
 
     return reps.mapInArrow(run, f"node long, mult long, embedding {kind}, filters array<int>, dim int")
@@ -134,7 +182,7 @@ def verify(t: pa.Table, this: int, min_cosine: float):
 
 def links(reps: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     """(node, added, root) parts of all groups, from reps (node, mult, embedding)."""
-    rows = cut(with_filters(reps)).withColumn("f", F.explode("filters"))
+    rows = cut(with_filters(reps, min_cosine)).withColumn("f", F.explode("filters"))
     rows = rows.withColumn("shard", F.shiftleft(F.col("dim").cast("long"), 20) + F.col("f"))
     rows = by_group(deal(rows, "shard", "node", BLOCK).select("group", "left", "right", "node", "mult", "embedding", "filters"))
 

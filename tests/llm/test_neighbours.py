@@ -134,3 +134,33 @@ def test_filter_recall():
     y = 0.9 * x + np.sqrt(1 - 0.81) * z
     f, g = op6.filters_of(x), op6.filters_of(op6.even(y))
     assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(f, g)]) > 0.97
+
+
+def partners(r, x, n, cosine=0.9):
+    z = r.normal(size=(n, len(x)))
+    z = op6.even(z - np.outer(z @ x, x))
+    return cosine * x + np.sqrt(1 - cosine**2) * z
+
+
+@pytest.mark.parametrize("dim", [10, 64])
+def test_filter_recall_of_weak_directions(dim):
+    r = np.random.default_rng(4)
+    x = op6.even(r.normal(size=(4000, dim)))
+    weak = np.argsort([len(f) for f in op6.filters_of(x)], kind="stable")[:10]
+    for i in weak:
+        own, *others = op6.filters_of(np.vstack([x[i][None], partners(r, x[i], 100)]))
+        assert np.mean([len(np.intersect1d(own, f)) > 0 for f in others]) > 0.98
+
+
+def test_op6_few_dimensions_and_planted_clusters(spark):
+    r = np.random.default_rng(6)
+    vecs = [v.tolist() for d, n in ((1, 6), (2, 60), (3, 90), (4, 150), (5, 150), (8, 60)) for v in r.normal(size=(n, d))]
+    vecs += [v.tolist() for d in (5, 8) for c in op6.even(r.normal(size=(8, d)))[:, :d] for v in c + r.normal(size=(15, d)) * 0.14]
+    vecs += np.eye(8).tolist() + (np.eye(8) + 0.4 * np.roll(np.eye(8), 1, 0)).tolist()
+    x = op6.even(r.normal(size=(4000, 64)))
+    for i in np.argsort([len(f) for f in op6.filters_of(x)], kind="stable")[:3]:
+        vecs += partners(r, x[i], 60, 0.95).tolist()
+    df = spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<double>")
+    want = brute_embedding(vecs, list(range(len(vecs))))
+    assert sum(w[1] for w in want[-180:]) > 1000
+    assert sorted(tuple(v) for v in op6.dedup(df).collect()) == want
