@@ -6,23 +6,34 @@ the decision of their aliases: URLs tied together by canonical links and meta-re
 in the pages, transitively, by distributed connected components. An alias that a rule allows
 allows the whole class; else an alias that a rule blocks blocks it; else it is allowed.
 A node of the alias graph is a URL without scheme, fragment and last slash, its host in lower
-case. Everything is DataFrame functions; no class is gathered in one place.
+case. Targets are read from the page's tree, so entities are decoded, any token of rel counts,
+and base, dot segments and queries alone are resolved. The rest is DataFrame functions; no
+class is gathered in one place. The SQL reads targets by expressions and doesn't know these forms.
 
 Edge cases: a null URL, or one without "://", has empty host and path, no rule and no alias;
 null html has no links; repeated pages each give a row; an empty table gives no row; relative
-targets are resolved against the page's host and folder, without dot segments.
+targets are resolved against the page's URL or its base href; those that can't be are left out.
 """
 
 from __future__ import annotations
 
+import re
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.html import tree
 from .common import connected_components, cut
 
 #: (action, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Pages without either word, or an entity that could hide it, have no target.
+_MAYBE = re.compile("canonical|refresh|&", re.I)
+#: The target of a refresh: after the delay, with or without "url=" and quotes.
+_REFRESH = re.compile(r"""^\s*[\d.]*\s*[;,\s]\s*(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|([^"'].*))""", re.I | re.S)
 _PARTS = "(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -49,33 +60,49 @@ def key_of(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), F.concat(host_of(url), F.regexp_replace(path_of(url), "/$", ""), query))
 
 
-def targets(html: Column) -> Column:
-    """Targets of canonical links and meta refreshes, as written."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), 0)
-    attr = lambda x, name: F.regexp_extract(x, rf"(?is)\b{name}\s*=\s*[\"']?\s*([^\"'>\s]+)", 1)
-    canonical = F.transform(F.filter(tags, lambda x: x.rlike(r"(?is)\brel\s*=\s*[\"']?\s*canonical\b")), lambda x: attr(x, "href"))
-    refresh = F.transform(F.filter(tags, lambda x: x.rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?\s*refresh\b")), lambda x: F.regexp_extract(x, r"(?is)\burl\s*=\s*'?([^\"'>\s]+)", 1))
-    return F.filter(F.coalesce(F.concat(canonical, refresh), F.array().cast("array<string>")), lambda x: x != "")
+def absolute(base: str, target: str) -> str:
+    """target (entities decoded) on base; as browsers do, tabs and line ends inside and spaces around go."""
+    try:
+        return urljoin(base, re.sub("[\t\r\n]", "", target.strip(" \t\r\n\f")))
+    except ValueError:
+        return ""
+
+
+def targets_of(url: str | None, html: str | None) -> list[str]:
+    """Targets of a page's canonical links and meta refreshes as absolute URLs, on its first base href."""
+    if not url or "://" not in url or not html or not _MAYBE.search(html):
+        return []
+    base, found = None, []
+    for n in tree(html).walk():
+        if n.tag == "base" and base is None and "href" in n.attrs:
+            base = n.attrs["href"]
+        elif n.tag == "link" and "canonical" in n.attrs.get("rel", "").lower().split():
+            found.append(n.attrs.get("href", ""))
+        elif n.tag == "meta" and n.attrs.get("http-equiv", "").strip().lower() == "refresh":
+            got = _REFRESH.search(n.attrs.get("content", ""))
+            found.append((got[1] or got[2] or got[3] or "") if got else "")
+    at = absolute(url, base) if base else ""
+    at = at if "://" in at else url
+    return [x for x in (absolute(at, t) for t in found if t.strip()) if "://" in x]
+
+
+def with_targets(rows: DataFrame) -> DataFrame:
+    """rows (id, u, html) with `to` for html. Pages are read one by one; no page's tree outlives it."""
 
+    def run(batches):
+        for b in batches:
+            to = [targets_of(u.as_py(), h.as_py()) for u, h in zip(b.column("u"), b.column("html"))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("u"), pa.array(to, pa.list_(pa.string()))], names=["id", "u", "to"])
 
-def resolve(url: Column, target: Column) -> Column:
-    scheme = F.regexp_extract(url, "(?s)^(.*?)://", 1)
-    origin = F.concat(scheme, F.lit("://"), F.regexp_extract(url, _PARTS, 1))
-    folder = F.regexp_replace(path_of(url), "[^/]*$", "")
-    return (
-        F.when(F.contains(target, F.lit("://")), target)
-        .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
-        .when(F.startswith(target, F.lit("/")), F.concat(origin, target))
-        .otherwise(F.concat(origin, F.when(folder == "", F.lit("/")).otherwise(folder), target))
-    )
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, u string, to array<string>")
 
 
 def judge(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """key, host, path, rule (host and path of the winning one, else null), verdict, and by_alias: whether an alias decided."""
-    rows = pages.select(F.col(key).alias("id"), F.col(url).alias("u"), targets(F.col(html)).alias("to"))
+    rows = with_targets(pages.select(F.col(key).alias("id"), F.col(url).alias("u"), F.col(html).alias("html")))
     rows = rows.withColumns({"host": host_of(F.col("u")), "path": path_of(F.col("u")), "node": key_of(F.col("u"))})
     rows = cut(rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)))
-    seen = rows.filter("node IS NOT NULL").select("node", "u", F.explode("to").alias("t")).withColumn("target", resolve(F.col("u"), F.col("t")))
+    seen = rows.filter("node IS NOT NULL").select("node", F.explode("to").alias("target"))
     seen = cut(seen.select("node", "target", key_of(F.col("target")).alias("to")).filter("to IS NOT NULL").distinct())
     comp = cut(connected_components(seen.select(F.col("node").alias("a"), F.col("to").alias("b"))))
     told = rows.select("node", F.col("r.allow").alias("allow"))

@@ -40,3 +40,25 @@ def test_op4_cases(spark, duck, same):
     con.register("pages", pd.DataFrame(PAGES, columns=["page_id", "url", "html"]))
     same(op4.judge(df), con, op4.SQL)
     assert op4.judge(df.limit(0)).count() == 0
+
+
+def test_op4_forms_of_targets(spark):
+    link = '<html><head>{}</head><body>x</body></html>'.format
+    blocked = "http://m.net/es/b"  # blocked by a rule
+    forms = {
+        "http://a.org/p?a=1&b=2": link('<link rel="nofollow canonical" href="http://m.net/es/b?x=1&amp;y=2">'),
+        "http://b.org/d/e/f": link('<link rel=canonical href="../../../hop/./x/../b">'),
+        "http://b.org/hop/b": link(f'<link rel="CANONICAL" href="{blocked}">'),
+        "http://c.org/q": link('<link rel="canonical" href="?p=2">'),
+        "http://c.org/q?p=2": link(f'<link rel="canonical" href=" {blocked} ">'),
+        "http://d.org/x": link('<base href="http://m.net/es/"><link rel="canonical" href="b">'),
+        "http://e.org/x": link('<meta http-equiv="refresh" content="0;URL=&quot;http://m.net/es/b&quot;">'),
+        "http://f.org/?a=1&b=2": link(f'<link rel="canonical" href="{blocked}">'),
+        "http://g.org/x": link('<link rel="canonical" href="http://f.org/?a=1&amp;b=2">'),
+        "http://h.org/x": link(f'<link rel="canonical" href="{blocked}"><base href="http://m.net/">'),
+        "http://i.org/x": link('<meta http-equiv="refresh" content="5">') + f'<!-- <link rel="canonical" href="{blocked}"> -->',
+        "http://j.org/x": link('<link rel="canonical" href="http://[bad">'),
+    }
+    df = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(forms.items())], "page_id long, url string, html string")
+    got = {list(forms)[r.page_id]: r.verdict for r in op4.judge(df).collect()}
+    assert got == {u: "allow" if u[7] in "ij" else "block" for u in forms}
