@@ -12,10 +12,11 @@ COOL_DOWN_SECONDS = 30
 RATE_LIMIT, RATE_WINDOW = 150, "10 minutes"
 
 
-def expand(targets: DataFrame, visited: DataFrame, limit: int = PAGE_LIMIT) -> DataFrame:
-    """(url): targets (url), normalised once more, that weren't visited; at most limit, by url."""
+def expand(targets: DataFrame, visited: DataFrame, limit: int | None = PAGE_LIMIT) -> DataFrame:
+    """(url): targets (url), normalised once more, that weren't visited; by url, at most limit or all if it is None."""
     new = targets.select(urls.normalized(F.col("url")).alias("url")).filter("url IS NOT NULL").distinct()
-    return new.join(visited.select("url").distinct(), "url", "left_anti").orderBy("url").limit(limit)
+    new = new.join(visited.select("url").distinct(), "url", "left_anti").orderBy("url")
+    return new if limit is None else new.limit(limit)
 
 
 def claim(rows: DataFrame, url: str, order: str) -> DataFrame:

@@ -389,6 +389,12 @@ def _(spark, d):
     return crawl.expand(out, seen, 500)
 
 
+@query("frontier_expand_all", f"WITH {_FOUND} SELECT DISTINCT url FROM (SELECT {NURL.format('to_url')} AS url FROM found) WHERE url IS NOT NULL AND url NOT IN (SELECT u FROM (SELECT {NURL.format('url')} AS u FROM pages) WHERE u IS NOT NULL)")
+def _(spark, d):
+    out = index.links_found(html.with_records(t(spark, d, "pages"))).select(F.col("to_url").alias("url"))
+    return crawl.expand(out, t(spark, d, "pages").select(urls.normalized(F.col("url")).alias("url")), None)
+
+
 @query("claim_dedup", f"SELECT url, page_id FROM (SELECT {NURL.format('url')} AS url, page_id FROM pages) QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1")
 def _(spark, d):
     return crawl.claim(t(spark, d, "pages").select(urls.normalized(F.col("url")).alias("url"), "page_id"), "url", "page_id")
