@@ -127,10 +127,12 @@ class HuggingPieces:
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
 
     def parts(self, text: str) -> list[str]:
-        if any(s in text for s in self.special):
+        low = text.lower()
+        # lowering could also make a special token of what is none
+        if any(s in text or s in low for s in self.special):
             return text.split(" ")
         # a capital sigma is the one letter that Python lowers by its place in the word
-        return _PARTS.findall(text if "\u03a3" in text else text.lower())
+        return _PARTS.findall(text if "\u03a3" in text else low)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.parts(t) for t in texts]

@@ -63,3 +63,9 @@ def test_op3_edges(spark, tok):
     f = op3.TokenFile.read(folder, man[-1]["name"])
     assert f.document(len(f.keys) - 1).tolist() == rows[-1].ids
     assert op3.read(spark, folder, op3.write(df.limit(0), op3.tokenizer_spec(), folder)).count() == 0
+
+
+def test_special_tokens_in_capitals_are_none(tok):
+    h = op3.HuggingPieces(tok.to_str(), "<u4")
+    texts = ["<|ENDOFTEXT|>'s", "A <|EndOfText|>\u4e2d B", "<|EndOfText|> It's <|endoftext|>x"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in h.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
