@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .op1_bpe import vocabulary
-from .tokens import codec, read_ranks, slices
+from .tokens import codec, decoder, read_ranks, slices
 from .common import text_of
 
 RULES = ("start", "end", "most")
@@ -77,7 +77,7 @@ def count(docs: DataFrame, vocabulary: str, pattern: str, sections: Column, key:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        enc = codec(raw, pattern)
+        enc, lengths = codec(raw, pattern), decoder(raw).lengths
         for batch in batches:
             for part, texts in slices(batch, "t"):
                 out: list[tuple] = []
@@ -87,7 +87,7 @@ def count(docs: DataFrame, vocabulary: str, pattern: str, sections: Column, key:
                         continue
                     found = sorted(found, key=lambda x: (x["start"], x["end"]))
                     full = [x for x in found if x["start"] < x["end"]]
-                    first, stop = spans(t, np.frombuffer(enc.encode(t), "<i4"), enc.lengths)
+                    first, stop = spans(t, np.frombuffer(enc.encode(t), "<i4"), lengths)
                     n, c = allot(first, stop, np.array([x["start"] for x in full], np.int64), np.array([x["end"] for x in full], np.int64), rule)
                     i = 0
                     for x in found:

@@ -1,7 +1,15 @@
-"""A character BiLSTM with CRF transitions, trained by numpy from labelled spans."""
+"""A character BiLSTM with CRF transitions, trained by numpy from labelled spans.
+
+Every character of a text is read. Windows overlap; a character takes its emissions from the
+window it is most central in, and one CRF path over the whole text reconciles them. The path is
+found exactly in pieces: where the emission of "no span" leads by more than any transitions to
+and from another tag could make up, each best path has "no span", so only the stretches between
+such places are decoded, all at once, with "no span" on either side.
+"""
 
 from __future__ import annotations
 
+import random
 import string
 from functools import lru_cache
 
@@ -22,8 +30,15 @@ for _c in string.ascii_uppercase:
 for _c in string.digits:
     _ASCII[ord(_c)] = DIGIT
 N_CLASSES = 5 + len(MARKS) + 26
-HIDDEN = 16
-WINDOW, STRIDE = 128, 64
+HIDDEN = 12
+#: Characters of a training window.
+WINDOW = 128
+#: Characters of a window when texts are read, and those of it on either side that a neighbour reads better.
+SPAN, CONTEXT = 384, 24
+#: By how much a place's tag shall lead, and the bound of transitions: both let "no span" be sure at most places of prose.
+MARGIN, MOST_TRANSITION = 3.0, 2.0
+#: Windows read at once, and stretches decoded at once.
+BATCH = 512
 
 
 def classes(text: str) -> np.ndarray:
@@ -33,47 +48,49 @@ def classes(text: str) -> np.ndarray:
 
 
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 def _lstm(table, wh, ids):
-    """States of one direction over ids (B, T); also what the backward pass needs."""
+    """States (T, B, HIDDEN) of one direction over ids (B, T); also what the backward pass needs."""
     b, t = ids.shape
     h, c = np.zeros((b, HIDDEN)), np.zeros((b, HIDDEN))
     out, kept = np.zeros((t, b, HIDDEN)), []
     for s in range(t):
         z = table[ids[:, s]] + h @ wh
-        i, f, o = (_sigmoid(z[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
-        g = np.tanh(z[:, 3 * HIDDEN :])
+        gates, g = _sigmoid(z[:, : 3 * HIDDEN]), np.tanh(z[:, 3 * HIDDEN :])
+        i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
         before, last = c, h
         c = f * c + i * g
         tc = np.tanh(c)
         h = out[s] = o * tc
-        kept.append((i, f, o, g, before, tc, last))
+        kept.append((gates, g, before, tc, last))
     return out, kept
 
 
 def _lstm_back(wh, ids, kept, d_out):
     b, t = ids.shape
-    d_table, d_wh = np.zeros((N_CLASSES, 4 * HIDDEN)), np.zeros_like(wh)
+    d_wh, all_dz = np.zeros_like(wh), np.zeros((t, b, 4 * HIDDEN))
     dh, dc = np.zeros((b, HIDDEN)), np.zeros((b, HIDDEN))
     for s in range(t - 1, -1, -1):
-        i, f, o, g, before, tc, last = kept[s]
+        gates, g, before, tc, last = kept[s]
+        i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
         dh = dh + d_out[s]
         dc = dc + dh * o * (1 - tc * tc)
-        dz = np.hstack([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)])
-        np.add.at(d_table, ids[:, s], dz)
+        dz = all_dz[s]
+        dz[:, :HIDDEN], dz[:, HIDDEN : 2 * HIDDEN], dz[:, 2 * HIDDEN : 3 * HIDDEN] = dc * g, dc * before, dh * tc
+        dz[:, : 3 * HIDDEN] *= gates * (1 - gates)
+        dz[:, 3 * HIDDEN :] = dc * i * (1 - g * g)
         d_wh += last.T @ dz
         dh, dc = dz @ wh.T, dc * f
-    return d_table, d_wh
-
-
-def _lse(x, axis):
-    m = x.max(axis, keepdims=True)
-    return (m + np.log(np.exp(x - m).sum(axis, keepdims=True))).squeeze(axis)
+    seen = np.zeros((t * b, N_CLASSES))
+    seen[np.arange(t * b), ids.T.ravel()] = 1
+    return seen.T @ all_dz.reshape(t * b, -1), d_wh
 
 
 class Tagger:
+    """Parameters, the likelihood with its gradients, and the decoding of whole windows in double precision."""
+
     def __init__(self, params: dict[str, np.ndarray]):
         self.p = params
 
@@ -93,26 +110,31 @@ class Tagger:
         return h @ self.p["wo"] + self.p["bo"], (h, kf, kb, r)
 
     def loss(self, ids, tags):
-        """Mean negative log-likelihood of a window and its gradients."""
+        """Mean negative log-likelihood of a window and its gradients; wrong tags are given MARGIN first (softmax-margin)."""
         n, t = ids.shape
         em, (h, kf, kb, r) = self.emissions(ids)
+        em = em + MARGIN
+        np.put_along_axis(em, tags.T[:, :, None], np.take_along_axis(em, tags.T[:, :, None], 2) - MARGIN, 2)
         tr, y = self.p["tr"], tags.T
-        alpha, beta = np.zeros_like(em), np.zeros_like(em)
-        alpha[0] = em[0]
-        for s in range(1, t):
-            alpha[s] = em[s] + _lse(alpha[s - 1][:, :, None] + tr, 1)
-        for s in range(t - 2, -1, -1):
-            beta[s] = _lse(tr + (em[s + 1] + beta[s + 1])[:, None, :], 2)
-        z = _lse(alpha[-1], 1)
         rows = np.arange(n)
-        gold = sum(em[s, rows, y[s]] for s in range(t)) + sum(tr[y[s - 1], y[s]] for s in range(1, t))
-        d_em = np.exp(alpha + beta - z[None, :, None])
-        d_tr = np.zeros_like(tr)
-        for s in range(1, t):
-            d_tr += np.exp(alpha[s - 1][:, :, None] + tr + (em[s] + beta[s])[:, None, :] - z[:, None, None]).sum(0)
-            np.subtract.at(d_tr, (y[s - 1], y[s]), 1)
+        gold = sum(em[s, rows, y[s]] for s in range(t)) + tr[y[:-1], y[1:]].sum(0)
+        # forward and backward sums, scaled to 1 at each place
+        top = em.max(2, keepdims=True)
+        like, step = np.exp(em - top), np.exp(tr)
+        alpha, beta, scale = np.zeros_like(em), np.ones_like(em), np.zeros((t, n))
         for s in range(t):
-            d_em[s, rows, y[s]] -= 1
+            x = like[s] if s == 0 else (alpha[s - 1] @ step) * like[s]
+            scale[s] = x.sum(1)
+            alpha[s] = x / scale[s][:, None]
+        z = np.log(scale).sum(0) + top.sum((0, 2))
+        d_tr = np.zeros_like(tr)
+        for s in range(t - 1, 0, -1):
+            x = like[s] * beta[s] / scale[s][:, None]
+            d_tr += step * (alpha[s - 1].T @ x)
+            beta[s - 1] = x @ step.T
+        np.subtract.at(d_tr, (y[:-1].ravel(), y[1:].ravel()), 1)
+        d_em = alpha * beta
+        np.put_along_axis(d_em, y[:, :, None], np.take_along_axis(d_em, y[:, :, None], 2) - 1, 2)
         d_em /= n
         d_h = d_em @ self.p["wo"].T
         d_tf, d_wf = _lstm_back(self.p["wf"], ids, kf, d_h[:, :, :HIDDEN])
@@ -135,29 +157,8 @@ class Tagger:
             out[:, s - 1] = back[s, np.arange(n), out[:, s]]
         return out
 
-    def tag(self, seqs: list[np.ndarray], batch: int = 512) -> list[np.ndarray]:
-        """Tags of each sequence of classes: overlapping windows, each place by the window it is most central in."""
-        jobs = []
-        for k, s in enumerate(seqs):
-            n = len(s)
-            starts = list(range(0, max(n - WINDOW, 0) + STRIDE, STRIDE)) if n > WINDOW else [0]
-            starts = [min(a, n - WINDOW) for a in starts] if n > WINDOW else starts
-            starts = sorted(set(starts))
-            for j, a in enumerate(starts):
-                lo = 0 if j == 0 else (starts[j - 1] + WINDOW + a) // 2
-                hi = n if j == len(starts) - 1 else (a + WINDOW + starts[j + 1]) // 2
-                jobs.append((k, a, lo, hi))
-        out = [np.zeros(len(s), np.int8) for s in seqs]
-        for at in range(0, len(jobs), batch):
-            part = jobs[at : at + batch]
-            ids = np.zeros((len(part), WINDOW), np.uint8)
-            for i, (k, a, _, _) in enumerate(part):
-                w = seqs[k][a : a + WINDOW]
-                ids[i, : len(w)] = w
-            tags = self.decode(ids)
-            for i, (k, a, lo, hi) in enumerate(part):
-                out[k][lo:hi] = tags[i, lo - a : hi - a]
-        return out
+    def reader(self) -> Reader:
+        return Reader(self.p)
 
 
 def spans_of(tags: np.ndarray) -> list[tuple[int, int, int]]:
@@ -175,16 +176,170 @@ def spans_of(tags: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
+class Reader:
+    """Reads whole texts with single-precision copies of a tagger's parameters."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        half = np.r_[np.full(3 * HIDDEN, 0.5), np.ones(HIDDEN)]  # sigmoid(x) = (tanh(x / 2) + 1) / 2
+        f = lambda x: np.ascontiguousarray(x, np.float32)
+        self.sides = [(f((p[t] * half).T), f((p[w] * half).T)) for t, w in (("tf", "wf"), ("tb", "wb"))]
+        self.out = f(p["wo"][:HIDDEN].T), f(p["wo"][HIDDEN:].T), f(p["bo"][:, None])
+        self.tr = f(p["tr"])
+        others = range(1, N_TAGS)
+        #: What transitions can make up for at most, by tag.
+        self.most = f([(self.tr[:, k] - self.tr[:, 0]).max() + (self.tr[k] - self.tr[0]).max() + 1e-3 for k in others])
+
+    @staticmethod
+    def states(side, ids: np.ndarray) -> np.ndarray:
+        """(T, HIDDEN, B) of one direction over ids (T, B)."""
+        (table, wh), (t, b) = side, ids.shape
+        out, h, c, tc = np.empty((t, HIDDEN, b), np.float32), np.zeros((HIDDEN, b), np.float32), np.zeros((HIDDEN, b), np.float32), np.empty((HIDDEN, b), np.float32)
+        z, y = np.empty((4 * HIDDEN, b), np.float32), np.empty((4 * HIDDEN, b), np.float32)
+        gates, i, f, o, g = z[: 3 * HIDDEN], z[:HIDDEN], z[HIDDEN : 2 * HIDDEN], z[2 * HIDDEN : 3 * HIDDEN], z[3 * HIDDEN :]
+        for s in range(t):
+            np.take(table, ids[s], axis=1, out=z, mode="clip")
+            np.matmul(wh, h, out=y)
+            np.add(z, y, out=z)
+            np.tanh(z, out=z)
+            gates += 1
+            gates *= 0.5
+            c *= f
+            i *= g
+            c += i
+            np.tanh(c, out=tc)
+            h = out[s]
+            np.multiply(o, tc, out=h)
+        return out
+
+    def emissions(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """(T, tags, B) over ids (T, B); a column counts up to its length."""
+        t = len(ids)
+        back = np.maximum(lengths[None, :] - 1 - np.arange(t)[:, None], 0)
+        whole = (lengths == t).all()
+        f = self.states(self.sides[0], ids)
+        b = self.states(self.sides[1], np.ascontiguousarray(ids[::-1]) if whole else np.take_along_axis(ids, back, 0))
+        b = b[::-1] if whole else np.take_along_axis(b, back[:, None, :], 0)
+        em = np.matmul(self.out[0], f)
+        em += np.matmul(self.out[1], b)
+        em += self.out[2]
+        return em
+
+    def unsure(self, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Places where "no span" isn't sure, ascending, and their emissions. A sequence's places come one after the last one's end."""
+        size = np.array([len(x) for x in seqs], np.int64)
+        first = np.cumsum(size + 1) - size - 1
+        jobs = []
+        for k, n in enumerate(size.tolist()):
+            starts = [0] if n <= SPAN else [*range(0, n - SPAN, SPAN - 2 * CONTEXT), n - SPAN]
+            for j, a in enumerate(starts):
+                lo = 0 if j == 0 else (starts[j - 1] + SPAN + a) // 2
+                hi = n if j == len(starts) - 1 else (a + SPAN + starts[j + 1]) // 2
+                jobs.append((min(n, SPAN), k, a, lo - a, hi - a))
+        jobs.sort()
+        places, values = [], []
+        for at in range(0, len(jobs), BATCH):
+            part = [j for j in jobs[at : at + BATCH] if j[0]]
+            if not part:
+                continue
+            n, k, a, lo, hi = (np.array(x) for x in zip(*part))
+            ids = np.zeros((int(n.max()), len(part)), np.intp)
+            for i, (m, q, start, _, _) in enumerate(part):
+                ids[:m, i] = seqs[q][start : start + m]
+            em = self.emissions(ids, n)
+            lead = ((em[:, :1] - em[:, 1:]) > self.most[None, :, None]).all(1)
+            t = np.arange(len(ids))[:, None]
+            t, col = np.nonzero(~lead & (t >= lo) & (t < hi))
+            places.append(first[k[col]] + a[col] + t)
+            values.append(em[t, :, col])
+        if not places:
+            return np.zeros(0, np.int64), np.zeros((0, N_TAGS), np.float32)
+        place, value = np.concatenate(places), np.concatenate(values)
+        order = np.argsort(place)
+        return place[order], value[order]
+
+    def spans(self, seqs: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
+        """(kind, start, end) of each sequence of classes, by the best path over the whole sequence."""
+        size = np.array([len(x) for x in seqs], np.int64)
+        stop = np.cumsum(size + 1) - 1
+        place, em = self.unsure(seqs)
+        out: list[list] = [[] for _ in seqs]
+        if not len(place):
+            return out
+        cuts = np.flatnonzero(np.diff(place) > 1) + 1
+        begin, end = np.r_[0, cuts], np.r_[cuts, len(place)]
+        seq = np.searchsorted(stop, place[begin], "right")
+        first = stop[seq] - size[seq]
+        free, closed = place[begin] == first, place[end - 1] + 1 == stop[seq]  # at a text's start and end nothing stands beside
+        length = end - begin
+        order = np.argsort(length, kind="stable")
+        found = []
+        for at in range(0, len(order), BATCH):
+            pick = order[at : at + BATCH]
+            t = int(length[pick].max())
+            rows = np.minimum(begin[pick][:, None] + np.arange(t), end[pick][:, None] - 1)
+            tags = self.path(em[rows], length[pick], free[pick], closed[pick])
+            for i, s in enumerate(pick.tolist()):
+                if tags[i, : length[s]].any():
+                    base = int(place[begin[s]] - first[s])
+                    found += [(int(seq[s]), base + x, base + y, kind) for kind, x, y in spans_of(tags[i, : length[s]])]
+        for k, x, y, kind in sorted(found):
+            out[k].append((kind, x, y))
+        return out
+
+    def path(self, em: np.ndarray, length: np.ndarray, free: np.ndarray, closed: np.ndarray) -> np.ndarray:
+        """Best tags (B, T) of stretches (B, T, tags) between places without a span."""
+        n, t, _ = em.shape
+        rows = np.arange(n)
+        best = em[:, 0] + np.where(free[:, None], 0, self.tr[0])
+        back = np.zeros((t, n, N_TAGS), np.int8)
+        last = best.copy()
+        for s in range(1, t):
+            x = best[:, :, None] + self.tr
+            back[s] = x.argmax(1)
+            best = em[:, s] + x.max(1)
+            on = length > s
+            last[on] = best[on]
+        last = last + np.where(closed[:, None], 0, self.tr[:, 0])
+        now = last.argmax(1)
+        out = np.zeros((n, t), np.int8)
+        out[rows, length - 1] = now
+        for s in range(t - 1, 0, -1):
+            on = np.flatnonzero(length > s)
+            now[on] = back[s, on, now[on]]
+            out[on, s - 1] = now[on]
+        return out
+
+
 # Labelled spans -------------------------------------------------------------------------------
 
 
-def _words(r, n):
-    parts = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "é", "ou", "sch", "ü", "ción", "le"]
-    return " ".join("".join(r.choice(parts, r.integers(1, 4))) for _ in range(n))
+ONSETS = ["", "", *"bcdfghjklmnpqrstvwz", "th", "sh", "ch", "st", "tr", "pr", "gr", "bl", "sch", "qu", "ñ", "ç"]
+NUCLEI = [*"aaeeeiioou", "ea", "ou", "ie", "ei", "au", "é", "è", "ü", "ö", "ó", "í"]
+CODAS = ["", "", "", *"nrstlmdx", "ng", "nd", "nt", "st", "ch", "tz", "ll", "ß", "sh", "tion", "ly", "ment", "ung", "ción"]
+LITTLE = "the of and to in is a that for it was on are with as at by from der die und das nicht ein zu den von les des est que un une dans pour la le et el los y para en con del por se mail call phone card number address dot server host".split()
+LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+
+def _word(r) -> str:
+    if r.random() < 0.3:
+        return r.choice(LITTLE)
+    return "".join(r.choice(ONSETS) + r.choice(NUCLEI) + r.choice(CODAS) for _ in range(r.choice((1, 1, 2, 2, 3, 4))))
+
+
+def _prose(r, n: int) -> str:
+    """n words with capitals, marks and line ends."""
+    out, start = [], r.random() < 0.3
+    for _ in range(n):
+        w = _word(r)
+        out.append(w.capitalize() if start or r.random() < 0.03 else w)
+        mark = r.random()
+        start = mark < 0.08
+        out.append(r.choice((". ", ".\n", "? ", "! ", ".")) if start else r.choice((", ", ": ", "; ", "\n", " - ", "\n\n", "&&& ", " | ", "* ", "... ", ") ", " (", "/", "_", "' ", "=", "@")) if mark < 0.16 else " ")
+    return "".join(out)
 
 
 def _digits(r, n):
-    return "".join(map(str, r.integers(0, 10, n)))
+    return "".join(r.choices(DIGITS, k=n))
 
 
 def luhn(d: str) -> bool:
@@ -196,66 +351,72 @@ def luhn(d: str) -> bool:
 
 
 def _card(r):
-    head = r.choice(["4", "51", "37", "6011"]) + _digits(r, 11)
-    head = head[:15]
+    head = (r.choice(("4", "51", "37", "6011", "")) + _digits(r, 15))[:15]
     return next(head + str(k) for k in range(10) if luhn(head + str(k)))
 
 
+def _low(r, a: int, b: int) -> str:
+    """A name of a to b letters."""
+    if r.random() < 0.4:
+        return "".join(r.choices(LETTERS, k=r.randint(a, b)))
+    plain = [x for x in ("".join(c for c in _word(r) if c in LETTERS)[:b] for _ in range(4)) if len(x) >= a]
+    return plain[0] if plain else "".join(r.choices(LETTERS, k=a))
+
+
 def _personal(r, kind):
-    low = lambda n: "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
     if kind == "email":
-        user, host, top = low(r.integers(3, 8)) + r.choice(["", "." + _digits(r, 2), "_" + low(3)]), low(r.integers(3, 8)), r.choice(["com", "org", "net", "fr", "de"])
-        at, dot = [("@", "."), ("@", "."), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), (" [at] ", "."), (" (at) ", ".")][r.integers(7)]
-        return f"{user}{at}{host}{r.choice(['', str(r.integers(10))])}{dot}{r.choice(['', 'mail.'])}{top}"
+        user = _low(r, 2, 9) + r.choice(("", "", "." + _digits(r, 2), "_" + _low(r, 3, 6), "." + _low(r, 3, 8), "-" + _low(r, 2, 5), "+" + _low(r, 2, 5), _digits(r, 2)))
+        at, dot = r.choice((("@", "."), ("@", "."), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), ("[at]", "[dot]"), (" [at] ", "."), (" (at) ", "."), (" at ", " dot "), (" at ", " dot "), (" AT ", " DOT "), (" @ ", ".")))
+        host = _low(r, 3, 9) + r.choice(("", "", str(r.randrange(10)), "-" + _low(r, 2, 5)))
+        return user + at + dot.join([host, *([_low(r, 2, 5)] if r.random() < 0.2 else []), r.choice(("com", "org", "net", "fr", "de", "es", "io", "edu", "example", "info"))])
     if kind == "ip":
-        d = [".", ".", ".", "[.]", "(.)"][r.integers(5)]
-        return d.join(str(r.integers(0, 256)) for _ in range(4))
+        return r.choice((".", ".", "[.]", "(.)", " . ", "[dot]", " dot ")).join(str(r.randrange(r.choice((10, 100, 256)))) for _ in range(4))
     if kind == "card":
-        c = _card(r)
-        d = ["", "", " ", "-", ".", "/"][r.integers(6)]
+        c, d = _card(r), r.choice(("", "", " ", "-", ".", "/", "_"))
         return d.join(c[i : i + 4] for i in range(0, 16, 4))
     a, b, c = _digits(r, 3), _digits(r, 3), _digits(r, 4)
-    return [f"+1 ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"({a}){b}-{c}", f"00{_digits(r, 2)} {_digits(r, 3)} {_digits(r, 6)}", f"+{_digits(r, 2)} {a} {b}{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}"][r.integers(8)]
+    two = _digits(r, 2)
+    return r.choice((f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"({a}){b}-{c}", f"00{two} {b} {a}{b}", f"+{two} {a} {b}{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"1-{a}-{b}-{c}", f"00{two} {two} {c} {c}", f"0{a[:2]} {c} {c}", f"0{a[:2]}/{b}{c}"))
 
 
 def _plain(r):
-    hexa = "".join(r.choice(list("0123456789abcdef"), r.integers(12, 40)))
-    return [f'token = "{hexa}"', f"password={hexa[:12]}", f"AKIA{hexa[:16].upper()}", _digits(r, r.integers(1, 9)), f"{r.integers(1900, 2030)}-0{r.integers(1, 10)}-{r.integers(10, 29)}", f"v{r.integers(9)}.{r.integers(20)}.{r.integers(9)}", f"${r.integers(1, 999)}.{_digits(r, 2)}", f"{r.integers(24)}:{_digits(r, 2)}", f"@{hexa[:6]}", f"{_digits(r, 3)},{_digits(r, 3)},{_digits(r, 3)}", f"({r.integers(1, 99)})", "(at)", f"{r.integers(100)}%"][r.integers(13)]
+    hexa = "".join(r.choices("0123456789abcdef", k=r.randint(12, 40)))
+    return r.choice((
+        f'token = "{hexa}"', f"password={hexa[:12]}", f"AKIA{hexa[:16].upper()}", _digits(r, r.randint(1, 9)), f"{r.randrange(1900, 2030)}-0{r.randrange(1, 10)}-{r.randrange(10, 29)}",
+        f"v{r.randrange(9)}.{r.randrange(20)}.{r.randrange(9)}", f"${r.randrange(1, 999)}.{_digits(r, 2)}", f"{r.randrange(24)}:{_digits(r, 2)}", f"@{_low(r, 3, 8)}", f"{_digits(r, 3)},{_digits(r, 3)},{_digits(r, 3)}",
+        f"({r.randrange(1, 99)})", "(at)", f"{r.randrange(100)}%", f"{_word(r)} at {_word(r)}", f"the dot {_word(r)}", f"{_low(r, 3, 8)}.{_low(r, 3, 8)}", f"www.{_low(r, 3, 8)}.com", f"https://{_low(r, 3, 8)}.org/{_low(r, 2, 8)}", f"CC BY-{r.randrange(9)}.0", f"{r.randrange(9)}.{r.randrange(99)}",
+    ))
 
 
 def labelled(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """n windows (classes) with the tags of their spans."""
-    r = np.random.default_rng(seed)
+    """n windows (classes) with the tags of their spans; half of them are plain prose."""
+    r = random.Random(seed)
     ids, tags = np.zeros((n, WINDOW), np.uint8), np.zeros((n, WINDOW), np.int64)
     for k in range(n):
-        text, marks = _words(r, r.integers(0, 8)), []
-        while len(text) < WINDOW:
-            text += r.choice([" ", " ", "\n", ": ", ", ", ""]) if text else ""
-            if r.random() < 0.6:
-                kind = r.integers(4)
+        text, marks, rich = _prose(r, r.randrange(1, 9)), [], r.random() < 0.5
+        while len(text) < WINDOW + 60:
+            x = r.random()
+            if rich and x < 0.45:
+                kind = r.randrange(4)
                 s = _personal(r, KINDS[kind])
-                if text and text[-1:].isalnum():
-                    text += " "
+                text += r.choice((" ", " ", "\n", ": ", "(", ' "', "="))
                 marks.append((kind, len(text), len(text) + len(s)))
-                text += s + r.choice([" ", ". ", ", ", "\n"])
-            else:
-                text += (" " if text[-1:].isalnum() else "") + _plain(r) + " "
-            text += _words(r, r.integers(1, 5))
-        cut = r.integers(0, len(text) - WINDOW + 1) if r.random() < 0.5 else 0
-        ids[k] = classes(text)[cut : cut + WINDOW]
+                text += s + r.choice((" ", ". ", ", ", "\n", ") ", '" ', "; "))
+            elif x < 0.6:
+                text += " " + _plain(r) + " "
+            text += _prose(r, r.randrange(1, 8))
+        cut = r.randrange(len(text) - WINDOW + 1) if r.random() < 0.6 else 0
+        ids[k] = classes(text[cut : cut + WINDOW])
         for kind, a, b in marks:
             a, b = max(a - cut, 0), min(b - cut, WINDOW)
             if a < b:
                 tags[k, a:b] = 2 + 2 * kind
                 tags[k, a] = 1 + 2 * kind
-        if r.random() < 0.1:
-            stop = r.integers(20, WINDOW)
-            ids[k, stop:], tags[k, stop:] = PAD, 0
     return ids, tags
 
 
 @lru_cache(maxsize=2)
-def trained(seed: int = 11, windows: int = 2400, epochs: int = 5, batch: int = 32, rate: float = 0.012) -> Tagger:
+def trained(seed: int = 11, windows: int = 9600, epochs: int = 4, batch: int = 32, rate: float = 0.03) -> Tagger:
     """A tagger fitted by Adam to generated labelled spans."""
     ids, tags = labelled(seed, windows)
     model = Tagger.fresh(seed)
@@ -276,4 +437,5 @@ def trained(seed: int = 11, windows: int = 2400, epochs: int = 5, batch: int = 3
                 m[k] = 0.9 * m[k] + 0.1 * x
                 s[k] = 0.999 * s[k] + 0.001 * x * x
                 model.p[k] -= now * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
+            np.clip(model.p["tr"], -MOST_TRANSITION, MOST_TRANSITION, out=model.p["tr"])
     return model

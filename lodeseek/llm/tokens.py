@@ -16,17 +16,34 @@ import xxhash
 
 #: Above every rank.
 NONE = 1 << 40
-#: Rows of an Arrow batch of texts.
-BATCH_ROWS = 2000
-#: Texts are handed on in slices of at most this many UTF-8 bytes (or one text).
+#: Texts are handed on in slices of at most this many UTF-8 bytes (or one text). What Spark sends a worker at
+#: once is bounded by the session's spark.sql.execution.arrow.maxRecordsPerBatch and maxBytesPerBatch (64 MB).
 SLICE_BYTES = 4 << 20
-#: Entries of each of the two generations of a worker's memo of pieces, and of that of pre-tokens.
-MEMO_ENTRIES = 80_000
-TOKEN_ENTRIES = 200_000
+#: Entries of each of the two generations of a worker's memo of pieces, and of those of line starts and of pre-tokens.
+MEMO_ENTRIES = 200_000
+FEW_ENTRIES = 30_000
 #: Longer pieces are encoded without a place in the memo.
 MEMO_PIECE = 64
 
 
+# Letters and numbers that Unicode has assigned after its version 16, whose classes the BPE contract
+# uses. The regex module may know later versions; these code points are no letters or numbers to the tokenizer.
+NEWER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE "
+    "11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA "
+    "18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE "
+    "1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+
+
+def compiled(pattern: str) -> regex.Pattern:
+    """The pattern with the classes of letters and numbers of Unicode 16."""
+    newer = "".join("-".join(rf"\U{int(x, 16):08X}" for x in part.split("-")) for part in NEWER.split())
+    for c in (r"\p{L}", r"\p{N}"):
+        pattern = pattern.replace(c, f"[{c}--[{newer}]]")
+    return regex.compile(f"(?V1){pattern}")
+
+
 class PerfectHash:
     """Minimal perfect hash by displacement: n keys, n slots, one small integer a bucket.
 
@@ -74,18 +91,15 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.pattern = regex.compile(pattern)
+        self.plain, self.pattern = regex.compile(pattern), compiled(pattern)  # the first is faster and does for ASCII
         keys = list(ranks)
         self.hash = PerfectHash(keys)
         self.rank_at = [ranks[k] for k in self.hash.keys]
-        self.pieces: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
-        for k, r in ranks.items():
-            self.pieces[r] = k
-        self.lengths = np.array([len(x) for x in self.pieces], dtype=np.int64)
-        self.twos = [ranks.get(bytes((i >> 8, i & 255)), NONE) for i in range(1 << 16)]
-        self.tokens = Memo(self.encode_token, TOKEN_ENTRIES)
-        self.lead = Memo(self.encode_piece)
+        self.twos = array("q", (ranks.get(bytes((i >> 8, i & 255)), NONE) for i in range(1 << 16)))
+        self.tokens = Memo(self.encode_token, FEW_ENTRIES)
+        self.lead = Memo(self.encode_piece, FEW_ENTRIES)
         self.spaced = Memo(lambda p: self.encode_piece(" " + p))
+        self.line_end = self.encode_token("\n") if ranks else b""
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token: a heap of neighbouring pairs over bytes linked both ways."""
@@ -129,14 +143,30 @@ class Codec:
 
     def encode_piece(self, piece: str) -> bytes:
         """Ids of a piece as little-endian 32-bit integers."""
-        found = self.pattern.findall(piece)
-        return self.tokens(found[0]) if len(found) == 1 else b"".join(map(self.tokens, found))
+        found = (self.plain if piece.isascii() else self.pattern).findall(piece)
+        # a piece of one pre-token has its place in the memo of pieces
+        return self.encode_token(found[0]) if len(found) == 1 else b"".join(map(self.tokens, found))
 
     def encode(self, text: str) -> bytes:
-        return join_pieces(text, self.lead, self.spaced)
+        return join_pieces(text, self.lead, self.spaced, self.line_end)
+
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))
+class Decoder:
+    """Bytes of ids; an id outside the vocabulary is an error."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.pieces: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+        for k, r in ranks.items():
+            self.pieces[r] = k
+        self.lengths = np.array([len(x or b"") for x in self.pieces], dtype=np.int64)
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        if len(ids) and ids.min() < 0:
+            raise ValueError("an id is below 0")
+        try:
+            return b"".join(map(self.pieces.__getitem__, ids.tolist()))
+        except (IndexError, TypeError):
+            raise ValueError("an id is not in the vocabulary") from None
 
 
 class Memo:
@@ -172,17 +202,23 @@ _CROWDED = re.compile(r"\s\s|\A\s|\s\Z")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
-def join_pieces(text: str, lead, spaced: Memo) -> bytes:
+def join_pieces(text: str, lead, spaced: Memo, line_end: bytes) -> bytes:
     """Encodes a text piece by piece and joins the results.
 
     A pre-token has a space only as its first character, unless it is white space throughout.
-    So a text can be cut before each single space that stands between other characters.
+    So a text can be cut before each single space that stands between other characters, and a
+    single line end between other characters is a pre-token of its own.
     """
     if not text:
         return b""
     if _CROWDED.search(text) is None:
-        first, *rest = text.split(" ")
-        return b"".join([lead(first), *spaced.all(rest)])
+        out = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out.append(lead(first))
+            out += spaced.all(rest)
+            out.append(line_end)
+        return b"".join(out[:-1])
     return b"".join([spaced(p[1:]) if i and p[0] == " " else lead(p) for i, p in enumerate(_CUT.split(text))])
 
 
@@ -191,19 +227,20 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
+def ranks_of(raw: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
+
+
 @lru_cache(maxsize=2)
 def codec(raw: bytes, pattern: str) -> Codec:
     """One codec a worker; raw is the text of a rank file."""
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
-    return Codec(ranks, pattern)
+    return Codec(ranks_of(raw), pattern)
 
 
-def smaller_batches(rows) -> None:
-    """Arrow batches of at most BATCH_ROWS rows from now on in the session, so that texts and ids of a batch stay small."""
-    conf = rows.sparkSession.conf
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+@lru_cache(maxsize=2)
+def decoder(raw: bytes) -> Decoder:
+    """One decoder a worker."""
+    return Decoder(ranks_of(raw))
 
 
 def slices(batch: pa.RecordBatch, column: str):

@@ -6,13 +6,14 @@ import pytest
 import tiktoken
 
 from lodeseek.llm import op1_bpe
-from lodeseek.llm.tokens import Memo, PerfectHash, codec, read_ranks
+from lodeseek.llm.tokens import NEWER, Memo, PerfectHash, codec, decoder, read_ranks
 
 
 @pytest.fixture(scope="module")
 def tools():
     voc, pattern = op1_bpe.vocabulary()
     c = codec(read_ranks(voc), pattern)
+    c.decode = decoder(read_ranks(voc))
     return c, tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=c.ranks, special_tokens={})
 
 
@@ -36,7 +37,38 @@ def test_same_ids_as_tiktoken(tools):
     texts += ["", " ", "\n\n", "a" * 5000, " " * 3000, "<|endoftext|>", "it's  we'll\n x"]
     for x in texts:
         assert ids(c, x) == t.encode_ordinary(x), repr(x)
-        assert c.decode(ids(c, x)) == x.encode()
+        assert c.decode(np.array(ids(c, x), np.int32)) == x.encode()
+
+
+def test_same_ids_over_all_of_unicode(tools):
+    c, t = tools
+    rng = random.Random(9)
+    newer = [chr(int(x, 16)) for part in NEWER.split() for x in part.split("-")]
+    anything = lambda: chr(rng.choice((rng.randrange(0xD800), rng.randrange(0xE000, 0x110000))))
+    texts = ["\U0001094d's", "\U00018fb4't"]
+    texts += ["".join(rng.choice((anything, lambda: rng.choice(newer), lambda: rng.choice("a's't \n.A9  \t")))() for _ in range(rng.randrange(10))) for _ in range(20000)]
+    for x in texts:
+        assert ids(c, x) == t.encode_ordinary(x), repr(x)
+
+
+def test_lines_and_long_texts(tools):
+    c, t = tools
+    rng = random.Random(2)
+    for x in ["a\nb", "one two\nthree. Four\n5", "a\tb\nc d", "\nx", "x\n", "a\r\nb", "word " * 60000 + "end", "\n".join(["ab cd"] * 20000), "".join(rng.choices("ab \n", k=5000))]:
+        assert ids(c, x) == t.encode_ordinary(x), repr(x[:50])
+
+
+def test_decoding_refuses_other_ids(spark, tools):
+    c, _ = tools
+    for bad in ([-1], [10**6], [0, -5]):
+        with pytest.raises(ValueError):
+            c.decode(np.array(bad, np.int32))
+    voc, _ = op1_bpe.vocabulary()
+    ok = op1_bpe.decode(spark.createDataFrame([(1, None), (2, []), (3, [0, 1])], "k long, ids array<int>"), voc).collect()
+    assert sorted((r.k, bytes(r.decoded)) for r in ok) == [(1, b""), (2, b""), (3, b"!\"")]
+    for bad in ([None], [-1], [10**6]):
+        with pytest.raises(Exception, match="an id is"):
+            op1_bpe.decode(spark.createDataFrame([(bad,)], "ids array<int>"), voc).collect()
 
 
 def test_memo_is_bounded_and_right():
@@ -63,7 +95,8 @@ def test_op1_on_whole_table(spark, sf_dir, tools):
 def test_op1_edges(spark):
     voc, pattern = op1_bpe.vocabulary()
     df = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (2, "", "y"), (3, "hi there", None)], "doc_id long, text string, ids string")
-    out = op1_bpe.decode(op1_bpe.encode(df, voc, pattern), voc, pattern)
+    out = op1_bpe.decode(op1_bpe.encode(df, voc, pattern), voc)
+    assert sorted(map(str, out.collect())) == sorted(map(str, op1_bpe.round_trip(df, voc, pattern).collect()))
     rows = sorted((r.doc_id, len(r.ids), bytes(r.decoded)) for r in out.collect())
     assert rows == [(1, 0, b""), (2, 0, b""), (2, 0, b""), (3, 2, b"hi there")]
     assert op1_bpe.encode(df.limit(0), voc, pattern).count() == 0
