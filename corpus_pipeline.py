@@ -33,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data are masked in the texts."""
-    out = op5_pii.mask(op5_pii.find(docs.select(*COLUMNS)))
+    out = op5_pii.mask(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
@@ -53,7 +53,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and whether the ids decode to the text."""
     voc, pattern = op1_bpe.vocabulary()
-    out = op1_bpe.decode(op1_bpe.encode(docs.select("doc_id", "text", "lang", "source"), voc, pattern), voc, pattern)
+    out = op1_bpe.round_trip(docs.select("doc_id", "text", "lang", "source"), voc, pattern)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
