@@ -7,8 +7,10 @@ one that holds most of its characters, the earlier of equals ("most"). A token w
 character lies in no section counts in none. Spans are in code points, ends exclusive; a token
 that begins or ends within a character's bytes covers that character.
 
-Edge cases: null and empty texts have their sections with no tokens; null sections give no row;
-sections must not overlap, empty ones get no token; repeated rows each give their rows.
+Edge cases: null and empty texts have their sections with no tokens; texts of any length are encoded
+whole; null sections give no row; sections that overlap are an error, empty ones get no token; repeated
+rows each give their rows; an empty table gives no row; other columns are left out, whatever their names;
+a key named like a result column is returned as `key`.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from .tokens import codec, decoder, read_ranks, slices
 from .common import text_of
 
 RULES = ("start", "end", "most")
+RESULT = ("section", "char_start", "char_end", "n_tokens", "n_crossing")
 
 
 def head_body_tail(text: str = "text") -> Column:
@@ -74,7 +77,7 @@ def count(docs: DataFrame, vocabulary: str, pattern: str, sections: Column, key:
         raise ValueError(f"rule must be one of {RULES}")
     raw = read_ranks(vocabulary)
     rows = docs.select(F.col(key).alias("k"), text_of(text).alias("t"), sections.alias("s"))
-    kind = docs.schema[key].dataType.simpleString()
+    kind, name = docs.schema[key].dataType.simpleString(), "key" if key in RESULT else key
 
     def run(batches):
         enc, lengths = codec(raw, pattern), decoder(raw).lengths
@@ -87,6 +90,8 @@ def count(docs: DataFrame, vocabulary: str, pattern: str, sections: Column, key:
                         continue
                     found = sorted(found, key=lambda x: (x["start"], x["end"]))
                     full = [x for x in found if x["start"] < x["end"]]
+                    if any(x["end"] > y["start"] for x, y in zip(full, full[1:])):
+                        raise ValueError("sections overlap")
                     first, stop = spans(t, np.frombuffer(enc.encode(t), "<i4"), lengths)
                     n, c = allot(first, stop, np.array([x["start"] for x in full], np.int64), np.array([x["end"] for x in full], np.int64), rule)
                     i = 0
@@ -99,14 +104,14 @@ def count(docs: DataFrame, vocabulary: str, pattern: str, sections: Column, key:
                 if out:
                     cols = list(zip(*out))
                     types = [part.schema.field("k").type, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[key, "section", "char_start", "char_end", "n_tokens", "n_crossing"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[name, *RESULT])
 
-    return rows.mapInArrow(run, f"`{key}` {kind}, section string, char_start long, char_end long, n_tokens long, n_crossing long")
+    return rows.mapInArrow(run, f"`{name}` {kind}, section string, char_start long, char_end long, n_tokens long, n_crossing long")
 
 
 def totals(counts: DataFrame, docs: DataFrame, key: str = "doc_id", by: str = "source") -> DataFrame:
-    """Tokens by a column of the documents and section."""
-    return counts.join(docs.select(key, by), key).groupBy(by, "section").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_crossing").alias("n_crossing"))
+    """Tokens by a column of the documents and section. Rows that repeat a key must agree in the column: each pair of key and value counts once."""
+    return counts.join(docs.select(key, by).distinct(), key).groupBy(by, "section").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_crossing").alias("n_crossing"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,21 +1,27 @@
 """SimHash fingerprints, and components of fingerprints at few differing bits.
 
-Search is by a forest of vantage-point trees over Hamming distance. If two fingerprints differ
-in at most r bits, then in one of r + 1 blocks of bits they don't differ at all: each tree's
-upper levels measure distances on its own block only, where the triangle bound has radius 0,
-so a fingerprint goes to one shard of each tree. Within a shard (dealt out as pairs of bounded
-blocks) a vantage point's distances on all bits split the rows into shells; by the triangle
-bound rows of shell d can link only with shells d - r to d + r, which are searched exactly.
+The search has two levels. Exact blocks of bits come first, since a vantage-point tree over random
+64-bit fingerprints alone would send each of them to half of all shards (see the README): if two
+fingerprints differ in at most r bits, then of m blocks of bits m - r are equal, so each choice of
+m - r blocks is a table, and a shard is the value of a table's blocks. m grows with the number of
+fingerprints, so that shards of fingerprints that aren't alike stay small. Below, each shard's rows
+(dealt out as pairs of bounded groups) are searched by a vantage-point tree: a vantage point's
+distances split both sides at their median, branches that the triangle bound excludes are
+pruned, rows within r of the boundary are asked on both sides, and small leaves are compared.
 
 Equal fingerprints are one node. What a group of rows finds is returned as the least node of
 each local component, never as pairs; nodes met in several groups tie these together.
 
 Edge cases: a null text counts as empty; texts without a word have fingerprint 0, which links
-like any other; repeated rows are documents of their own; an empty table gives no row.
+like any other; repeated rows are documents of their own; texts of any length are read whole; a
+row with a null key is no node: its component is that of documents with an equal fingerprint, null
+where no other row has one; other columns are left out, whatever their names; an empty table gives no row.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, resolve_roots, text_of
-from .grouping import by_group, deal, groups, local_roots
+from .grouping import GROUP, by_group, deal, groups, local_roots
 from .tokens import slices
 
 SHINGLE = 4
@@ -31,6 +37,10 @@ SEED = 42
 RADIUS = 4
 #: Rows of a block; a group has two blocks at most.
 BLOCK = 512
+#: Rows on both sides of a leaf of a vantage-point tree.
+LEAF = 128
+#: A shard of fingerprints that aren't alike has at most so many rows, if blocks can see to it.
+SHARD_ROWS = 256
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -64,31 +74,44 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     return rows.mapInArrow(run, "k long, fp long").withColumnRenamed("k", key)
 
 
-def linked(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Matrix of rows of a and b at most radius bits apart, by the shells of one vantage point."""
+def linked(a: np.ndarray, b: np.ndarray, radius: int, leaf: int = LEAF) -> np.ndarray:
+    """Matrix of rows of a and b at most radius bits apart, by a vantage-point tree over both."""
     out = np.zeros((len(a), len(b)), bool)
-    vantage = a[0]
-    da, db = np.bitwise_count(a ^ vantage), np.bitwise_count(b ^ vantage)
-    order = np.argsort(db, kind="stable")
-    shells = db[order]
-    for s in np.unique(da).tolist():
-        lo, hi = np.searchsorted(shells, s - radius, "left"), np.searchsorted(shells, s + radius, "right")
-        if lo < hi:
-            rows, cols = np.flatnonzero(da == s), order[lo:hi]
-            out[np.ix_(rows, cols)] = np.bitwise_count(a[rows][:, None] ^ b[cols][None, :]) <= radius
+    todo = [(np.arange(len(a)), np.arange(len(b)), 0)]
+    while todo:
+        i, j, depth = todo.pop()
+        if not len(i) or not len(j):
+            continue
+        if min(len(i), len(j)) <= leaf or depth > 40:
+            out[np.ix_(i, j)] = np.bitwise_count(a[i][:, None] ^ b[j][None, :]) <= radius
+            continue
+        vantage = a[i[depth % len(i)]]
+        da, db = np.bitwise_count(a[i] ^ vantage).astype(np.int16), np.bitwise_count(b[j] ^ vantage).astype(np.int16)
+        middle = int(np.median(da))
+        inner = da <= middle
+        near, far = j[db <= middle + radius], j[db > middle - radius]
+        if len(near) + len(far) > 1.9 * len(j) or inner.all():  # this vantage point splits nothing: rows of one ball
+            out[np.ix_(i, j)] = np.bitwise_count(a[i][:, None] ^ b[j][None, :]) <= radius
+            continue
+        todo += [(i[inner], near, depth + 1), (i[~inner], far, depth + 1)]
     return out
 
 
+def tables(n: int, radius: int = RADIUS) -> list[int]:
+    """Masks of the bits of each table for n fingerprints: of m blocks, m - radius at a time, of which one choice must be equal."""
+    for m in range(radius + 1, radius + 5):
+        blocks = [(1 << (64 * (i + 1) // m)) - (1 << (64 * i // m)) for i in range(m)]
+        if n >> (64 * (m - radius) // m) <= SHARD_ROWS:
+            break
+    return [sum(c) for c in combinations(blocks, m - radius)]
+
+
 def components(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """nodes: node (long) and fp, each fp once. Returns node, component."""
-    width, trees = [64 // (radius + 1) + (i < 64 % (radius + 1)) for i in range(radius + 1)], []
-    at = 0
-    for i, w in enumerate(width):
-        value = F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << w) - 1))
-        trees.append(F.lit(i << w).cast("long") + value if len(set(width)) == 1 else F.lit(i << max(width)).cast("long") + value)
-        at += w
-    rows = nodes.withColumn("shard", F.explode(F.array(*trees)))
-    rows = by_group(deal(rows, "shard", "fp", BLOCK).select("group", "left", "right", "node", "fp"))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    shards = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(mask)))) for i, mask in enumerate(tables(nodes.count(), radius))]
+    rows = nodes.withColumn("shard", F.explode(F.array(*shards)))
+    rows = by_group(deal(rows, "shard", "fp", BLOCK).select(*GROUP, "left", "right", "node", "fp"))
 
     def run(batches):
         nodes_out, roots_out = [], []

@@ -3,23 +3,27 @@
 A filter is a unit vector made of one codeword for each half of a randomly rotated space; a
 vector passes the filters whose caps hold it. Each vector's list of filters is decoded from
 its scores with the two halves' codewords: first codewords that no partner could lift over the
-cap's height are dropped, then the rest is paired. There are ROTATIONS such product codes, each
-with a height at which a vector passes about LIST filters: several short lists find more than
-a long one, as the lengths of lists of one code vary. Directions far from all codewords pass
-few caps or none, so each vector takes at least its FEWEST best filters of each code. Vectors
-are joined on filters and verified in double precision. Up to FEW_DIMS components, cells of a
-grid take the place of filters, and the search is exact.
+cap's height are dropped, then the rest is paired. There are several such product codes, each
+with a height at which a vector passes LIST filters on average. Directions far from all codewords
+pass few caps or none, so each vector takes at least its FEWEST best filters of each code. The
+number of codewords grows with the number of vectors, and codes are added until simulated pairs at
+the least cosine are found (see codes()).
+
+Vectors meet on filters in two rounds. The first moves ids and sketches (128 signs of random
+projections) only, and keeps the places (filter, vector) that have a partner whose sketch differs in
+no more bits than five deviations above what the least cosine gives. The second takes the vectors of
+these places alone and verifies in double precision. Up to FEW_DIMS components, cells of a grid
+take the place of filters, no sketch is asked, and the search is exact.
 
 Equal vectors are one node with a count. A pair that shares several filters counts in the
 least of them only, so numbers of links need no list of pairs; filters with many vectors are
 dealt out as pairs of bounded blocks.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link
-with nothing; vectors of different lengths don't link; repeated rows are vectors of their own
-that link with each other; an empty table gives no row. In more than FEW_DIMS components links
-are searched, not proven: of 6,000 pairs at a cosine of 0.9 around the 40 directions of 12,000
-that pass the fewest caps, all were found in 64 components (without FEWEST 0.554 of them, in the
-worst direction none); likewise in 10 and, of 3,000 directions, in 384.
+with nothing; so do rows with a null key, which get a null component and are kept; vectors of
+different lengths don't link; repeated rows are vectors of their own that link with each other; other
+columns are left out, whatever their names; an empty table gives no row. In more than FEW_DIMS
+components links are searched, not proven: figures of the recall are in the README.
 """
 
 from __future__ import annotations
@@ -33,41 +37,78 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, resolve_roots
-from .grouping import by_group, deal, groups, local_roots
+from .grouping import GROUP, by_group, deal, groups, local_roots
 
 MIN_COSINE = 0.9
-#: Product codes, codewords of each half, and filters of a code that a vector passes on average.
-ROTATIONS = 10
-CODES = 96
-LIST = 3
+#: Filters of a code that a vector passes on average, and at least, however far its direction is from the codewords.
+LIST, FEWEST = 1, 4
+#: Vectors of a filter to aim at; the least and the greatest number of codewords of a half.
+TARGET, LEAST_CODES, MOST_CODES = 256, 8, 4096
+#: Product codes: so many at least and at most, and the share of simulated pairs to find before no more are added.
+LEAST_ROTATIONS, MOST_ROTATIONS, RECALL = 5, 32, 0.9985
 SEED = 31
 BLOCK = 512
-#: Filters of each code that a vector passes at least, however far its direction is from the codewords.
-FEWEST = 6
 #: Vectors of so many components or fewer are searched exactly, in cells.
 FEW_DIMS = 8
+#: Deviations above the expected number of differing signs of a sketch.
+DEVIATIONS = 5
+
+
+def codewords(n: int, dim: int) -> int:
+    """Codewords of each half for n vectors: filters hold TARGET vectors or so; few components have few directions."""
+    return max(LEAST_CODES, min(round((n * FEWEST / TARGET) ** 0.5), MOST_CODES, 2 ** (dim // 2)))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 @lru_cache(maxsize=8)
-def codes(dim: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
-    """Rotation, codewords of both halves and the least sum of two scores of each code, for vectors of dim (even) components."""
+def codes(dim: int, size: int, min_cosine: float = MIN_COSINE) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+    """Rotation, codewords of both halves and the least sum of two scores of each code, for vectors of dim (even) components.
+
+    Codes are added until RECALL of 2000 simulated pairs at min_cosine share a filter, then one more.
+    """
     r = np.random.default_rng(SEED + dim)
-    half = dim // 2
-    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
-    x, out = unit(r.normal(size=(300, dim))), []
-    for _ in range(ROTATIONS):
+    half, out = dim // 2, []
+    x = unit(r.normal(size=(2000, dim)))
+    z = r.normal(size=x.shape)
+    y = min_cosine * x + (1 - min_cosine**2) ** 0.5 * unit(z - (z * x).sum(1, keepdims=True) * x)
+    met, enough = np.zeros(len(x), bool), False
+    while len(out) < MOST_ROTATIONS:
         rotation = np.linalg.qr(r.normal(size=(dim, dim)))[0]
-        u, v = unit(r.normal(size=(CODES, half))), unit(r.normal(size=(CODES, half)))
-        y = x @ rotation
-        sums = ((y[:, :half] @ u.T)[:, :, None] + (y[:, half:] @ v.T)[:, None, :]).ravel()
-        out.append((rotation, u, v, float(np.quantile(sums, 1 - LIST / CODES**2))))
+        u, v = unit(r.normal(size=(size, half))), unit(r.normal(size=(size, half)))
+        w = x[:300] @ rotation
+        top = -np.sort(-best_sums(w[:, :half] @ u.T, w[:, half:] @ v.T, min(8 * LIST, size)), axis=1)
+        out.append((rotation, u, v, float(np.quantile(top[:, :LIST], 0.5))))
+        both = [best_of(a @ rotation[:, :half] @ u.T, a @ rotation[:, half:] @ v.T, FEWEST) for a in (x, y)]
+        f, g = (i.astype(np.int64) * size + j for i, j in both)
+        met |= (f[:, :, None] == g[:, None, :]).any((1, 2))
+        if enough and len(out) >= LEAST_ROTATIONS:
+            break
+        enough = met.mean() >= RECALL
     return out
 
 
+@lru_cache(maxsize=8)
+def planes(dim: int) -> np.ndarray:
+    return np.random.default_rng((SEED, dim)).normal(size=(dim, 128))
+
+
+def sketches(x: np.ndarray) -> np.ndarray:
+    """Two words of signs of each row."""
+    return np.packbits(x @ planes(x.shape[1]) > 0, axis=1, bitorder="little").view("<i8")
+
+
+def most_bits(min_cosine: float) -> int:
+    p = float(np.arccos(min_cosine)) / np.pi
+    return int(np.ceil(128 * p + DEVIATIONS * (128 * p * (1 - p)) ** 0.5))
+
+
 def even(x: np.ndarray) -> np.ndarray:
     """Unit vectors with a zero component more where their number is odd."""
     x = x / np.abs(x).max(1, keepdims=True)
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(x)
     return np.hstack([x, np.zeros((len(x), 1))]) if x.shape[1] % 2 else x
 
 
@@ -98,9 +139,9 @@ def cells_of(x: np.ndarray, min_cosine: float) -> list[np.ndarray]:
 
 
 def by_row(row: np.ndarray, f: np.ndarray, n: int) -> list[np.ndarray]:
-    """f of each of n rows, ascending, without repetitions."""
-    both = np.unique(row.astype(np.int64) << 20 | f)
-    return np.split((both & ((1 << 20) - 1)).astype(np.int32), np.searchsorted(both >> 20, np.arange(1, n)))
+    """f (below 2**32) of each of n rows, ascending, without repetitions."""
+    both = np.unique(row.astype(np.int64) << 32 | f)
+    return np.split(both & ((1 << 32) - 1), np.searchsorted(both >> 32, np.arange(1, n)))
 
 
 def best_of(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,48 +152,94 @@ def best_of(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
     return np.take_along_axis(i, top // k, 1), np.take_along_axis(j, top % k, 1)
 
 
-def filters_of(x: np.ndarray) -> list[np.ndarray]:
+def best_sums(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    i, j = best_of(a, b, k)
+    return np.take_along_axis(a, i, 1) + np.take_along_axis(b, j, 1)
+
+
+def filters_of(x: np.ndarray, size: int, min_cosine: float = MIN_COSINE) -> list[np.ndarray]:
     """The filters of each row of unit vectors, ascending."""
     half = x.shape[1] // 2
     out_row, out_f = [], []
-    for c, (rotation, u, v, height) in enumerate(codes(x.shape[1])):
+    for c, (rotation, u, v, height) in enumerate(codes(x.shape[1], size, min_cosine)):
         y = x @ rotation
         a, b = y[:, :half] @ u.T, y[:, half:] @ v.T
         rows, i = np.nonzero(a + b.max(1, keepdims=True) >= height)
-        for at in range(0, len(rows), 20_000):
-            r, k = rows[at : at + 20_000], i[at : at + 20_000]
+        for at in range(0, len(rows), 4_000_000 // size + 1):
+            r, k = rows[at : at + 4_000_000 // size + 1], i[at : at + 4_000_000 // size + 1]
             p, j = np.nonzero(a[r, k][:, None] + b[r] >= height)
             out_row.append(r[p])
-            out_f.append((c * CODES + k[p]) * CODES + j)
+            out_f.append((c * size + k[p]) * size + j)
         i, j = best_of(a, b, FEWEST)
         out_row.append(np.repeat(np.arange(len(x)), FEWEST))
-        out_f.append(((c * CODES + i) * CODES + j).ravel())
+        out_f.append(((c * size + i.astype(np.int64)) * size + j).ravel())
     return by_row(np.concatenate(out_row), np.concatenate(out_f), len(x))
 
 
+def lists_of(x: np.ndarray, dim: int, size: int, min_cosine: float) -> list[np.ndarray]:
+    """Filters of rows that had dim components; cells where there are few."""
+    return cells_of(x, min_cosine) if dim <= FEW_DIMS else filters_of(x, size, min_cosine)
+
+
 def matrix(col) -> np.ndarray:
     """Rows of equal length as doubles."""
     flat = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
-def with_filters(reps: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """reps (node, mult, embedding) with filters and dim."""
-    kind = reps.schema["embedding"].dataType.simpleString()
+#: Rows that are read into matrices at once.
+ROWS = 2000
+
+
+def places(reps: DataFrame, sizes: dict[int, int], min_cosine: float = MIN_COSINE) -> DataFrame:
+    """shard, node, s0, s1: a row for each filter of reps (node, embedding), with the sketch."""
 
     def run(batches):
         for batch in batches:
             dims = pc.list_value_length(batch.column("embedding")).to_numpy(zero_copy_only=False)
             for d in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == d))
-                x = even(matrix(part.column("embedding")))
-                f = cells_of(x, min_cosine) if d <= FEW_DIMS else filters_of(x)
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("mult"), part.column("embedding"), pa.array(f, pa.list_(pa.int32())), pa.array(np.full(len(f), d, np.int32))], names=["node", "mult", "embedding", "filters", "dim"])
+                for at in range(0, part.num_rows, ROWS):
+                    some = part.slice(at, ROWS)
+                    x = even(matrix(some.column("embedding")))
+                    lists, s = lists_of(x, d, sizes[d], min_cosine), sketches(x)
+                    row = np.repeat(np.arange(len(x)), [len(f) for f in lists])
+                    shard = (d << 32) + np.concatenate(lists)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), some.column("node").take(pa.array(row)), pa.array(s[row, 0]), pa.array(s[row, 1])], names=["shard", "node", "s0", "s1"])
+
+    return reps.mapInArrow(run, "shard long, node long, s0 long, s1 long")
 
-    return reps.mapInArrow(run, f"node long, mult long, embedding {kind}, filters array<int>, dim int")
 
+def likely(rows: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
+    """The places (shard, node) that have a partner with a near sketch, from places()."""
+    most = most_bits(min_cosine)
+    rows = by_group(deal(rows, "shard", "node", BLOCK).select(*GROUP, "left", "right", "node", "s0", "s1"))
 
-def verify(t: pa.Table, this: int, min_cosine: float):
+    def run(batches):
+        shards, nodes = [], []
+        for shard, t in groups(batches):
+            if t.num_rows > 1:
+                node = t.column("node").to_numpy()
+                s = np.stack([t.column(c).to_numpy() for c in ("s0", "s1")], 1).view(np.uint64)
+                ia, ib = np.flatnonzero(t.column("left").to_numpy()), np.flatnonzero(t.column("right").to_numpy())
+                near = np.ones((len(ia), len(ib)), bool)
+                if shard >> 32 > FEW_DIMS:
+                    near = sum(np.bitwise_count(s[ia, k][:, None] ^ s[ib, k][None, :]).astype(np.int16) for k in (0, 1)) <= most
+                near &= ia[:, None] != ib[None, :]
+                some = np.union1d(ia[near.any(1)], ib[near.any(0)])
+                if len(some):
+                    shards.append(np.full(len(some), shard))
+                    nodes.append(node[some])
+            if len(nodes) > 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (shards, nodes)], names=["shard", "node"])
+                shards, nodes = [], []
+        if nodes:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (shards, nodes)], names=["shard", "node"])
+
+    return rows.mapInArrow(run, "shard long, node long").distinct()
+
+
+def verify(t: pa.Table, this: int, dim: int, size: int, min_cosine: float):
     """node, added links and local root of the rows of a group that link."""
     x = even(matrix(t.column("embedding")))
     node, mult = t.column("node").to_numpy(), t.column("mult").to_numpy()
@@ -168,30 +255,33 @@ def verify(t: pa.Table, this: int, min_cosine: float):
     if not len(some):
         return None
     adj = adj[np.ix_(some, some)]
-    lists = [np.asarray(f) for f in t.column("filters").take(pa.array(some)).to_pylist()]
-    lower = [f[f < this] for f in lists]
-    names = np.unique(np.concatenate(lower))
+    lower = [f[f < this] for f in lists_of(x[some], dim, size, min_cosine)]
+    held = np.concatenate(lower)
+    names, at = np.unique(held, return_inverse=True)
+    row = np.repeat(np.arange(len(some)), [len(f) for f in lower])
     own = adj
-    if len(names):
-        held = np.zeros((len(some), len(names)), np.float32)
-        for i, f in enumerate(lower):
-            held[i, np.searchsorted(names, f)] = 1
-        own = adj & (held @ held.T < 0.5)
+    for k in range(0, len(names), 1024):  # pairs that share a lesser filter count there
+        here = (at >= k) & (at < k + 1024)
+        m = np.zeros((len(some), 1024), np.float32)
+        m[row[here], at[here] - k] = 1
+        own = own & (m @ m.T < 0.5)
     return node[some], own @ mult[some], local_roots(adj, node[some])
 
 
 def links(reps: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     """(node, added, root) parts of all groups, from reps (node, mult, embedding)."""
-    rows = cut(with_filters(reps, min_cosine)).withColumn("f", F.explode("filters"))
-    rows = rows.withColumn("shard", F.shiftleft(F.col("dim").cast("long"), 20) + F.col("f"))
-    rows = by_group(deal(rows, "shard", "node", BLOCK).select("group", "left", "right", "node", "mult", "embedding", "filters"))
+    # one row for each length of vectors
+    sizes = {r.d: codewords(r.n, r.d + r.d % 2) for r in reps.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = cut(likely(cut(places(reps, sizes, min_cosine)), min_cosine))
+    rows = by_group(deal(found, "shard", "node", BLOCK).join(reps, "node").select(*GROUP, "left", "right", "node", "mult", "embedding"))
 
     def run(batches):
-        for group, t in groups(batches):
+        for shard, t in groups(batches):
             if t.num_rows > 1:
-                found = verify(t, (group >> 24) & ((1 << 20) - 1), min_cosine)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["node", "added", "root"])
+                d = shard >> 32
+                got = verify(t, shard & ((1 << 32) - 1), d, sizes[d], min_cosine)
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["node", "added", "root"])
 
     return rows.mapInArrow(run, "node long, added long, root long")
 

@@ -8,8 +8,13 @@ grade 0, other low-quality ones grade 1, the rest grade 2.
 The model is fitted on the driver on at most MAX_RATED rated documents, the first by a hash of
 the id; it sees their hashed features, not their texts. Scoring covers every document whole.
 
-Edge cases: null and empty texts have only the shape features; without any rated document all
-weights are zero and every document is kept; repeated rows are scored alike.
+A feature counts once a document, when the model is fitted as when it scores.
+
+Edge cases: null and empty texts have only the shape features; texts of any length are read whole;
+without any rated document all weights are zero and every document is kept; a document that is rated
+several times counts with each rating, and repeated rows of it with each row, within the bound; ties of
+the hash go by id, then grade; repeated rows are scored alike; an empty table gives no row; other columns are
+left out, whatever their names; a key named like a result column is returned as `key`.
 """
 
 from __future__ import annotations
@@ -75,19 +80,38 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
+def cuts_of(low: float, gaps: np.ndarray) -> np.ndarray:
+    """Thresholds from the first one and the logarithms of the gaps between them."""
+    return np.r_[low, low + np.cumsum(np.exp(gaps))]
+
+
+def slopes(z: np.ndarray, y: np.ndarray, low: float, gaps: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray]:
+    """Negative log-likelihood of grades y at scores z, and its derivatives by each score, by low and by the gaps."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+    cuts = np.r_[-np.inf, cuts_of(low, gaps), np.inf]
+    upper, lower = sigmoid(cuts[y + 1] - z), sigmoid(cuts[y] - z)  # P(grade <= y) and P(grade < y)
+    p = np.maximum(upper - lower, 1e-9)
+    du, dd = upper * (1 - upper) / p, lower * (1 - lower) / p
+    by_cut = np.zeros(GRADES + 1)  # of log p by each cut, the infinite ones included
+    np.add.at(by_cut, y + 1, du)
+    np.add.at(by_cut, y, -dd)
+    inner = by_cut[1:-1]
+    later = np.cumsum(inner[::-1])[::-1]
+    return -float(np.log(p).sum()), du - dd, -float(inner.sum()), -later[1:] * np.exp(gaps)
+
+
 def fit(rows: list[list[int]], grades: list[int]) -> OrdinalModel:
     """Proximal AdaGrad with an L1 penalty on the weights; thresholds as a first one and positive gaps."""
     w, acc = np.zeros(BUCKETS), np.full(BUCKETS, 1e-2)
     low, gaps = -3.0, np.zeros(GRADES - 2)
     if not rows:
-        return OrdinalModel(w, np.r_[low, low + np.cumsum(np.exp(gaps))])
+        return OrdinalModel(w, cuts_of(low, gaps))
     lens = np.array([len(r) for r in rows])
     flat = np.fromiter((x for r in rows for x in r), np.int64, int(lens.sum()))
     often = np.bincount(flat, minlength=BUCKETS) >= MIN_ROWS
     y_all, at = np.array(grades), np.r_[0, np.cumsum(lens)]
     order_of = np.random.default_rng(7)
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
-    for epoch in range(EPOCHS):
+    for _ in range(EPOCHS):
         order = order_of.permutation(len(rows))
         for b in range(0, len(order), BATCH):
             pick = order[b : b + BATCH]
@@ -95,26 +119,17 @@ def fit(rows: list[list[int]], grades: list[int]) -> OrdinalModel:
             row = np.repeat(np.arange(len(pick)), lens[pick])
             keep = often[idx]
             idx, row = idx[keep], row[keep]
-            z, y = np.bincount(row, w[idx], minlength=len(pick)), y_all[pick]
-            cuts = np.r_[-np.inf, low, low + np.cumsum(np.exp(gaps)), np.inf]
-            up, dn = cuts[y + 1] - z, cuts[y] - z
-            fu, fd = np.where(np.isinf(up), 1.0, sigmoid(np.where(np.isinf(up), 0, up))), np.where(np.isinf(dn), 0.0, sigmoid(np.where(np.isinf(dn), 0, dn)))
-            p = np.maximum(fu - fd, 1e-9)
-            du, dd = fu * (1 - fu) / p, fd * (1 - fd) / p  # of log p by the upper and the lower cut
-            g = du - dd  # of -log p by the score
+            z = np.bincount(row, w[idx], minlength=len(pick))
+            _, g, by_low, by_gaps = slopes(z, y_all[pick], low, gaps)
             gw = np.bincount(idx, g[row], minlength=BUCKETS)
             hit = np.unique(idx)
             acc[hit] += gw[hit] ** 2
             step = RATE / np.sqrt(acc[hit])
             new = w[hit] - step * gw[hit]
             w[hit] = np.sign(new) * np.maximum(np.abs(new) - step * L1, 0)
-            by_cut = np.zeros(GRADES + 1)
-            np.add.at(by_cut, y + 1, du)
-            np.add.at(by_cut, y, -dd)
-            slope = by_cut[1:-1] / len(pick)
-            low += 0.05 * slope.sum()
-            gaps += 0.05 * np.cumsum(slope[::-1])[::-1][1:] * np.exp(gaps)
-    return OrdinalModel(w, np.r_[low, low + np.cumsum(np.exp(gaps))])
+            low -= 0.05 * by_low / len(pick)
+            gaps -= 0.05 * by_gaps / len(pick)
+    return OrdinalModel(w, cuts_of(low, gaps))
 
 
 def grade():
@@ -137,44 +152,44 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 @lru_cache(maxsize=1)
-def _weights_memo(blob: bytes) -> Memo:
-    at, w = _sparse(blob)
-    weight = dict(zip(at.tolist(), w.tolist()))
-    return Memo(lambda word: sum(weight.get(b, 0.0) for b in set(buckets_of(word))))
+def _weights(blob: bytes) -> tuple[dict, Memo]:
+    """Weight by bucket, and a memo of each word's buckets that have one."""
+    n = len(blob) // 12
+    weight = dict(zip(np.frombuffer(blob, "<i4", n).tolist(), np.frombuffer(blob, "<f8", n, 4 * n).tolist()))
+    return weight, Memo(lambda word: tuple(b for b in buckets_of(word) if b in weight))
 
 
-def _sparse(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(blob) // 12
-    return np.frombuffer(blob, "<i4", n), np.frombuffer(blob, "<f8", n, 4 * n)
+def score_of(text: str, weight: dict, memo: Memo) -> float:
+    """The sum of the weights of a text's features, each once."""
+    words = text.split()
+    seen = set(words)
+    out = {b for b in shape_of(words, len(seen), text) if b in weight}
+    for buckets in memo.all(list(seen)):
+        if buckets:
+            out.update(buckets)
+    return sum((weight[b] for b in sorted(out)), 0.0)  # in one order, whatever the worker
 
 
-def score(docs: DataFrame, model: OrdinalModel, key: str = "doc_id", text: str = "text", min_tail: float = MIN_TAIL) -> DataFrame:
-    """key, score, expected_grade, tail_prob (of the top grade), kept.
+RESULT = ("score", "expected_grade", "tail_prob", "kept")
+
 
-    A document's score adds the weights of its distinct words' features and its shape features;
-    a feature that two distinct words share counts for both.
-    """
+def score(docs: DataFrame, model: OrdinalModel, key: str = "doc_id", text: str = "text", min_tail: float = MIN_TAIL) -> DataFrame:
+    """key, score, expected_grade, tail_prob (of the top grade), kept."""
     at = np.flatnonzero(model.weights).astype("<i4")
     blob, cuts = at.tobytes() + model.weights[at].astype("<f8").tobytes(), model.thresholds
-    kind = docs.schema[key].dataType.simpleString()
+    kind, name = docs.schema[key].dataType.simpleString(), "key" if key in RESULT else key
 
     def run(batches):
-        memo = _weights_memo(blob)
-        idx, w = _sparse(blob)
-        weight = dict(zip(idx.tolist(), w.tolist()))
-        m = OrdinalModel(w, cuts)
+        weight, memo = _weights(blob)
+        m = OrdinalModel(np.zeros(0), cuts)
         for batch in batches:
             for part, texts in slices(batch, "t"):
-                z = np.zeros(len(texts))
-                for i, t in enumerate(texts):
-                    words = t.split()
-                    seen = sorted(set(words))
-                    z[i] = sum(memo.all(seen)) + sum(weight.get(b, 0.0) for b in shape_of(words, len(seen), t))
+                z = np.array([score_of(t, weight, memo) for t in texts], float)
                 tails = m.tails(z)
-                yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(z), pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= min_tail)], names=[key, "score", "expected_grade", "tail_prob", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(z), pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= min_tail)], names=[name, *RESULT])
 
     rows = docs.select(F.col(key).alias("k"), text_of(text).alias("t"))
-    return rows.mapInArrow(run, f"`{key}` {kind}, score double, expected_grade double, tail_prob double, kept boolean")
+    return rows.mapInArrow(run, f"`{name}` {kind}, score double, expected_grade double, tail_prob double, kept boolean")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

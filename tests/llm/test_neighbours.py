@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lodeseek.llm import op2_simhash as op2
 from lodeseek.llm import op6_embedding as op6
@@ -80,6 +81,37 @@ def test_op2_components_brute(spark, monkeypatch):
     assert [got.get(i, i) for i in range(len(fp))] == want
 
 
+@pytest.mark.parametrize("kind", ["random", "balls"])
+def test_vantage_point_tree(kind):
+    rng = random.Random(5)
+    centres = [rng.getrandbits(64) for _ in range(30)]
+    a, b = (np.array([rng.getrandbits(64) if kind == "random" else rng.choice(centres) ^ sum(1 << x for x in rng.sample(range(64), rng.randint(0, 3))) for _ in range(n)], np.uint64) for n in (900, 700))
+    for leaf in (1, 16, 128):
+        assert (op2.linked(a, b, 4, leaf) == (np.bitwise_count(a[:, None] ^ b[None, :]) <= 4)).all()
+
+
+def test_tables_lose_no_pair():
+    rng = random.Random(6)
+    for n in (10, 10**6 * 2, 10**9, 10**12):
+        masks = op2.tables(n)
+        for _ in range(300):
+            d = sum(1 << x for x in rng.sample(range(64), 4))
+            assert any(d & m == 0 for m in masks)
+
+
+def test_op2_more_tables(spark, monkeypatch):
+    monkeypatch.setattr(op2, "SHARD_ROWS", 0)  # as for many rows
+    test_op2_components_brute(spark, monkeypatch)
+
+
+def test_op2_long_text_and_null_keys(spark):
+    long = "word " * 300000 + "end"
+    df = spark.createDataFrame([(7, long), (None, long), (8, "a b"), (None, "only here twice")], "doc_id long, text string").withColumn("fp", F.lit(1))
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in op2.dedup(df).collect()}
+    fp = lambda t: f"{plain_fingerprint(t):016x}"
+    assert got == {(7, fp(long)): 7, (None, fp(long)): 7, (8, fp("a b")): 8, (None, fp("only here twice")): None}
+
+
 def test_op2_edges(spark):
     df = spark.createDataFrame([(4, None, "x"), (2, "", "y"), (2, "", "y"), (9, "a b", None)], "doc_id long, text string, fp string")
     got = sorted(tuple(r) for r in op2.dedup(df).collect())
@@ -117,23 +149,18 @@ def test_op6_small(spark, monkeypatch):
     assert op6.dedup(df.limit(0)).count() == 0
 
 
-def test_op6_recall_on_whole_table(spark, sf_dir):
+def test_op6_on_whole_table_with_planted_pairs(spark, sf_dir, tmp_path):
+    """The table itself holds no pair at 0.9, so near copies of a tenth of its rows are added."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()
-    x = np.array([r.embedding for r in rows], float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    want = int(((x @ x.T) >= 0.9).sum() - len(x))
-    got = op6.query(spark, sf_dir).agg({"n_links": "sum"}).first()[0]
-    assert 0.97 * want <= got <= want
-
-
-def test_filter_recall():
-    r = np.random.default_rng(0)
-    x = op6.even(r.normal(size=(800, 64)))
-    z = r.normal(size=x.shape)
-    z = op6.even(z - (z * x).sum(1, keepdims=True) * x)
-    y = 0.9 * x + np.sqrt(1 - 0.81) * z
-    f, g = op6.filters_of(x), op6.filters_of(op6.even(y))
-    assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(f, g)]) > 0.97
+    r, top = np.random.default_rng(8), max(v.vec_id for v in rows) + 1
+    more = [(top + k, [float(y) for y in np.array(v.embedding) + r.normal(size=len(v.embedding)) * 0.03 * np.linalg.norm(v.embedding)]) for k, v in enumerate(rows[::10])]
+    table = [(v.vec_id, v.embedding) for v in rows] + more
+    spark.createDataFrame(table, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    table = [(v.vec_id, v.embedding) for v in spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect()]
+    want = brute_embedding([v for _, v in sorted(table)], [i for i, _ in sorted(table)])
+    got = sorted(tuple(v) for v in op6.query(spark, str(tmp_path)).collect())
+    assert sum(w[1] for w in want) >= 90
+    assert sum(g[1] for g in got) >= 0.98 * sum(w[1] for w in want) and all(g[1] <= w[1] for g, w in zip(got, want))
 
 
 def partners(r, x, n, cosine=0.9):
@@ -142,14 +169,53 @@ def partners(r, x, n, cosine=0.9):
     return cosine * x + np.sqrt(1 - cosine**2) * z
 
 
+def shared(f, g):
+    return len(np.intersect1d(f, g)) > 0
+
+
+@pytest.mark.parametrize("dim,n", [(10, 10**4), (10, 10**9), (16, 10**6), (32, 10**5), (64, 10**4), (64, 10**7), (384, 10**5), (768, 10**4)])
+def test_filter_recall(dim, n):
+    r = np.random.default_rng(0)
+    size = op6.codewords(n, dim)
+    x = op6.even(r.normal(size=(600, dim)))
+    y = np.vstack([partners(r, v, 1) for v in x])
+    f, g = op6.filters_of(x, size), op6.filters_of(op6.even(y), size)
+    assert np.mean([shared(a, b) for a, b in zip(f, g)]) > 0.98
+    assert np.mean([len(a) for a in f]) < 170  # places of a vector
+    bits = np.bitwise_count((op6.sketches(x) ^ op6.sketches(op6.even(y))).view(np.uint64)).sum(1)
+    assert (bits <= op6.most_bits(0.9)).all()
+
+
 @pytest.mark.parametrize("dim", [10, 64])
 def test_filter_recall_of_weak_directions(dim):
     r = np.random.default_rng(4)
-    x = op6.even(r.normal(size=(4000, dim)))
-    weak = np.argsort([len(f) for f in op6.filters_of(x)], kind="stable")[:10]
-    for i in weak:
-        own, *others = op6.filters_of(np.vstack([x[i][None], partners(r, x[i], 100)]))
-        assert np.mean([len(np.intersect1d(own, f)) > 0 for f in others]) > 0.98
+    size = op6.codewords(10**5, dim)
+    x = op6.even(r.normal(size=(3000, dim)))
+    best = np.max([op6.best_sums(x @ c[0][:, : dim // 2] @ c[1].T, x @ c[0][:, dim // 2 :] @ c[2].T, 1)[:, 0] for c in op6.codes(dim, size)], axis=0)
+    for i in np.argsort(best)[:10]:
+        own, *others = op6.filters_of(np.vstack([x[i][None], partners(r, x[i], 100)]), size)
+        assert np.mean([shared(own, f) for f in others]) > 0.95
+
+
+@pytest.mark.parametrize("dim", [2, 3, 5, 8, 9, 12, 33, 64, 256, 768])
+def test_op6_planted_pairs(spark, dim):
+    r = np.random.default_rng(dim)
+    x = op6.even(r.normal(size=(300 if dim > 8 else 60, dim)))[:, :dim]
+    pairs = np.vstack([partners(r, v if dim % 2 == 0 else np.r_[v, 0.0], 1, c)[:, :dim] for v, c in zip(x[:200], np.linspace(0.9001, 0.999, 200))])
+    vecs = np.vstack([x, pairs]).tolist()
+    want = brute_embedding(vecs, list(range(len(vecs))))
+    assert sum(w[1] for w in want) >= 100
+    got = sorted(tuple(v) for v in op6.dedup(spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<double>")).collect())
+    assert sum(g[1] for g in got) >= (1 if dim <= op6.FEW_DIMS else 0.98) * sum(w[1] for w in want)
+    assert all(g[1] <= w[1] for g, w in zip(got, want))
+    assert dim > op6.FEW_DIMS or got == want
+
+
+def test_op6_null_keys_and_clashes(spark):
+    rows = [(1, [1.0, 2.0], "a"), (None, [1.0, 2.0], "b"), (1, [1.0, 2.0], "c"), (3, None, "d")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links string").withColumn("node", F.lit("x"))
+    got = sorted((tuple(r) for r in op6.dedup(df).collect()), key=str)
+    assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (3, 0, 3, True), (None, 0, None, True)], key=str)
 
 
 def test_op6_few_dimensions_and_planted_clusters(spark):
@@ -158,7 +224,7 @@ def test_op6_few_dimensions_and_planted_clusters(spark):
     vecs += [v.tolist() for d in (5, 8) for c in op6.even(r.normal(size=(8, d)))[:, :d] for v in c + r.normal(size=(15, d)) * 0.14]
     vecs += np.eye(8).tolist() + (np.eye(8) + 0.4 * np.roll(np.eye(8), 1, 0)).tolist()
     x = op6.even(r.normal(size=(4000, 64)))
-    for i in np.argsort([len(f) for f in op6.filters_of(x)], kind="stable")[:3]:
+    for i in np.argsort([len(f) for f in op6.filters_of(x, 16)], kind="stable")[:3]:
         vecs += partners(r, x[i], 60, 0.95).tolist()
     df = spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<double>")
     want = brute_embedding(vecs, list(range(len(vecs))))
