@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,7 +18,7 @@ WS_CHARS = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset (local tests) a fresh temporary folder is made and set.
+    Where it is unset, a local master gets a fresh temporary folder; any other is an error.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -26,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(path)
         return path
     if sc.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodeseek-"))
     return sc.getCheckpointDir()
 
@@ -41,6 +44,14 @@ def fresh_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df (in any case) begins with it."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(name) for c in taken):
+        name = "_" + name
+    return name
+
+
 def text_of(col: Column | str) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .op1_bpe import vocabulary
-from .tokens import codec, decoder, read_ranks, slices
+from .tokens import codec, decoder, read_ranks, slices, text_batches
 from .common import text_of
 
 RULES = ("start", "end", "most")
@@ -106,7 +106,7 @@ def count(docs: DataFrame, vocabulary: str, pattern: str, sections: Column, key:
                     types = [part.schema.field("k").type, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[name, *RESULT])
 
-    return rows.mapInArrow(run, f"`{name}` {kind}, section string, char_start long, char_end long, n_tokens long, n_crossing long")
+    return text_batches(rows).mapInArrow(run, f"`{name}` {kind}, section string, char_start long, char_end long, n_tokens long, n_crossing long")
 
 
 def totals(counts: DataFrame, docs: DataFrame, key: str = "doc_id", by: str = "source") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import codec, decoder, int_lists, read_ranks, slices
+from .tokens import codec, decoder, int_lists, read_ranks, slices, text_batches
 
 
 def _with(schema: T.StructType, *new: T.StructField) -> T.StructType:
@@ -44,7 +44,7 @@ def _coded(docs: DataFrame, vocabulary: str, pattern: str, text: str, ids: str,
                     cols.append(pa.array([dec(np.frombuffer(b, "<i4")) for b in blobs], type=pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in out.fields])
 
-    return docs.mapInArrow(run, out)
+    return text_batches(docs).mapInArrow(run, out)
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -76,7 +76,7 @@ def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "d
                 blobs = [dec(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(blobs, type=pa.binary())], names=[*keep, decoded])
 
-    return rows.mapInArrow(run, out)
+    return text_batches(rows).mapInArrow(run, out)
 
 
 def vocabulary() -> tuple[str, str]:

@@ -14,8 +14,8 @@ each local component, never as pairs; nodes met in several groups tie these toge
 
 Edge cases: a null text counts as empty; texts without a word have fingerprint 0, which links
 like any other; repeated rows are documents of their own; texts of any length are read whole; a
-row with a null key is no node: its component is that of documents with an equal fingerprint, null
-where no other row has one; other columns are left out, whatever their names; an empty table gives no row.
+row with a null key links like any other, but names no component, which is null where no row of it
+has a key; rows that share a key but no text are in different components; other columns are left out, whatever their names; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -27,10 +27,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, resolve_roots, text_of
+from .common import cut, fresh_name, resolve_roots, text_of
 from .grouping import GROUP, by_group, deal, groups, local_roots
-from .tokens import slices
+from .tokens import slices, text_batches
 
 SHINGLE = 4
 SEED = 42
@@ -61,17 +62,18 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """key and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, text: str = "text", name: str = "fp", shingle: int = SHINGLE) -> DataFrame:
+    """docs with the fingerprint as a signed long."""
+    kind = T.StructType([f for f in docs.schema.fields if f.name != name] + [T.StructField(name, T.LongType())])
+    keep = [f.name for f in kind.fields[:-1]]
 
     def run(batches):
         for batch in batches:
-            for part, texts in slices(batch, "t"):
+            for part, texts in slices(batch, text):
                 fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(fp)], names=["k", "fp"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(fp)], names=[*keep, name])
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), text_of(text).alias("t"))
-    return rows.mapInArrow(run, "k long, fp long").withColumnRenamed("k", key)
+    return text_batches(docs).mapInArrow(run, kind)
 
 
 def linked(a: np.ndarray, b: np.ndarray, radius: int, leaf: int = LEAF) -> np.ndarray:
@@ -141,15 +143,37 @@ def components(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return resolve_roots(parts)
 
 
+def roots_of(fps: DataFrame, fp: str = "fp", radius: int = RADIUS) -> DataFrame:
+    """fp and root, for each fingerprint of fps: the root is the least fingerprint (as a signed number) of its component."""
+    nodes = cut(fps.select(F.col(fp).alias("fp")).distinct())
+    comp = components(nodes.select(F.col("fp").alias("node"), "fp"), radius)
+    return cut(nodes.join(comp, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("root")))
+
+
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """key, fingerprint (16 hex digits), component_id (the smallest key reachable)."""
-    fps = cut(fingerprints(docs, key, text, shingle))
-    nodes = cut(fps.groupBy("fp").agg(F.min(key).alias("node")))
-    comp = cut(components(nodes.filter("node IS NOT NULL"), radius))
-    named = nodes.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    named = cut(named)
-    out = fps.join(named, "fp", "left")
-    return out.select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    fps = cut(fingerprints(docs.select(F.col(key).alias("id"), F.col(text).alias("t")), "t", "fp", shingle).drop("t"))
+    roots = roots_of(fps, "fp", radius)
+    least = fps.groupBy("fp").agg(F.min("id").alias("id")).join(roots, "fp")
+    named = least.groupBy("root").agg(F.min("id").alias("component_id"))
+    out = fps.join(cut(roots.join(named, "root")), "fp", "left")
+    return out.select(F.col("id").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def first_of_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of docs for each component: that of the least key (null last), then of the least hash of its text.
+
+    Rows that share a key are told apart by their texts; of rows that share both, one stays.
+    """
+    fp, tie = fresh_name(docs, "fp"), fresh_name(docs, "tie")
+    rows = cut(fingerprints(docs, text, fp, shingle).withColumn(tie, F.xxhash64(text_of(text))))
+    place = F.min(F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("id"), F.col(tie).alias("t"), F.col(fp).alias("f")))
+    least = rows.groupBy(fp).agg(place.alias("x")).select("x", F.col(fp).alias("fp"))
+    first = least.join(roots_of(rows, fp, radius), "fp").groupBy("root").agg(F.min("x").alias("x"))
+    first = cut(first.select(F.col("x.id").alias("i"), F.col("x.t").alias("t"), F.col("x.f").alias("f")))
+    first = first.select(F.col("i").alias(f"{fp}i"), F.col("t").alias(f"{fp}t"), F.col("f").alias(f"{fp}f"))
+    same = rows[key].eqNullSafe(first[f"{fp}i"]) & (rows[tie] == first[f"{fp}t"]) & (rows[fp] == first[f"{fp}f"])
+    return rows.join(first, same, "left_semi").dropDuplicates([fp, tie, key]).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

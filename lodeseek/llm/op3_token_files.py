@@ -5,13 +5,15 @@ Elias-Fano sequences: the documents' start offsets and their keys. A sequence of
 u takes about n * (2 + log2(u / n)) bits; every 256th one of its high bits has a 32-bit sample,
 so that select finds a document's offset without a table of 64-bit offsets.
 
-Documents are ranged by key (ties by a hash of the text, so that one key's rows can be split),
-each range is written by its own task into the shared folder under a temporary name and then
+Documents are ranged by key (ties by a hash of the text, then by the row's place, so that one key's
+rows can be split), each range is written by its own task into the shared folder under a temporary name and then
 renamed, and the manifest (one row a file: name, counts) gives the files' bases. A task that
-runs again writes the same bytes under the same name.
+runs again writes the same bytes under the same name. Readers take the two sequences of a file, ask
+select for offsets, and fetch the ids of some documents at a time.
 
-Edge cases: a null text has only the end id; null keys come first and are kept; repeated rows
-are written as often as they occur; an empty table gives no file and no row.
+Edge cases: a null text has only the end id; null keys come first and are kept; texts of any length
+are encoded whole; repeated rows are written as often as they occur; other columns are left out,
+whatever their names; an empty table gives no file and no row.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ import re
 import struct
 import uuid
 import zlib
-from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -32,12 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_folder, text_of
-from .tokens import Memo, slices
+from .tokens import Memo, slices, text_batches
 
 MAGIC = b"LDSK0001"
 SAMPLE = 256
 MEMO_ENTRIES = 500_000
 END_ID = 2
+#: Documents and ids that are read at once (or one document).
+READ_DOCS, READ_IDS = 2000, 1 << 20
 
 
 class EliasFano:
@@ -120,6 +123,8 @@ class HuggingPieces:
 
         self.tok, self.dtype = Tokenizer.from_str(spec), dtype
         self.special = [t["content"] for t in json.loads(spec).get("added_tokens", [])]
+        #: What all special tokens begin with, in lower case.
+        self.mark = os.path.commonprefix([s.lower() for s in self.special])
         self.memo = Memo(lambda p: self.many([p])[0], MEMO_ENTRIES)
 
     def many(self, pieces: list[str]) -> list[bytes]:
@@ -129,26 +134,29 @@ class HuggingPieces:
     def parts(self, text: str) -> list[str]:
         low = text.lower()
         # lowering could also make a special token of what is none
-        if any(s in text or s in low for s in self.special):
+        if self.mark in low and any(s in text or s in low for s in self.special):
             return text.split(" ")
         # a capital sigma is the one letter that Python lowers by its place in the word
         return _PARTS.findall(text if "\u03a3" in text else low)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.parts(t) for t in texts]
         young, old = self.memo.young, self.memo.old
-        new = list({p for ps in split for p in set(ps) if p not in young and p not in old})
+        rows, missing = [], set()
+        for t in texts:
+            ps = self.parts(t)
+            got = list(map(young.get, ps))
+            if None in got:
+                missing.update(p for p, v in zip(ps, got) if v is None)
+            rows.append((ps, got))
+        found = {p: old[p] for p in missing if p in old}
+        new = [p for p in missing if p not in found]
         for at in range(0, len(new), 5000):
             part = new[at : at + 5000]
-            for p, v in zip(part, self.many(part)):
-                self.put(p, v)
-        return [b"".join(self.memo.all(ps)) for ps in split]
-
-    def put(self, piece: str, value: bytes) -> None:
-        m = self.memo
-        if len(m.young) >= m.entries:
-            m.old, m.young = m.young, {}
-        m.young[piece] = value
+            found.update(zip(part, self.many(part)))
+        out = [b"".join([found[p] if v is None else v for p, v in zip(ps, got)] if None in got else got) for ps, got in rows]
+        for p, v in found.items():
+            self.memo.put(p, v)
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -163,31 +171,36 @@ def filesystem(folder: str):
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
-@dataclass
 class TokenFile:
-    """An open file: its head, and ids by document."""
+    """An open file: its two sequences in memory, ids fetched by document."""
 
-    keys: list
-    starts: EliasFano
-    ids: np.ndarray
-
-    @classmethod
-    def read(cls, folder: str, name: str) -> TokenFile:
+    def __init__(self, folder: str, name: str):
         store, path = filesystem(folder)
-        with store.open_input_file(f"{path}/{name}") as f:
-            blob = f.read_buffer()
-        tail = struct.calcsize("<QQQQB8s")
-        n_ids, n_null, at, mid, width, magic = struct.unpack("<QQQQB8s", blob[len(blob) - tail :].to_pybytes())
-        if magic != MAGIC:
+        self.file = store.open_input_file(f"{path}/{name}")
+        size, tail = self.file.size(), struct.calcsize("<QQQQB8s")
+        end = self.file.read_at(min(tail, size), max(size - tail, 0))
+        if len(end) < tail or end[-8:] != MAGIC:
             raise ValueError(f"{name} is not a token file")
-        starts = EliasFano.load(blob[at:mid].to_pybytes())
-        low, keys = blob[mid : len(blob) - tail].to_pybytes()[:8], EliasFano.load(blob[mid + 8 : len(blob) - tail].to_pybytes())
-        base = struct.unpack("<q", low)[0]
-        return cls([None] * n_null + [base + int(k) for k in keys.values()], starts, np.frombuffer(blob, f"<u{width}", n_ids))
+        self.n_ids, self.n_null, at, mid, self.width, _ = struct.unpack("<QQQQB8s", end)
+        self.starts = EliasFano.load(self.file.read_at(mid - at, at))
+        rest = self.file.read_at(size - tail - mid, mid)
+        self.base, self.keys = struct.unpack_from("<q", rest)[0], EliasFano.load(rest[8:])
+
+    def __len__(self) -> int:
+        return self.starts.n
+
+    def key(self, i: int) -> int | None:
+        return None if i < self.n_null else self.base + self.keys.select(i - self.n_null)
+
+    def start(self, i: int) -> int:
+        """Ids of the file before document i, which may be the one after the last."""
+        return self.starts.select(i) if i < self.starts.n else self.n_ids
+
+    def ids(self, start: int, stop: int) -> np.ndarray:
+        return np.frombuffer(self.file.read_at((stop - start) * self.width, start * self.width), f"<u{self.width}")
 
     def document(self, i: int) -> np.ndarray:
-        stop = self.starts.select(i + 1) if i + 1 < self.starts.n else len(self.ids)
-        return self.ids[self.starts.select(i) : stop]
+        return self.ids(self.start(i), self.start(i + 1))
 
 
 def write(docs: DataFrame, spec: str, folder: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> list[dict]:
@@ -196,8 +209,8 @@ def write(docs: DataFrame, spec: str, folder: str, key: str = "doc_id", text: st
     top = max([end_id, *model["model"]["vocab"].values(), *(t["id"] for t in model.get("added_tokens", []))])
     dtype = "<u2" if top < 1 << 16 else "<u4"
     rows = docs.select(F.col(key).cast("long").alias("k"), text_of(text).alias("t"))
-    rows = rows.withColumn("tie", F.xxhash64("t"))
-    rows = rows.repartitionByRange(F.col("k").asc_nulls_first(), "tie").sortWithinPartitions(F.col("k").asc_nulls_first(), "tie").select("k", "t")
+    rows = rows.withColumns({"tie": F.xxhash64("t"), "place": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(F.col("k").asc_nulls_first(), "tie", "place").sortWithinPartitions(F.col("k").asc_nulls_first(), "tie").select("k", "t")
 
     def run(batches):
         enc = pieces(spec, dtype)
@@ -231,7 +244,7 @@ def write(docs: DataFrame, spec: str, folder: str, key: str = "doc_id", text: st
         store.move(temp, f"{path}/{name}")
         yield pa.RecordBatch.from_pylist([{"part": part, "name": name, "n_docs": len(starts), "n_ids": n_ids}])
 
-    found = sorted(rows.mapInArrow(run, "part long, name string, n_docs long, n_ids long").collect(), key=lambda r: r.part)
+    found = sorted(text_batches(rows).mapInArrow(run, "part long, name string, n_docs long, n_ids long").collect(), key=lambda r: r.part)
     manifest, base = [], 0
     for r in found:  # one row a file
         manifest.append({**r.asDict(), "base": base})
@@ -249,16 +262,20 @@ def read(spark: SparkSession, folder: str, manifest: list[dict], with_ids: bool
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                f = TokenFile.read(folder, row["name"])
-                starts = f.starts.values()
-                ends = np.r_[starts[1:], len(f.ids)].astype(np.int64)
-                for at in range(0, len(starts), 2000):
-                    a, b = starts[at : at + 2000], ends[at : at + 2000]
-                    crc = [zlib.crc32(f.ids[x:y].astype("<u4").tobytes()) for x, y in zip(a, b)]
-                    cols = [pa.array(f.keys[at : at + 2000], pa.int64()), pa.array(a + row["base"]), pa.array(b - a), pa.array(crc, pa.int64())]
+                f = TokenFile(folder, row["name"])
+                n, at = len(f), 0
+                while at < n:
+                    starts = [f.start(at)]
+                    while at + len(starts) <= n and len(starts) <= READ_DOCS and starts[-1] - starts[0] < READ_IDS:
+                        starts.append(f.start(at + len(starts)))
+                    ids = f.ids(starts[0], starts[-1]).astype("<u4")
+                    docs = [ids[a - starts[0] : b - starts[0]] for a, b in zip(starts, starts[1:])]
+                    keys = [f.key(i) for i in range(at, at + len(docs))]
+                    cols = [pa.array(keys, pa.int64()), pa.array(np.array(starts[:-1], np.int64) + row["base"]), pa.array([len(d) for d in docs], pa.int64()), pa.array([zlib.crc32(d.tobytes()) for d in docs], pa.int64())]
                     if with_ids:
-                        cols.append(pa.array([f.ids[x:y].astype("<i4") for x, y in zip(a, b)], pa.list_(pa.int32())))
+                        cols.append(pa.array([d.astype("<i4") for d in docs], pa.list_(pa.int32())))
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
+                    at += len(docs)
 
     return files.mapInArrow(run, schema)
 

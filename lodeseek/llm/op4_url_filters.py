@@ -12,7 +12,9 @@ class is gathered in one place. The SQL reads targets by expressions and doesn't
 
 Edge cases: a null URL, or one without "://", has empty host and path, no rule and no alias;
 null html has no links; repeated pages each give a row; an empty table gives no row; relative
-targets are resolved against the page's URL or its base href; those that can't be are left out.
+targets are resolved against the page's URL or its base href; those that can't be are left out;
+of equally long rules an allowing one wins; other columns are left out, whatever their names; a key named
+like a result column is returned as `key`.
 """
 
 from __future__ import annotations
@@ -26,9 +28,11 @@ from pyspark.sql import functions as F
 
 from ..functions.html import tree
 from .common import connected_components, cut
+from .tokens import text_batches
 
 #: (action, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+RESULT = ("host", "path", "rule", "verdict", "by_alias")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Pages without either word, or an entity that could hide it, have no target.
 _MAYBE = re.compile("canonical|refresh|&", re.I)
@@ -94,7 +98,7 @@ def with_targets(rows: DataFrame) -> DataFrame:
             to = [targets_of(u.as_py(), h.as_py()) for u, h in zip(b.column("u"), b.column("html"))]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("u"), pa.array(to, pa.list_(pa.string()))], names=["id", "u", "to"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, u string, to array<string>")
+    return text_batches(rows).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, u string, to array<string>")
 
 
 def judge(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -116,7 +120,7 @@ def judge(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url",
     ruled = rows.filter("r IS NOT NULL").select("id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("verdict"), F.lit(False).alias("by_alias"))
     free = rows.filter("r IS NULL").select("id", "host", "path", "node").join(known, "node", "left")
     free = free.select("id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(~F.col("class_allow"), F.lit("block")).otherwise(F.lit("allow")).alias("verdict"), F.col("class_allow").isNotNull().alias("by_alias"))
-    return ruled.unionByName(free).withColumnRenamed("id", key)
+    return ruled.unionByName(free).withColumnRenamed("id", "key" if key in RESULT else key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from .op1_bpe import _with
 from .tagger import KINDS, Reader, Tagger, classes, luhn, trained
-from .tokens import slices
+from .tokens import slices, text_batches
 
 #: Characters of texts that are read at once (or one text).
 READ_CHARS = 1 << 20
@@ -170,7 +170,7 @@ def find(docs: DataFrame, text: str = "text", spans: str = "pii_spans", model: T
                     cols[text] = pa.array([masked(t, [*b, *m]) if ok else None for t, b, m, ok in zip(texts, bases, more, valid)], cols[text].type)
                 yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(rows, pa.list_(_ARROW_SPAN))], names=[*keep, spans])
 
-    return docs.mapInArrow(run, out)
+    return text_batches(docs).mapInArrow(run, out)
 
 
 def mask(docs: DataFrame, text: str = "text", spans: str = "pii_spans", model: Tagger | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .tokens import Memo, slices
+from .tokens import Memo, slices, text_batches
 
 BUCKETS = 1 << 18
 #: Bound of the rated sample, and of the rows a feature must occur in.
@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             for part, texts in slices(batch, "t"):
                 yield pa.RecordBatch.from_arrays([part.column("k"), part.column("g"), pa.array([features(t, memo) for t in texts], pa.list_(pa.int32()))], names=["k", "g", "f"])
 
-    got = rows.mapInArrow(run, "k long, g int, f array<int>").orderBy(F.xxhash64("k"), "k", "g").limit(max_rated).collect()
+    got = text_batches(rows).mapInArrow(run, "k long, g int, f array<int>").orderBy(F.xxhash64("k"), "k", "g").limit(max_rated).collect()
     return fit([r.f for r in got], [r.g for r in got])
 
 
@@ -189,7 +189,7 @@ def score(docs: DataFrame, model: OrdinalModel, key: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(z), pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= min_tail)], names=[name, *RESULT])
 
     rows = docs.select(F.col(key).alias("k"), text_of(text).alias("t"))
-    return rows.mapInArrow(run, f"`{name}` {kind}, score double, expected_grade double, tail_prob double, kept boolean")
+    return text_batches(rows).mapInArrow(run, f"`{name}` {kind}, score double, expected_grade double, tail_prob double, kept boolean")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

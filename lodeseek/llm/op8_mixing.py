@@ -12,8 +12,10 @@ order key, then by the next ones, then single rows of the one group that holds t
 
 Edge cases: null levels become the empty name; a null or empty text has no tokens, and a row
 without tokens follows its place in the order (it is taken if it stands before the cut);
-repeated rows are separate rows; an empty table gives an empty result; a weight of zero or
-less shuts a branch.
+repeated rows are separate rows that follow each other; a null key is drawn like an empty one; ties
+of the drawn order go by key (null first), then tokens; texts of any length are counted whole; an empty
+table gives an empty result; a weight of zero or less shuts a branch; other columns are left out, whatever
+their names; a key named like a result column is returned as `key`.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ SEED = 17
 MAX_BROADCAST_LEAVES = 20_000
 #: Hex digits of the order key that group rows at the first and at both levels.
 DIGITS = (2, 4)
+#: Copies of one row that are dealt out at once.
+COPIES = 10_000
+RESULT = (*LEVELS, "n_tokens", "epochs", "tail_tokens", "read")
 BIG = "decimal(38,0)"
 
 
@@ -102,7 +107,8 @@ def mix(docs: DataFrame, weights: dict = WEIGHTS, budget_percent: int = BUDGET_P
     """docs: key, LEVELS (strings), n_tokens (long). One row per selected row, with
     epochs (whole epochs it is read in) and tail_tokens (its tokens in the last, partial epoch).
     """
-    rows = docs.select(key, *[F.coalesce(F.col(x).cast("string"), F.lit("")).alias(x) for x in LEVELS], F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
+    # the key is called `id` until the end, so that it may have any name
+    rows = docs.select(F.col(key).alias("id"), *[F.coalesce(F.col(x).cast("string"), F.lit("")).alias(x) for x in LEVELS], F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
     rows = cut(rows)
     leaves = cut(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("n")))
     plan = allocate(leaves, weights, F.expr(f"(n * {int(budget_percent)}) DIV 100"), max_epochs)
@@ -110,7 +116,7 @@ def mix(docs: DataFrame, weights: dict = WEIGHTS, budget_percent: int = BUDGET_P
     plan = cut(plan)
     n_leaves = plan.count()
     small = F.broadcast if n_leaves <= MAX_BROADCAST_LEAVES else (lambda x: x)
-    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.col(key).cast("string")).cast("binary"))
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
     keyed = rows.join(small(plan), list(LEVELS)).withColumn("k", drawn)
     keyed = keyed.withColumns({f"k{d}": F.substring("k", 1, d) for d in DIGITS})
 
@@ -130,14 +136,20 @@ def mix(docs: DataFrame, weights: dict = WEIGHTS, budget_percent: int = BUDGET_P
         held = held.join(small(found.select(*LEVELS, f"at{d}")), list(LEVELS)).filter(f"k{d} = at{d}").drop(f"at{d}")
     last = DIGITS[-1]
     tail_of = F.greatest(F.least("n_tokens", F.col("rest") - F.col("start")), F.lit(0)).cast("long")
-    one = Window.partitionBy(*LEVELS).orderBy("k", key, "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    border = held.join(small(found.select(*LEVELS, "base")), list(LEVELS)).withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(one), F.lit(0)))
-    border = border.select(key, *LEVELS, "n_tokens", "epochs", tail_of.alias("tail_tokens"), (F.col("start") < F.col("rest")).alias("read"))
+    # copies of a row follow each other, so they are placed as one and dealt out again, a block of copies at a time
+    same = held.groupBy(*LEVELS, "k", "id", "n_tokens", "epochs", "rest").agg(F.count(F.lit(1)).alias("copies"))
+    one = Window.partitionBy(*LEVELS).orderBy("k", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    border = same.join(small(found.select(*LEVELS, "base")), list(LEVELS)).withColumn("start", F.col("base") + F.coalesce(F.sum(F.col("n_tokens") * F.col("copies")).over(one), F.lit(0)))
+    border = border.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) DIV {COPIES}")))).repartition(*LEVELS, "id", "block")
+    border = border.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(COPIES).cast("long"), F.col("copies") - F.col("block") * COPIES) - 1)))
+    border = border.withColumn("start", F.col("start") + (F.col("block") * COPIES + F.col("copy")) * F.col("n_tokens"))
+    border = border.select("id", *LEVELS, "n_tokens", "epochs", tail_of.alias("tail_tokens"), (F.col("start") < F.col("rest")).alias("read"))
     cuts = found.select(*LEVELS, F.col(f"at{last}").alias("at"))
     rest = keyed.join(small(cuts), list(LEVELS), "left").filter(f"at IS NULL OR k{last} <> at")
     read = F.coalesce(F.col(f"k{last}") < F.col("at"), F.lit(False))
-    rest = rest.select(key, *LEVELS, "n_tokens", "epochs", F.when(read, F.col("n_tokens")).otherwise(F.lit(0)).cast("long").alias("tail_tokens"), read.alias("read"))
-    return rest.unionByName(border).filter("epochs > 0 OR read").withColumn("epochs", F.col("epochs").cast("long"))
+    rest = rest.select("id", *LEVELS, "n_tokens", "epochs", F.when(read, F.col("n_tokens")).otherwise(F.lit(0)).cast("long").alias("tail_tokens"), read.alias("read"))
+    out = rest.unionByName(border).filter("epochs > 0 OR read").withColumn("epochs", F.col("epochs").cast("long"))
+    return out.withColumnRenamed("id", "key" if key in RESULT else key)
 
 
 def leveled(docs: DataFrame) -> DataFrame:

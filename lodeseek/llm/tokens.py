@@ -13,12 +13,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import xxhash
+from pyspark.sql import DataFrame
 
 #: Above every rank.
 NONE = 1 << 40
-#: Texts are handed on in slices of at most this many UTF-8 bytes (or one text). What Spark sends a worker at
-#: once is bounded by the session's spark.sql.execution.arrow.maxRecordsPerBatch and maxBytesPerBatch (64 MB).
+#: Texts are handed on in slices of at most this many UTF-8 bytes (or one text).
 SLICE_BYTES = 4 << 20
+#: What Spark sends a worker at once: see text_batches().
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Entries of each of the two generations of a worker's memo of pieces, and of those of line starts and of pre-tokens.
 MEMO_ENTRIES = 200_000
 FEW_ENTRIES = 30_000
@@ -181,12 +183,15 @@ class Memo:
             v = self.old.get(key)
             if v is None:
                 v = self.make(key)
-            if len(key) <= MEMO_PIECE:
-                if len(self.young) >= self.entries:
-                    self.old, self.young = self.young, {}
-                self.young[key] = v
+            self.put(key, v)
         return v
 
+    def put(self, key: str, value) -> None:
+        if len(key) <= MEMO_PIECE:
+            if len(self.young) >= self.entries:
+                self.old, self.young = self.young, {}
+            self.young[key] = value
+
     def all(self, keys: list[str]) -> list:
         got = list(map(self.young.get, keys))
         if None in got:
@@ -243,6 +248,21 @@ def decoder(raw: bytes) -> Decoder:
     return Decoder(ranks_of(raw))
 
 
+def text_batches(rows: DataFrame) -> DataFrame:
+    """rows, whose session sends workers Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES bytes from now on.
+
+    Spark has these bounds as settings of a session only. Every operator that hands whole texts to
+    Python workers asks for them, so that all of them run alike, whichever comes first; lower
+    bounds that are set already stay. They bound memory and change no result.
+    """
+    conf = rows.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = re.fullmatch(r"(-?[0-9]+)b?", conf.get(f"spark.sql.execution.arrow.{name}"))
+        if now is None or not 0 < int(now[1]) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+    return rows
+
+
 def slices(batch: pa.RecordBatch, column: str):
     """The batch in slices of bounded text, with the texts (null: empty) of each."""
     col = batch.column(column)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lodeseek.llm import op8_mixing as op8
 from lodeseek.llm import op9_quality_rules as op9
@@ -35,6 +36,30 @@ def test_op8_empty(spark):
     assert op8.mix(rows_of(spark, [(1, None, None, None, None)])).count() == 0
 
 
+def test_op8_repeats_null_keys_and_clashes(spark, monkeypatch):
+    monkeypatch.setattr(op8, "COPIES", 7)
+    rows = [(5, "d", "en", "s", 4)] * 300 + [(None, "d", "en", "s", 3)] * 50 + [(i, "d", "en", "s", 2) for i in range(6, 20)]
+    df = spark.createDataFrame(rows, "epochs long, domain string, lang string, source string, n_tokens long").withColumns({"k": F.lit("x"), "c": F.lit(1), "rest": F.lit(2), "id": F.lit("y")})
+    total = 300 * 4 + 50 * 3 + 14 * 2
+    for percent in (37, 61, 100, 150):
+        out = op8.mix(df, weights={}, budget_percent=percent, key="epochs")
+        assert out.columns[0] == "key"
+        got = out.collect()
+        assert sum(r.epochs * r.n_tokens + r.tail_tokens for r in got) == total * percent // 100
+        assert sum(0 < r.tail_tokens < r.n_tokens for r in got) <= 1  # one row at the cut
+        assert len(got) == 364 if percent >= 100 else len(got) < 364
+
+
+def test_op9_clashes_long_texts_and_repeats(spark):
+    long = "alpha beta gamma " * 30000
+    rows = [(1, long, "t"), (1, long, "t"), (2, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __t string").withColumns({"__W": F.lit(1), "__q": F.lit(2), "n_lines": F.lit("old"), "kept": F.lit("old")})
+    out = op9.apply_policy(op9.ledger(df))
+    assert {"__t", "__W", "__q", "doc_id", "text"} <= set(out.columns)
+    got = sorted((r.doc_id, r["__t"] or "", r["__W"], r.n_words, r.n_repeat_words, r.n_lines, r.kept) for r in out.collect())
+    assert got == [(1, "t", 1, 90000, 90000, 1, False)] * 2 + [(2, "", 1, 0, 0, 0, False)]
+
+
 def test_op9_edges(spark):
     df = spark.createDataFrame([(1, None, 5), (2, "", 6), (3, "a b c\na b c\na b c", 7), (3, "a b c\na b c\na b c", 7)], "doc_id long, text string, n_words int")
     out = sorted((r.doc_id, r.n_words, r.n_dup_lines, r.n_repeat_words) for r in op9.ledger(df).collect())

@@ -112,6 +112,17 @@ def test_op2_long_text_and_null_keys(spark):
     assert got == {(7, fp(long)): 7, (None, fp(long)): 7, (8, fp("a b")): 8, (None, fp("only here twice")): None}
 
 
+def test_op2_first_of_groups(spark):
+    same, other = "one two three four five six", "quite another text of some words here"
+    rows = [(3, same, "a"), (2, same, "b"), (2, same, "b"), (2, other, "c"), (None, same, "d"), (None, "a lone text without a key at all", "e"), (None, "a lone text without a key at all", "e"), (9, None, "f"), (8, "", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, FP string").withColumn("tie", F.lit(1))
+    got = sorted((str(r.doc_id), r.FP) for r in op2.first_of_groups(df).collect())
+    assert got == [("2", "b"), ("2", "c"), ("8", "g"), ("None", "e")]
+    assert op2.first_of_groups(df).columns == df.columns
+    assert op2.first_of_groups(df.limit(0)).count() == 0
+    assert {(r.doc_id, r.component_id) for r in op2.dedup(df.filter("doc_id IN (2, 3)")).collect()} == {(2, 2), (3, 2)}
+
+
 def test_op2_edges(spark):
     df = spark.createDataFrame([(4, None, "x"), (2, "", "y"), (2, "", "y"), (9, "a b", None)], "doc_id long, text string, fp string")
     got = sorted(tuple(r) for r in op2.dedup(df).collect())

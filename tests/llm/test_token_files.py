@@ -60,8 +60,8 @@ def test_op3_edges(spark, tok):
     assert [r.doc_id for r in rows] == [None, -3, 2, 5, 5]
     assert [r.n_tokens for r in rows] == [2, 1, 1, 3, 3]
     assert rows[3].ids == [*tok.encode("b c", add_special_tokens=False).ids, 2]
-    f = op3.TokenFile.read(folder, man[-1]["name"])
-    assert f.document(len(f.keys) - 1).tolist() == rows[-1].ids
+    f = op3.TokenFile(folder, man[-1]["name"])
+    assert f.document(len(f) - 1).tolist() == rows[-1].ids and f.key(len(f) - 1) == 5
     assert op3.read(spark, folder, op3.write(df.limit(0), op3.tokenizer_spec(), folder)).count() == 0
 
 
@@ -69,3 +69,24 @@ def test_special_tokens_in_capitals_are_none(tok):
     h = op3.HuggingPieces(tok.to_str(), "<u4")
     texts = ["<|ENDOFTEXT|>'s", "A <|EndOfText|>\u4e2d B", "<|EndOfText|> It's <|endoftext|>x"]
     assert [np.frombuffer(x, "<u4").tolist() for x in h.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_op3_long_text_repeats_and_clashes(spark, tok):
+    long = "one two\nthree, " * 60000
+    df = spark.createDataFrame([(1, long, "a", 1)] + [(7, "same text", "b", 2)] * 500, "doc_id long, text string, k string, place int").repartition(7)
+    folder = fresh_folder(spark, "t")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        man = op3.write(df, op3.tokenizer_spec(), folder)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(man) > 1 and sum(m["n_docs"] for m in man) == 501  # rows of one id and text are split
+    rows = sorted(op3.read(spark, folder, man, with_ids=True).collect(), key=lambda r: r.start)
+    assert rows[0].ids == [*tok.encode(long, add_special_tokens=False).ids, 2]
+    same = [*tok.encode("same text", add_special_tokens=False).ids, 2]
+    assert all(r.ids == same for r in rows[1:]) and rows[-1].start == rows[0].n_tokens + 499 * len(same)
+    store, path = op3.filesystem(folder)
+    with store.open_output_stream(f"{path}/other") as f:
+        f.write(b"x")
+    with pytest.raises(ValueError):
+        op3.TokenFile(folder, "other")

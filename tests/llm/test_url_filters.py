@@ -1,3 +1,7 @@
+import random
+
+from pyspark.sql import functions as F
+
 from lodeseek.llm import op4_url_filters as op4
 
 
@@ -62,3 +66,29 @@ def test_op4_forms_of_targets(spark):
     df = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(forms.items())], "page_id long, url string, html string")
     got = {list(forms)[r.page_id]: r.verdict for r in op4.judge(df).collect()}
     assert got == {u: "allow" if u[7] in "ij" else "block" for u in forms}
+
+
+def test_op4_random_graph_against_sql(spark, same):
+    """Hubs, chains and cycles of canonical links over hosts with and without rules."""
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(11)
+    name = lambda i: f"http://{'shop.com' if i % 23 == 0 else 'm.net' if i % 17 == 0 else 'w%d.org' % (i % 9)}/{'es/' if i % 2 else ''}p{i}"
+    to = {i: i + 1 for i in range(0, 60)} | {i: 100 for i in range(101, 190)} | {i: rng.randrange(200, 320) for i in range(200, 300)}
+    rows = [(i, name(i), f'<link rel="canonical" href="{name(to[i])}">' if i in to else "") for i in range(340)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    out = op4.judge(df)
+    assert out.filter("by_alias AND verdict = 'block'").count() > 20 and out.filter("by_alias AND verdict = 'allow'").count() > 20
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    same(op4.judge(df), con, op4.SQL)
+
+
+def test_op4_ties_and_clashes(spark):
+    rules = (("block", "a.org", "/x"), ("allow", "a.org", "/x"), ("allow", "a.org", "/"), ("block", "a.org", "/xy"))
+    rows = [(1, "http://a.org/x", "", "n"), (2, "http://a.org/xyz", "", "n"), (2, "http://a.org/xyz", "", "n"), (None, "http://b.org/" + "x" * 300000, None, "n")]
+    df = spark.createDataFrame(rows, "host long, url string, html string, node string").withColumn("u", F.lit(1))
+    out = op4.judge(df, rules, key="host")
+    assert out.columns[0] == "key"
+    assert sorted((str(r.key), r.verdict, str(r.rule)) for r in out.collect()) == [("1", "allow", "a.org/x"), ("2", "block", "a.org/xy"), ("2", "block", "a.org/xy"), ("None", "allow", "None")]
