@@ -23,12 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays; documents without an id stay."""
-    docs = docs.select(*COLUMNS)
-    groups = op2_simhash.dedup(docs.select("doc_id", "text").filter("doc_id IS NOT NULL"))
-    first = groups.filter("doc_id = component_id").select("doc_id")
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL")).select(*COLUMNS)
+    """Of each component one row stays: that of the smallest id (a null id last), then of the least hash of its text."""
+    return op2_simhash.first_of_groups(docs.select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +36,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each epoch in which a document is read; the document at a leaf's cut is kept whole.
 
-    Documents without an id have no place in the order and are read once.
+    Rows with an equal id count as one document with all their tokens. Documents without an id have no
+    place in the order and are read once.
     """
     docs = docs.select(*COLUMNS)
-    chosen = op8_mixing.mix(op8_mixing.leveled(docs.filter("doc_id IS NOT NULL")), budget_percent=MIX_PERCENT)
+    own = op8_mixing.leveled(docs.filter("doc_id IS NOT NULL"))
+    own = own.groupBy("doc_id").agg(*[F.min(c).alias(c) for c in op8_mixing.LEVELS], F.sum("n_tokens").alias("n_tokens"))
+    chosen = op8_mixing.mix(own, budget_percent=MIX_PERCENT)
     times = chosen.select("doc_id", (F.col("epochs") + F.col("read").cast("long")).alias("times"))
     out = docs.join(times, "doc_id")
     out = out.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*COLUMNS)
