@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.llm import op1_bpe, op2_simhash, op5_pii, op8_mixing, op9_quality_rules
-from lodeseek.llm.common import fresh_folder
+from lodeseek.session import fresh_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Tokens to read, as a share of the tokens that reach the mixing stage.

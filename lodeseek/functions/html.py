@@ -198,20 +198,23 @@ def strip_boilerplate(root: Node) -> Node:
     return root
 
 
-def tag_texts(html: str) -> list[dict]:
-    """The text of every element of TEXT_TAGS after boilerplate is gone; nested ones each give theirs."""
-    root = strip_boilerplate(tree(html))
+def texts_of(root: Node) -> list[dict]:
+    """The text of every element of TEXT_TAGS after boilerplate is gone from root; nested ones each give theirs."""
     found: dict[str, list[str]] = {t: [] for t in TEXT_TAGS}
-    for n in root.walk():
+    for n in strip_boilerplate(root).walk():
         if n.tag in found:
             found[n.tag].append(n.text())
     return [{"tag": t, "text": x} for t in TEXT_TAGS for x in found[t]]
 
 
-def page_record(url: str, html: str) -> tuple[str, list[str], dict[str, str]]:
+def tag_texts(html: str) -> list[dict]:
+    return texts_of(tree(html))
+
+
+def record_of(root: Node, url: str) -> tuple[str, list[str], dict[str, str]]:
     """Title (of all title elements), link targets and images (target -> alt, the last one wins), as absolute URLs."""
     title, links, images = [], [], {}
-    for n in tree(html).walk():
+    for n in root.walk():
         if n.tag == "title":
             title.append(n.text())
         elif n.tag == "a" and "href" in n.attrs:
@@ -229,6 +232,24 @@ def page_record(url: str, html: str) -> tuple[str, list[str], dict[str, str]]:
     return "".join(title), links, images
 
 
+def page_record(url: str, html: str) -> tuple[str, list[str], dict[str, str]]:
+    return record_of(tree(html), url)
+
+
+def parsed(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, url, title, links, images, texts): each page's tree is built once, read for its record, then for its texts."""
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for u, h in zip(f["url"], f["html"]):
+                root = tree(h)
+                rows.append((*record_of(root, u), texts_of(root)))
+            yield pd.DataFrame({key: f[key], "url": f["url"], **{c: [r[i] for r in rows] for i, c in enumerate(("title", "links", "images", "texts"))}})
+
+    return pages.select(key, "url", "html").mapInPandas(run, f"{key} long, url string, title string, links array<string>, images map<string,string>, texts array<struct<tag:string,text:string>>")
+
+
 def with_tag_texts(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, texts: array<struct<tag,text>>)."""
 

@@ -44,7 +44,7 @@ def stem(word: str) -> str:
         return _SPECIAL[w]
     if w in _KEEP:
         return w
-    w = re.sub(f"^y|(?<=[{_V}])y", "Y", w)
+    w = re.sub(f"([{_V}])y", r"\1Y", re.sub("^y", "Y", w))
     r1, r2 = _regions(w)
     w = re.sub("('s'|'s|')$", "", w)
     # plural endings

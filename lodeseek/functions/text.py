@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A default list of English function words. Give your own list where results must match another index.
+#: English stop words (fixed values). Callers can give a list of their own.
 STOP_WORDS = tuple("""
-a about above across after again against all almost alone along already also although always am among an and another any
-anyone anything are around as at back be became because become been before behind being below between both but by can
-cannot could did do does done down during each either else enough etc even ever every everyone everything few for former
-from further get had has have he hence her here hers herself him himself his how however i if in indeed into is it its
-itself last least less many may me meanwhile might more moreover most much must my myself neither never next no nobody
-none nor not nothing now of off often on once one only onto or other others our ours out over own per perhaps rather re
-same she should since so some somehow someone something still such than that the their them then there these they this
-those through thus to together too toward under until up upon us very was we well were what when where whether which
-while who whose why will with within without would yet you your yours
+a about above across after afterwards again against all almost alone along already also although always am among
+amongst amoungst amount an and another any anyhow anyone anything anyway anywhere are around as at back be became
+because become becomes becoming been before beforehand behind being below beside besides between beyond bill both
+bottom but by call can cannot cant co con could couldnt cry de describe detail do done down due during each eg eight
+either eleven else elsewhere empty enough etc even ever every everyone everything everywhere except few fifteen fify
+fill find fire first five for former formerly forty found four from front full further get give go had has hasnt have
+he hence her here hereafter hereby herein hereupon hers herself him himself his how however hundred ie if in inc
+indeed interest into is it its itself keep last latter latterly least less ltd made many may me meanwhile might mill
+mine more moreover most mostly move much must my myself name namely neither never nevertheless next nine no nobody
+none noone nor not nothing now nowhere of off often on once one only onto or other others otherwise our ours ourselves
+out over own part per perhaps please put rather re same see seem seemed seeming seems serious several she should show
+side since sincere six sixty so some somehow someone something sometime sometimes somewhere still such system take ten
+than that the their them themselves then thence there thereafter thereby therefore therein thereupon these they thickv
+thin third this those though three through throughout thru thus to together too top toward towards twelve twenty two
+un under until up upon us very via was we well were what whatever when whence whenever where whereafter whereas
+whereby wherein whereupon wherever whether which while whither who whoever whole whom whose why will with within
+without would yet you your yours yourself yourselves
 """.split())
 
 #: Weight of a token by the tag it stands in (fixed values).
@@ -50,3 +58,9 @@ def without_stop_words(words: Column, stop_words=STOP_WORDS) -> Column:
 def clean_words(text: Column, stop_words=STOP_WORDS) -> Column:
     """normalized_words without stop words."""
     return without_stop_words(normalized_words(text), stop_words)
+
+
+def embedding_text(texts: Column) -> Column:
+    """The text of a page that is embedded: the tokens of each tag in the order of TAG_WEIGHTS, a full stop and a line end after each."""
+    of = lambda tag: F.flatten(F.transform(F.filter(texts, lambda x: x["tag"] == tag), lambda x: tag_tokens(x["text"])))
+    return F.concat(*[F.concat(joined(of(tag)), F.lit("\n")) for tag in TAG_WEIGHTS])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..session import shared_folder
 
 PAGE_LIMIT, QUEUE_LIMIT = 50_000, 5_000
 COOL_DOWN_SECONDS = 30
@@ -25,17 +26,20 @@ def claim(rows: DataFrame, url: str, order: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def pop(frontier: DataFrame, n: int) -> DataFrame:
-    """The n oldest entries of a queue (seq, url)."""
-    return frontier.orderBy("seq").limit(n)
-
-
 def cooled(fetches: DataFrame, seconds: int = COOL_DOWN_SECONDS) -> DataFrame:
-    """fetches (host, ts, status) with blocked: whether a 429 of the host is at most so many seconds back."""
-    w = Window.partitionBy("host").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max(F.when(F.col("status") == 429, F.col("ts"))).over(w)
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(last.cast("timestamp"))
-    return fetches.withColumn("blocked", F.coalesce(gap < seconds * 1_000_000, F.lit(False)))
+    """fetches (id, host, ts, status) with blocked: whether a 429 of the host came before (by ts, then id) and less than so many seconds back.
+
+    A host's time is cut into stretches of that many seconds. What blocks a row stands in its own
+    stretch or in the one before: of that one the last 429 is enough, so no host is sorted as a whole.
+    """
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    width = seconds * 1_000_000
+    rows = fetches.withColumns({"us": us, "cell": F.floor(us / F.lit(width))})
+    own = Window.partitionBy("host", "cell").orderBy("us", "id").rowsBetween(Window.unboundedPreceding, -1)
+    stop = F.when(F.col("status") == 429, F.col("us"))
+    last = rows.groupBy(F.col("host").alias("h"), (F.col("cell") + 1).alias("c")).agg(F.max(stop).alias("far")).filter("far IS NOT NULL")
+    out = rows.withColumn("near", F.max(stop).over(own)).join(last, F.col("host").eqNullSafe(F.col("h")) & (F.col("cell") == F.col("c")), "left")
+    return out.select(*fetches.columns, F.coalesce(F.col("us") - F.greatest("near", "far") < width, F.lit(False)).alias("blocked"))
 
 
 def over_limit(events: DataFrame, client: str, ts: str, limit: int = RATE_LIMIT, window: str = RATE_WINDOW) -> DataFrame:
@@ -45,11 +49,18 @@ def over_limit(events: DataFrame, client: str, ts: str, limit: int = RATE_LIMIT,
 
 
 def simulate(pages: DataFrame, links: DataFrame, seed: str, rounds: int, limit: int = PAGE_LIMIT) -> DataFrame:
-    """(url, depth): what a crawl from a seed reaches over links (from_url, to_url) among pages (url)."""
-    reached = pages.filter(F.col("url") == seed).select("url", F.lit(0).alias("depth"))
-    frontier = reached
+    """(url, depth): what a crawl from a seed reaches over links (from_url, to_url) among pages (url); the nearest first, then by url.
+
+    Each round's frontier is checkpointed, so that plans don't grow, and a crawl that has reached the limit or nothing new ends.
+    """
+    shared_folder(pages.sparkSession)
+    frontier = pages.filter(F.col("url") == seed).select("url", F.lit(0).alias("depth")).checkpoint()
+    reached, n = frontier, frontier.count()
     for depth in range(1, rounds + 1):
         out = frontier.join(links, F.col("url") == F.col("from_url")).select(F.col("to_url").alias("url"))
-        frontier = expand(out, reached, limit).join(pages.select("url"), "url", "left_semi").select("url", F.lit(depth).alias("depth"))
-        reached = reached.unionByName(frontier)
-    return reached.limit(limit)
+        frontier = expand(out, reached, None).join(pages.select("url"), "url", "left_semi").select("url", F.lit(depth).alias("depth")).checkpoint()
+        new = frontier.count()
+        reached, n = reached.unionByName(frontier), n + new
+        if not new or n >= limit:
+            break
+    return reached.orderBy("depth", "url").limit(limit)

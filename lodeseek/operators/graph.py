@@ -19,6 +19,20 @@ def back(links: DataFrame, pages: DataFrame, page_id: int) -> DataFrame:
     return pages.join(ids, "page_id").select("page_id", "url", "title")
 
 
+def neighbour_ids(links: DataFrame, page_id: int) -> DataFrame:
+    """(page_id, kind) of the pages that link to a page (backlink) or that it links to (forward), without itself."""
+    near = links.filter("from_page_id <> to_page_id")
+    back = near.filter(F.col("to_page_id") == page_id).select(F.col("from_page_id").alias("page_id"), F.lit("backlink").alias("kind"))
+    return back.unionByName(near.filter(F.col("from_page_id") == page_id).select(F.col("to_page_id").alias("page_id"), F.lit("forward").alias("kind")))
+
+
+def ego_edges(links: DataFrame, page_id: int) -> DataFrame:
+    """(source, target) of the ego graph: each backlink to the page, the page to each forward link."""
+    ids = neighbour_ids(links, page_id)
+    back = F.col("kind") == "backlink"
+    return ids.select(F.when(back, F.col("page_id")).otherwise(F.lit(page_id)).alias("source"), F.when(back, F.lit(page_id)).otherwise(F.col("page_id")).alias("target"))
+
+
 def ego(links: DataFrame, pages: DataFrame, page_id: int) -> DataFrame:
     """(page_id, url, title, kind): the page, then pages that link to it, then pages it links to; the first kind wins."""
     me = pages.filter(F.col("page_id") == page_id).select("page_id", "url", "title")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import html, stem, text, urls
+from ..functions import html, text, urls
 
 
 def document_tokens(docs: DataFrame, key: str = "doc_id", column: str = "text", stop_words=text.STOP_WORDS) -> DataFrame:
@@ -13,24 +13,29 @@ def document_tokens(docs: DataFrame, key: str = "doc_id", column: str = "text",
     return docs.select(F.col(key).alias("page_id"), F.explode(text.clean_words(F.coalesce(column, F.lit("")), stop_words)).alias("term"), F.lit(1.0).alias("weight"))
 
 
+def tag_tokens_of(parsed: DataFrame) -> DataFrame:
+    """(page_id, tag, token) of parsed pages (page_id, texts)."""
+    parts = parsed.select("page_id", F.explode("texts").alias("t"))
+    return parts.select("page_id", F.col("t.tag").alias("tag"), F.explode(text.tag_tokens(F.col("t.text"))).alias("token"))
+
+
 def page_tag_tokens(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(page_id, tag, token): the raw tokens of every indexed tag, from trees without boilerplate."""
-    parts = html.with_tag_texts(pages, key).select(F.col(key).alias("page_id"), F.explode("texts").alias("t"))
-    return parts.select("page_id", F.col("t.tag").alias("tag"), F.explode(text.tag_tokens(F.col("t.text"))).alias("token"))
+    return tag_tokens_of(html.with_tag_texts(pages, key).withColumnRenamed(key, "page_id"))
 
 
-def page_words(tokens: DataFrame, stop_words=text.STOP_WORDS) -> DataFrame:
-    """(page_id, word, stem, weight) of raw tag tokens; each distinct word is stemmed once."""
+def page_word_counts(tokens: DataFrame, stop_words=text.STOP_WORDS) -> DataFrame:
+    """(page_id, word, weight, n) of raw tag tokens: how often a word stands in tags of a weight."""
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in text.TAG_WEIGHTS.items() for x in kv]), F.col("tag"))
     plain = F.filter(F.split(F.regexp_replace(F.lower("token"), "[^a-zA-Z0-9]+", " "), " "), lambda x: x != "")
     words = tokens.select("page_id", weight.alias("weight"), F.explode(text.without_stop_words(plain, stop_words)).alias("word"))
-    stems = words.select("word").distinct().withColumn("stem", stem.stem_column("word")).filter("length(stem) >= 2")
-    return words.join(stems, "word")
+    return words.groupBy("page_id", "word", "weight").agg(F.count(F.lit(1)).alias("n"))
 
 
 def postings(words: DataFrame, term: str = "term") -> DataFrame:
-    """(term, page_id, tf) from weighted words; sums of halves are exact in any order."""
-    return words.groupBy(F.col(term).alias("term"), "page_id").agg(F.sum("weight").cast("float").alias("tf"))
+    """(term, page_id, tf) from weighted words (with n: how often each occurs); sums of halves are exact in any order."""
+    each = F.col("weight") * F.col("n") if "n" in words.columns else F.col("weight")
+    return words.groupBy(F.col(term).alias("term"), "page_id").agg(F.sum(each).cast("float").alias("tf"))
 
 
 def terms(post: DataFrame) -> DataFrame:
@@ -56,10 +61,15 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count(F.lit(1)).alias("total_documents"), F.coalesce(F.avg("doc_length"), F.lit(0.0)).alias("avg_doc_length"))
 
 
+def heading_of(texts) -> Column:
+    """The tokens of h1, then of h2, in page order."""
+    lists = [F.flatten(F.transform(F.filter(texts, _of(tag)), lambda x: text.tag_tokens(x["text"]))) for tag in ("h1", "h2")]
+    return F.concat(*map(text.joined, lists))
+
+
 def headings(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(page_id, heading) from the tokens of h1, then of h2, in page order."""
-    lists = {tag: F.flatten(F.transform(F.filter("texts", _of(tag)), lambda x: text.tag_tokens(x["text"]))) for tag in ("h1", "h2")}
-    return html.with_tag_texts(pages, key).select(F.col(key).alias("page_id"), F.concat(text.joined(lists["h1"]), text.joined(lists["h2"])).alias("heading"))
+    """(page_id, heading)."""
+    return html.with_tag_texts(pages, key).select(F.col(key).alias("page_id"), heading_of(F.col("texts")).alias("heading"))
 
 
 def _of(tag: str):
@@ -83,6 +93,11 @@ def blank_pages(targets: DataFrame, known: DataFrame) -> DataFrame:
     return targets.select(F.col("to_url").alias("url")).distinct().join(known.select("url"), "url", "left_anti")
 
 
+def blank_id(url) -> Column:
+    """The id of a page that is known by links only: negative, from the hash of its URL, so that every batch gives the same one."""
+    return -1 - F.conv(F.substring(F.md5(url.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def edges(targets: DataFrame, pages: DataFrame) -> DataFrame:
     """(from_page_id, to_page_id) of targets that are pages."""
     return targets.join(pages.select(F.col("page_id").alias("to_page_id"), F.col("url").alias("to_url")), "to_url").select(F.col("page_id").alias("from_page_id"), "to_page_id").distinct()

@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.text import STOP_WORDS
 
 
+#: Unknown words that are broadcast at most, and parts of each length of the vocabulary beyond them.
+MAX_WORDS, PARTS = 10_000, 64
+
+
 def correct(words: DataFrame, vocabulary: DataFrame, stop_words=STOP_WORDS) -> DataFrame:
     """words: (pos, word). Adds corrected.
 
     Known words and stop words stay. Others become the vocabulary word with the least edit
     distance among those of the same length, then one longer, then one shorter, then by word;
-    a word without candidates stays. Lengths are equi-join keys, and only unknown words join.
+    a word without candidates stays. Only unknown words are compared: up to MAX_WORDS of them go to
+    wherever the vocabulary is; more are dealt out by length and a part of the vocabulary's hash, as
+    there are few lengths.
     """
     known = words.join(vocabulary.select("word").distinct(), "word", "left_semi")
     unknown = words.join(known.select("pos"), "pos", "left_anti").filter(~F.col("word").isin(*stop_words))
@@ -21,5 +27,10 @@ def correct(words: DataFrame, vocabulary: DataFrame, stop_words=STOP_WORDS) -> D
     lengths = F.array(*[F.struct(F.lit(i).alias("o"), (n + d).alias("len")) for i, d in enumerate((0, 1, -1))])
     wanted = unknown.select("pos", "word", F.explode(lengths).alias("l")).select("pos", "word", "l.o", "l.len")
     candidates = vocabulary.select(F.col("word").alias("candidate"), F.length("word").alias("len")).distinct()
-    best = wanted.join(candidates, "len").groupBy("pos").agg(F.min(F.struct(F.levenshtein("word", "candidate").alias("d"), "o", "candidate")).alias("b"))
+    if unknown.count() <= MAX_WORDS:
+        pairs = candidates.join(F.broadcast(wanted), "len")  # at most three rows a word
+    else:
+        part = F.pmod(F.xxhash64("candidate"), F.lit(PARTS)).cast("int")
+        pairs = wanted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).join(candidates.withColumn("part", part), ["len", "part"])
+    best = pairs.groupBy("pos").agg(F.min(F.struct(F.levenshtein("word", "candidate").alias("d"), "o", "candidate")).alias("b"))
     return words.join(best.select("pos", F.col("b.candidate").alias("c")), "pos", "left").select("pos", "word", F.coalesce("c", "word").alias("corrected"))

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html, scoring, stem, text, urls
-from ..operators import crawl, graph, index, search, spell
+from ..operators import crawl, embed, graph, index, queues, search, spell, store
+from ..session import fresh_folder
 from ..sources import tables
 from ..streaming import ingest
+from . import stem_sql
 
 QUERY = ["adoci", "aiai", "aiou", "aitre"]
 VECTOR_ID = 7
@@ -48,19 +48,61 @@ def tokens(spark, d) -> DataFrame:
     return index.document_tokens(t(spark, d, "documents").select("doc_id", "text"))
 
 
+_SITES: dict = {}
+
+
+def site(spark, d) -> str:
+    """The folder of what is stored of d's pages and vectors; written once a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _SITES:
+        folder = fresh_folder(spark, "site")
+        store.build_site(t(spark, d, "pages"), folder)
+        store.write_vectors(t(spark, d, "embeddings").select(F.col("vec_id").alias("page_id"), "embedding"), folder)
+        _SITES[key] = folder
+    return _SITES[key]
+
+
+def documents_index(spark, d, stems: bool = False) -> store.Stored:
+    """The stored index of d's documents, over words or over stems; written once a session."""
+    key = (spark.sparkContext.applicationId, d, stems)
+    if key not in _SITES:
+        folder = fresh_folder(spark, "index")
+        store.build_documents(t(spark, d, "documents").select("doc_id", "text"), folder, stems)
+        _SITES[key] = folder
+    return store.Stored(spark, _SITES[key], site=site(spark, d))
+
+
+def pages_index(spark, d) -> store.Stored:
+    """The stored index of the weighted, stemmed words of d's pages; written once a session."""
+    key = (spark.sparkContext.applicationId, d, "pages")
+    if key not in _SITES:
+        folder = fresh_folder(spark, "pages")
+        store.build_pages(spark, site(spark, d), folder)
+        _SITES[key] = folder
+    return store.Stored(spark, _SITES[key], site=site(spark, d))
+
+
+def site_table(spark, d, name) -> DataFrame:
+    return spark.read.parquet(f"{site(spark, d)}/{name}")
+
+
 def page_table(spark, d) -> DataFrame:
-    """page_id, url (normalised), title and heading of the pages, the last of each URL."""
-    rows = t(spark, d, "pages").select("page_id", urls.normalized(F.col("url")).alias("url"), F.regexp_extract("html", "<title[^>]*>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1).alias("heading"))
-    return index.latest(rows, "url", "page_id")
+    """page_id, url (normalised), title and heading of pages that are indexed, the last of each URL."""
+    return site_table(spark, d, "pages").filter("page_id >= 0").select("page_id", "url", "title", "heading")
+
 
+def all_pages(spark, d) -> DataFrame:
+    """The same with the blank pages."""
+    return site_table(spark, d, "pages").select("page_id", "url", "title", "heading")
 
-def host_links(spark, d) -> DataFrame:
-    """Links among pages of a host: to its first page and to the next one."""
-    p = t(spark, d, "pages").select("page_id", urls.hostname(F.col("url")).alias("host"))
-    first = p.groupBy("host").agg(F.min("page_id").alias("to_page_id"))
-    a = p.join(first, "host").select(F.col("page_id").alias("from_page_id"), "to_page_id")
-    b = p.select(F.col("page_id").alias("from_page_id"), F.lead("page_id").over(Window.partitionBy("host").orderBy("page_id")).alias("to_page_id")).filter("to_page_id IS NOT NULL")
-    return a.unionByName(b).distinct()
+
+def site_links(spark, d) -> DataFrame:
+    return site_table(spark, d, "links")
+
+
+def hub(spark, d) -> int:
+    """The page with the most links to it, the least id of equals."""
+    return site_table(spark, d, "backlinks").orderBy(F.desc("backlink_count"), "page_id").first().page_id
 
 
 STOP = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
@@ -77,13 +119,27 @@ HOST = f"nullif(lower(regexp_replace(regexp_replace(regexp_extract({{0}}, {URL},
 NURL = f"""CASE WHEN regexp_extract({{0}}, {URL}, 1) <> '' THEN lower(regexp_extract({{0}}, {URL}, 1)) || '://' || regexp_extract(regexp_extract({{0}}, {URL}, 2), '^(.*@)?(.*)$', 1)
   || regexp_replace(lower(regexp_extract(regexp_extract({{0}}, {URL}, 2), '^(.*@)?(.*)$', 2)), CASE lower(regexp_extract({{0}}, {URL}, 1)) WHEN 'http' THEN ':80$' WHEN 'https' THEN ':443$' ELSE '^$' END, '')
   || regexp_replace(regexp_extract({{0}}, {URL}, 3), '/$', '') END"""
-PAGES = f"""pt AS (SELECT page_id, url, title, heading FROM (SELECT page_id, {NURL.format('url')} AS url, regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1) AS title,
-  regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS heading FROM pages) QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1)"""
-LINKS = f"""hp AS (SELECT page_id, {HOST.format('url')} AS host FROM pages),
-links AS (SELECT page_id AS from_page_id, m AS to_page_id FROM hp JOIN (SELECT host, min(page_id) AS m FROM hp GROUP BY host) USING (host)
-  UNION SELECT page_id, nx FROM (SELECT page_id, lead(page_id) OVER (PARTITION BY host ORDER BY page_id) AS nx FROM hp) WHERE nx IS NOT NULL)"""
 PLAIN = "replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+HEADING = f"""array_to_string(list_filter(list_transform(string_split({PLAIN.format("regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)")}, ' '), lambda x: trim(x)), lambda x: x <> ''), ' ') || '..'"""
+PAGES = f"""pt AS (SELECT page_id, url, title, heading FROM (SELECT page_id, {NURL.format('url')} AS url, {PLAIN.format("regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)")} AS title,
+  {HEADING} AS heading FROM pages) QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1)"""
+_FOUND = f"""found AS (SELECT DISTINCT page_id, {NURL.format('u')} AS to_url FROM (SELECT page_id, regexp_extract(url, '^([^/]*//[^/?#]*)', 1) || unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS u FROM pages))"""
+#: Links of the pages that are the last of their URL; targets that are no page have an id from their URL's hash.
+LINKS = f"""{_FOUND}, aims AS (SELECT page_id AS from_page_id, to_url FROM found WHERE page_id IN (SELECT page_id FROM pt)),
+blank AS (SELECT DISTINCT -1 - ('0x' || substr(md5(to_url), 1, 15))::BIGINT AS page_id, to_url AS url, NULL::VARCHAR AS title, NULL::VARCHAR AS heading FROM aims WHERE to_url NOT IN (SELECT url FROM pt)),
+allp AS (SELECT * FROM pt UNION ALL SELECT * FROM blank),
+links AS (SELECT DISTINCT from_page_id, allp.page_id AS to_page_id FROM aims JOIN allp ON to_url = allp.url)"""
+HUB = "(SELECT page_id FROM counts ORDER BY backlink_count DESC, page_id LIMIT 1)"
 COUNTS = "counts AS (SELECT to_page_id AS page_id, count(*) AS backlink_count FROM links WHERE to_page_id <> from_page_id GROUP BY to_page_id)"
+
+
+def _neigh(centre) -> str:
+    return f"""{PAGES}, {LINKS}, {COUNTS}, mid AS (SELECT {centre} AS c),
+fwd AS (SELECT page_id, url, title FROM allp WHERE page_id IN (SELECT to_page_id FROM links, mid WHERE from_page_id = c AND to_page_id <> c)),
+bck AS (SELECT page_id, url, title FROM allp WHERE page_id IN (SELECT from_page_id FROM links, mid WHERE to_page_id = c AND from_page_id <> c)),
+ego AS (SELECT page_id, url, title, kind FROM (SELECT page_id, url, title, 'current' AS kind, 0 AS o FROM allp, mid WHERE page_id = c UNION ALL SELECT *, 'backlink', 1 FROM bck UNION ALL SELECT *, 'forward', 2 FROM fwd) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY o) = 1)"""
+
+
 DOT = "list_sum(list_transform(list_zip({0}::DOUBLE[], {1}::DOUBLE[]), lambda z: z[1] * z[2]))"
 DIST = f"1 - {DOT.format('e.embedding', 'q.embedding')} / (sqrt({DOT.format('e.embedding', 'e.embedding')}) * sqrt({DOT.format('q.embedding', 'q.embedding')}))"
 NEAR = f"near AS (SELECT e.vec_id AS page_id, {DIST} AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {VECTOR_ID}) q WHERE e.embedding IS NOT NULL ORDER BY 2, 1 LIMIT 100)"
@@ -126,17 +182,14 @@ def _(spark, d):
     return rows.select("url", F.coalesce(urls.crawlable(F.col("url")), F.lit(False)).alias("crawlable"))
 
 
-_FOUND = f"""found AS (SELECT DISTINCT page_id, {NURL.format('u')} AS to_url FROM (SELECT page_id, regexp_extract(url, '^([^/]*//[^/?#]*)', 1) || unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS u FROM pages))"""
-
-
 @query("link_extract", f"WITH {_FOUND} SELECT page_id, to_url FROM found")
 def _(spark, d):
     return index.links_found(html.with_records(t(spark, d, "pages")))
 
 
-@query("blank_pages", f"WITH {_FOUND} SELECT DISTINCT to_url AS url FROM found WHERE to_url NOT IN (SELECT {NURL.format('url')} FROM pages)")
+@query("blank_pages", f"WITH {PAGES}, {LINKS} SELECT url FROM blank")
 def _(spark, d):
-    return index.blank_pages(index.links_found(html.with_records(t(spark, d, "pages"))), page_table(spark, d))
+    return index.blank_pages(site_table(spark, d, "targets"), page_table(spark, d))
 
 
 @query("title_extract", f"SELECT page_id, {PLAIN.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title FROM pages")
@@ -189,9 +242,27 @@ def _(spark, d):
     return index.postings(tokens(spark, d))
 
 
-@query("weighted_tf_tags")
+#: The test pages have h1 and paragraphs; a b opens with a paragraph, is never closed, and so stands in all later
+#: paragraphs, three times at most besides the one that the paragraph opens.
+TAGGED = f"""art AS (SELECT page_id, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS a FROM pages WHERE page_id IN (SELECT page_id FROM pt)),
+par AS (SELECT page_id, unnest(string_split(a, '<p>')[2:]) AS x, generate_subscripts(string_split(a, '<p>')[2:], 1) AS i FROM art),
+deep AS (SELECT page_id, x, i, starts_with(x, '<b>')::INT AS own, sum(starts_with(x, '<b>')::INT) OVER (PARTITION BY page_id ORDER BY i) AS k FROM par),
+said AS (SELECT page_id, {PLAIN.format("regexp_extract(a, '<h1>([^<]*)</h1>', 1)")} AS s, 3.0::DOUBLE AS weight, 1 AS times FROM art
+  UNION ALL SELECT page_id, {PLAIN.format("regexp_replace(x, '<[^>]*>', '', 'g')")}, 1 + 1.5 * (least(k - own, 3) + own), 1 + least(k - own, 3) + own FROM deep),
+lines AS (SELECT page_id, s, weight, 0 AS i, 0 AS depth FROM said WHERE weight = 3.0 AND times = 1 UNION ALL SELECT page_id, {PLAIN.format("regexp_replace(x, '<[^>]*>', '', 'g')")}, 1.0, i, (least(k - own, 3) + own)::BIGINT FROM deep),
+tagw AS (SELECT page_id, weight, unnest(list_filter(string_split({NORM.format('s')}, ' '), lambda x: x <> '' AND NOT list_contains({STOP}, x))) AS word FROM said),
+tagd AS (SELECT DISTINCT word FROM tagw), {stem_sql.stems('tagd', 'tags')},
+tagp AS (SELECT stem AS term, page_id, sum(weight)::FLOAT AS tf FROM tagw JOIN tags USING (word) WHERE length(stem) >= 2 GROUP BY ALL)"""
+
+
+@query("weighted_tf_tags", f"WITH {PAGES}, {TAGGED} SELECT term, page_id, tf FROM tagp")
+def _(spark, d):
+    return pages_index(spark, d).table("postings").select("term", "page_id", "tf")
+
+
+@query("tag_doc_length", f"WITH {PAGES}, {TAGGED} SELECT page_id, sum(len(list_filter(list_transform(string_split(s, ' '), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')) * CASE WHEN weight = 3.0 AND times = 1 THEN 1 ELSE times END)::BIGINT AS doc_length FROM said GROUP BY page_id")
 def _(spark, d):
-    return index.postings(index.page_words(index.page_tag_tokens(t(spark, d, "pages"))), "stem")
+    return pages_index(spark, d).table("lengths").select("page_id", "doc_length")
 
 
 @query("terms_df", f"WITH {POSTINGS} SELECT term, df FROM terms")
@@ -206,13 +277,12 @@ def _(spark, d):
     return index.merged_terms(half(0), half(1))
 
 
-@query("vocab_filtered")
+@query("vocab_filtered", f"WITH {PAGES}, {TAGGED} SELECT DISTINCT word, stem FROM tags WHERE stem IN (SELECT term FROM tagp GROUP BY term HAVING count(*) > 2)")
 def _(spark, d):
-    words = index.page_words(index.page_tag_tokens(t(spark, d, "pages")))
-    return index.vocabulary(words, index.terms(index.postings(words, "stem")))
+    return pages_index(spark, d).vocabulary().select("word", "stem")
 
 
-@query("stem_vocab")
+@query("stem_vocab", f"WITH {TOKENS}, dw AS (SELECT DISTINCT term AS word FROM tok), {stem_sql.stems('dw')} SELECT word, stem FROM stems")
 def _(spark, d):
     return tokens(spark, d).select(F.col("term").alias("word")).distinct().withColumn("stem", stem.stem_column("word"))
 
@@ -230,19 +300,9 @@ def _(spark, d):
 # Ranking --------------------------------------------------------------------------------------
 
 
-def _tables(spark, d) -> dict:
-    tok = tokens(spark, d)
-    post, lengths = index.postings(tok), index.doc_lengths(tok)
-    return {
-        "postings": post, "terms": index.terms(post), "lengths": lengths, "stats": index.corpus_stats(lengths),
-        "vectors": t(spark, d, "embeddings").select(F.col("vec_id").alias("page_id"), "embedding"),
-        "links": host_links(spark, d), "pages": page_table(spark, d),
-    }
-
-
 def _scores(spark, d):
-    x = _tables(spark, d)
-    return search.posting_scores(x["postings"], x["terms"], x["lengths"], x["stats"], QUERY)
+    x = documents_index(spark, d).tables(QUERY)
+    return search.posting_scores(x["postings"], x["terms"], None, x["stats"], QUERY)
 
 
 def _vector(spark, d):
@@ -251,8 +311,8 @@ def _vector(spark, d):
 
 @query("idf", f"WITH {POSTINGS} SELECT term, round(ln((n - df + 0.5) / (df + 0.5)), 6) AS idf FROM terms, stats")
 def _(spark, d):
-    x = _tables(spark, d)
-    return x["terms"].crossJoin(F.broadcast(x["stats"])).select("term", F.round(scoring.idf(F.col("total_documents"), F.col("df")), 6).alias("idf"))
+    x = documents_index(spark, d)
+    return x.table("terms").crossJoin(F.broadcast(x.table("stats"))).select("term", F.round(scoring.idf(F.col("total_documents"), F.col("df")), 6).alias("idf"))
 
 
 @query("bm25_posting", f"WITH {SCORES} SELECT page_id, term, tf, df, round(score, 6) AS score FROM scores")
@@ -267,7 +327,7 @@ def _(spark, d):
 
 @query("cosine_topk", f"WITH {NEAR} SELECT page_id AS vec_id, round(distance, 6) AS distance FROM near")
 def _(spark, d):
-    return search.nearest(t(spark, d, "embeddings"), _vector(spark, d), 100).select("vec_id", F.round("distance", 6).alias("distance"))
+    return search.nearest(site_table(spark, d, "vectors"), _vector(spark, d), 100, "page_id").select(F.col("page_id").alias("vec_id"), F.round("distance", 6).alias("distance"))
 
 
 @query("image_topk", f"WITH {NEAR} SELECT n.page_id AS image_id, 'image ' || e.label AS alt_text, round(distance, 6) AS distance FROM near n JOIN embeddings e ON e.vec_id = n.page_id")
@@ -280,18 +340,18 @@ def _(spark, d):
 @query("rrf_fusion", f"WITH {SCORES}, {NEAR}, {FUSED} SELECT page_id, type, round(rrf, 6) AS rrf_score FROM fused")
 def _(spark, d):
     bm = search.ranked(search.bm25_top(_scores(spark, d), 100), [F.desc("bm25_score"), "page_id"], "bm25_rank").select("page_id", "bm25_rank")
-    vec = search.ranked(search.nearest(t(spark, d, "embeddings").withColumnRenamed("vec_id", "page_id"), _vector(spark, d), 100, "page_id"), ["distance", "page_id"], "vector_rank").select("page_id", "vector_rank")
+    vec = search.ranked(search.nearest(site_table(spark, d, "vectors"), _vector(spark, d), 100, "page_id"), ["distance", "page_id"], "vector_rank").select("page_id", "vector_rank")
     return search.fuse(bm, vec).select("page_id", "type", F.round("rrf_score", 6).alias("rrf_score"))
 
 
-@query("backlink_count", f"WITH {LINKS}, {COUNTS} SELECT page_id, backlink_count FROM counts")
+@query("backlink_count", f"WITH {PAGES}, {LINKS}, {COUNTS} SELECT page_id, backlink_count FROM counts")
 def _(spark, d):
-    return search.backlink_counts(host_links(spark, d))
+    return search.backlink_counts(site_links(spark, d))
 
 
-@query("backlink_boost", f"WITH {LINKS}, {COUNTS} SELECT page_id, round(1 + 0.5 * ln(1 + least(coalesce(backlink_count, 0), 1000)) / ln(1001), 6) AS backlink_boost FROM pages LEFT JOIN counts USING (page_id)")
+@query("backlink_boost", f"WITH {PAGES}, {LINKS}, {COUNTS} SELECT page_id, round(1 + 0.5 * ln(1 + least(coalesce(backlink_count, 0), 1000)) / ln(1001), 6) AS backlink_boost FROM allp LEFT JOIN counts USING (page_id)")
 def _(spark, d):
-    x = t(spark, d, "pages").select("page_id").join(search.backlink_counts(host_links(spark, d)), "page_id", "left")
+    x = all_pages(spark, d).select("page_id").join(site_table(spark, d, "backlinks"), "page_id", "left")
     return x.select("page_id", F.round(scoring.backlink_boost(F.coalesce("backlink_count", F.lit(0))), 6).alias("backlink_boost"))
 
 
@@ -308,7 +368,7 @@ def _(spark, d):
 def _search_sql(page: int) -> str:
     q = list(QUERY)
     rel = _REL.format(w=q, h=f"coalesce({WORDS.format(HOST.format('url'))}, [])", t=f"coalesce({WORDS.format('title')}, [])", g=f"coalesce({WORDS.format('heading')}, [])")
-    return f"""WITH {SCORES}, {NEAR}, {FUSED}, {LINKS}, {COUNTS}, {PAGES},
+    return f"""WITH {SCORES}, {NEAR}, {FUSED}, {PAGES}, {LINKS}, {COUNTS},
 b AS (SELECT f.*, coalesce(c.backlink_count, 0) AS bc, 1 + 0.5 * ln(1 + least(coalesce(c.backlink_count, 0), 1000)) / ln(1001) AS bb FROM fused f LEFT JOIN counts c ON f.page_id = c.page_id),
 o AS (SELECT *, row_number() OVER (ORDER BY bb * rrf DESC, rrf DESC, ord) AS pos FROM b),
 s AS (SELECT o.*, pt.url, pt.title FROM o LEFT JOIN pt ON o.page_id = pt.page_id WHERE pos > {(page - 1) * 10} AND pos <= {page * 10}),
@@ -318,7 +378,7 @@ SELECT page_id, url, title, type, round(rrf, 6) AS rrf_score, bc AS backlink_cou
 
 def _search(page):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        out = search.search(_tables(spark, d), QUERY, _vector(spark, d), page)
+        out = search.search(documents_index(spark, d).tables(QUERY), QUERY, _vector(spark, d), page)
         r = lambda c: F.round(c, 6).alias(c)
         return out.select("page_id", "url", "title", "type", r("rrf_score"), "backlink_count", r("backlink_boost"), "relevance_boost", r("final_score"))
 
@@ -328,6 +388,114 @@ def _search(page):
 query("hybrid_search", _search_sql(1))(_search(1))
 query("hybrid_search_page2", _search_sql(2))(_search(2))
 
+STEMMED = f"""{TOKENS}, dw AS (SELECT DISTINCT term AS word FROM tok), {stem_sql.stems('dw')},
+good AS (SELECT word, stem FROM stems WHERE length(stem) >= 2),
+post AS (SELECT stem AS term, page_id, count(*)::FLOAT AS tf FROM tok JOIN good ON tok.term = word GROUP BY ALL), terms AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+len AS (SELECT page_id, count(*) AS doc_length FROM tok GROUP BY page_id), stats AS (SELECT count(*) AS n, avg(doc_length) AS avg_len FROM len),
+vocab AS (SELECT word, stem FROM good WHERE stem IN (SELECT term FROM terms WHERE df > 2))"""
+
+
+def _answer_sql(words: list[str], page: int, size: int) -> str:
+    rel = _REL.format(w="(SELECT list(word) FROM wanted)", h=f"coalesce({WORDS.format(HOST.format('url'))}, [])", t=f"coalesce({WORDS.format('title')}, [])", g=f"coalesce({WORDS.format('heading')}, [])")
+    return f"""WITH {STEMMED},
+q AS (SELECT unnest(range({len(words)})) AS pos, unnest({words}) AS word),
+u AS (SELECT * FROM q WHERE word NOT IN (SELECT word FROM vocab) AND NOT list_contains({STOP}, word)),
+c AS (SELECT pos, v.word AS w, levenshtein(u.word, v.word) AS dist, CASE length(v.word) - length(u.word) WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS o FROM u JOIN vocab v ON abs(length(v.word) - length(u.word)) <= 1),
+best AS (SELECT pos, w FROM c QUALIFY row_number() OVER (PARTITION BY pos ORDER BY dist, o, w) = 1),
+full_q AS (SELECT q.pos, q.word AS was, coalesce(best.w, q.word) AS word FROM q LEFT JOIN best ON q.pos = best.pos),
+wanted AS (SELECT pos, word FROM full_q WHERE length(word) >= 2 AND NOT list_contains({STOP}, word)),
+asked AS (SELECT DISTINCT stem AS term FROM vocab JOIN wanted USING (word)),
+scores AS (SELECT page_id, term, tf, df, doc_length,
+  ln((n - df + 0.5) / (df + 0.5)) * (tf::DOUBLE * 2.2 / (tf::DOUBLE + 1.2 * (0.3 + 0.7 * (doc_length::DOUBLE / avg_len)))) AS score
+  FROM post JOIN terms USING (term) JOIN len USING (page_id), stats WHERE term IN (SELECT term FROM asked) AND df > 1 AND df < 25000),
+{NEAR}, {FUSED}, {PAGES}, {LINKS}, {COUNTS},
+said AS (SELECT page_id, sum(score) AS bm25_score, string_agg(term || ':' || df || ':' || tf::INT, ',' ORDER BY term) AS terms FROM scores GROUP BY page_id),
+b AS (SELECT f.*, coalesce(c.backlink_count, 0) AS bc, 1 + 0.5 * ln(1 + least(coalesce(c.backlink_count, 0), 1000)) / ln(1001) AS bb FROM fused f LEFT JOIN counts c ON f.page_id = c.page_id),
+o AS (SELECT *, row_number() OVER (ORDER BY bb * rrf DESC, rrf DESC, ord) AS pos FROM b),
+s AS (SELECT o.*, allp.url, allp.title, allp.heading FROM o LEFT JOIN allp ON o.page_id = allp.page_id WHERE pos > {(page - 1) * size} AND pos <= {page * size}),
+r AS (SELECT s.*, {rel} AS rb FROM s)
+SELECT r.page_id, url, title, type, CASE WHEN br IS NOT NULL THEN round(bm25_score, 6) END AS bm25_score, CASE WHEN br IS NOT NULL THEN terms END AS terms, round(rrf, 6) AS rrf_score, bc AS backlink_count,
+  round(bb, 6) AS backlink_boost, rb AS relevance_boost, round(bb * rrf * rb, 6) AS final_score, (SELECT count(*) FROM fused) AS total_results,
+  (SELECT bool_or(was <> word) FROM full_q) AS corrected, (SELECT string_agg(word, ' ' ORDER BY pos) FROM wanted) AS q, (SELECT string_agg(word, ' ' ORDER BY pos) FROM full_q) AS full_q, {page} AS page, {size} AS page_size
+FROM r LEFT JOIN said ON r.page_id = said.page_id"""
+
+
+def _answer(q: str, page=None, size=None):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        got = search.answer(documents_index(spark, d, stems=True), q, page=page, page_size=size, vector=_vector(spark, d))
+        r = lambda c: F.round(c, 6).alias(c)
+        terms = F.array_join(F.transform("terms", lambda x: F.concat_ws(":", x["term"], x["df"].cast("string"), x["tf"].cast("int").cast("string"))), ",")
+        head = {"total_results": got.total_results, "corrected": got.corrected, "q": " ".join(got.q), "full_q": " ".join(got.full_q), "page": got.page, "page_size": got.page_size}
+        return got.results.select("page_id", "url", "title", "type", r("bm25_score"), terms.alias("terms"), r("rrf_score"), "backlink_count", r("backlink_boost"), "relevance_boost", r("final_score"), *[F.lit(v).alias(k) for k, v in head.items()])
+
+    return run
+
+
+query("search_response", _answer_sql(["adoci", "aiai", "the", "aiou"], 1, 10))(_answer("Adoci aiai, the AIOU!"))
+query("search_corrected", _answer_sql(["adocx", "the", "aioux", "thstion"], 2, 5))(_answer("adocx the aioux-thstion a", "2", "5"))
+
+
+@query("links_response", f"WITH {_neigh(CENTRE)} SELECT 'forward' AS kind, * FROM fwd UNION ALL SELECT 'backlink', * FROM bck")
+def _(spark, d):
+    back, forward = search.links_answer(store.Stored(spark, site(spark, d), site=site(spark, d)), str(CENTRE))
+    return back.select(F.lit("backlink").alias("kind"), "*").unionByName(forward.select(F.lit("forward").alias("kind"), "*"))
+
+
+@query("postings_scan", f"WITH {POSTINGS} SELECT term, page_id, tf FROM post")
+def _(spark, d):
+    return store.full_scan(documents_index(spark, d))
+
+
+@query("posting_lookup", f"WITH {POSTINGS} SELECT term, page_id, tf FROM post WHERE term = '{QUERY[0]}' AND page_id = (SELECT min(page_id) FROM post WHERE term = '{QUERY[0]}')")
+def _(spark, d):
+    x = documents_index(spark, d)
+    first = x.postings([QUERY[0]]).agg(F.min("page_id")).first()[0]
+    return x.posting(QUERY[0], first).select("term", "page_id", "tf")
+
+
+@query("embed_text", f"""WITH {PAGES}, {TAGGED}, line AS (SELECT page_id, weight, i, depth, array_to_string(list_filter(list_transform(string_split(s, ' '), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), ' ') AS s FROM lines),
+one AS (SELECT page_id, string_agg(s, ' ' ORDER BY i) FILTER (weight = 3.0 AND s <> '') AS h, string_agg(s, ' ' ORDER BY i) FILTER (weight = 1.0 AND s <> '') AS p FROM line GROUP BY page_id),
+bold AS (SELECT page_id, string_agg(s, ' ' ORDER BY i, r) FILTER (s <> '') AS b FROM (SELECT *, unnest(range(depth)) AS r FROM line WHERE weight = 1.0) GROUP BY page_id)
+SELECT page_id, '.' || chr(10) || coalesce(h, '') || '.' || chr(10) || '.' || chr(10) || '.' || chr(10) || coalesce(b, '') || '.' || chr(10) || coalesce(p, '') || '.' || chr(10) || '.' || chr(10) AS text
+FROM one LEFT JOIN bold USING (page_id)""")
+def _(spark, d):
+    return site_table(spark, d, "embed_texts")
+
+
+@query("fetch_accept", """SELECT name, ok FROM (VALUES ('page', 200, 'text/html; charset=utf-8'), ('missing', 404, 'text/html'), ('broken', 500, 'text/html'), ('unreachable', NULL, NULL), ('picture', 200, 'image/png'), ('moved', 299, 'text/html'), ('more', 300, 'text/html')) v(name, status_code, content_type),
+LATERAL (SELECT coalesce(status_code <= 299 AND contains(content_type, 'text/html'), false) AS ok)""")
+def _(spark, d):
+    log = spark.createDataFrame([("page", 200, "text/html; charset=utf-8"), ("missing", 404, "text/html"), ("broken", 500, "text/html"), ("unreachable", None, None), ("picture", 200, "image/png"), ("moved", 299, "text/html"), ("more", 300, "text/html")], "name string, status_code int, content_type string")
+    good = tables.fetched(log).select("name", F.lit(True).alias("ok"))
+    return log.select("name").join(good, "name", "left").select("name", F.coalesce("ok", F.lit(False)).alias("ok"))
+
+
+@query("queue_round", "SELECT page_id, url, 0 AS tries FROM pages ORDER BY page_id LIMIT 20")
+def _(spark, d):
+    """The front of a queue that pages were pushed to in two batches, one of them twice."""
+    folder = fresh_folder(spark, "queue")
+    p = t(spark, d, "pages").select("page_id", "url")
+    half = p.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY page_id)")).first()[0]
+    for batch, part in ((0, p.filter(F.col("page_id") <= half)), (1, p.filter(F.col("page_id") > half)), (0, p.filter(F.col("page_id") <= half))):
+        queues.push(spark, folder, part, batch, "page_id")
+    return queues.front(queues.entries(spark, folder), 20, "page_id").select("page_id", "url", "tries")
+
+
+@query("message_round_trip", "SELECT page_id, url, html FROM pages")
+def _(spark, d):
+    """Pages as JSON messages and back."""
+    p = t(spark, d, "pages").select("page_id", "url", "html")
+    said = p.select("page_id", F.to_json(F.struct("url", "html")).alias("message"))
+    return queues.decoded(said).select("page_id", "url", "html")
+
+
+@query("access_log", "SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z ' || user_id || ' GET /' || event_type || ' ' || (CASE WHEN event_id % 5 = 0 THEN '404' ELSE '200' END) || ' - - ' || format('{:.3f}', value) || ' ms' AS line FROM events")
+def _(spark, d):
+    e = t(spark, d, "events")
+    status = F.when(F.col("event_id") % 5 == 0, 404).otherwise(200)
+    return tables.access_log(e.select(F.col("ts").alias("at"), F.col("user_id").alias("client"), F.lit("GET").alias("method"), F.concat(F.lit("/"), F.col("event_type")).alias("url"), status.alias("status"), F.lit(None).alias("bytes"), F.col("value").alias("ms")))
+
+
 _MISSPELT = ("adocx", "the", "aiou", "zzzzzz", "thstion", "enberre", "qqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqq")
 
 
@@ -338,38 +506,46 @@ c AS (SELECT pos, w, levenshtein(word, w) AS dist, CASE length(w) - length(word)
 b AS (SELECT pos, w FROM c QUALIFY row_number() OVER (PARTITION BY pos ORDER BY dist, o, w) = 1)
 SELECT q.pos AS pos, word, coalesce(b.w, word) AS corrected FROM q LEFT JOIN b ON q.pos = b.pos""")
 def _(spark, d):
-    vocab = index.terms(index.postings(tokens(spark, d))).filter("df > 2").select(F.col("term").alias("word"))
+    lengths = sorted({len(w) + k for w in _MISSPELT for k in (-1, 0, 1)})
+    vocab = documents_index(spark, d).vocabulary(lengths)
     return spell.correct(spark.createDataFrame(list(enumerate(_MISSPELT)), "pos long, word string"), vocab)
 
 
 # The graph ------------------------------------------------------------------------------------
 
-_NEIGH = f"""{PAGES}, {LINKS},
-fwd AS (SELECT page_id, url, title FROM pt WHERE page_id IN (SELECT to_page_id FROM links WHERE from_page_id = {CENTRE} AND to_page_id <> {CENTRE})),
-bck AS (SELECT page_id, url, title FROM pt WHERE page_id IN (SELECT from_page_id FROM links WHERE to_page_id = {CENTRE} AND from_page_id <> {CENTRE})),
-ego AS (SELECT page_id, url, title, kind FROM (SELECT page_id, url, title, 'current' AS kind, 0 AS o FROM pt WHERE page_id = {CENTRE} UNION ALL SELECT *, 'backlink', 1 FROM bck UNION ALL SELECT *, 'forward', 2 FROM fwd) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY o) = 1)"""
+_NEIGH, _HUB_NEIGH = _neigh(CENTRE), _neigh(HUB)
 
 
 @query("forward_links", f"WITH {_NEIGH} SELECT * FROM fwd")
 def _(spark, d):
-    return graph.forward(host_links(spark, d), page_table(spark, d), CENTRE)
+    return graph.forward(site_links(spark, d), all_pages(spark, d), CENTRE)
+
+
+@query("back_links", f"WITH {_HUB_NEIGH} SELECT * FROM bck")
+def _(spark, d):
+    return graph.back(site_links(spark, d), all_pages(spark, d), hub(spark, d))
 
 
-@query("back_links", f"WITH {_NEIGH} SELECT * FROM bck")
+@query("neighbour_ids", f"WITH {_HUB_NEIGH} SELECT page_id, 'backlink' AS kind FROM bck UNION ALL SELECT page_id, 'forward' FROM fwd")
 def _(spark, d):
-    return graph.back(host_links(spark, d), page_table(spark, d), CENTRE)
+    return graph.neighbour_ids(site_links(spark, d), hub(spark, d))
 
 
-@query("ego_graph", f"WITH {_NEIGH} SELECT * FROM ego")
+@query("ego_graph", f"WITH {_HUB_NEIGH} SELECT * FROM ego")
 def _(spark, d):
-    return graph.ego(host_links(spark, d), page_table(spark, d), CENTRE)
+    return graph.ego(site_links(spark, d), all_pages(spark, d), hub(spark, d))
+
+
+@query("ego_edges", f"WITH {_NEIGH} SELECT c AS source, page_id AS target FROM fwd, mid UNION ALL SELECT page_id, c FROM bck, mid")
+def _(spark, d):
+    return graph.ego_edges(site_links(spark, d), CENTRE)
 
 
 @query("ego_layout", f"""WITH {_NEIGH}, i AS (SELECT page_id, kind, row_number() OVER (PARTITION BY kind ORDER BY page_id) - 1 AS i, count(*) OVER (PARTITION BY kind) AS n FROM ego),
 a AS (SELECT *, CASE WHEN kind = 'backlink' THEN pi() ELSE 0 END + CASE WHEN n > 1 THEN -radians(170) / 2 + radians(170) * i / (n - 1) ELSE 0 END AS a, CASE WHEN kind = 'current' THEN 0 ELSE 150.0 + (i % 5) * 40 END AS r FROM i)
 SELECT page_id, kind, round(r * cos(a), 3) + 0.0::DOUBLE AS x, round(r * sin(a), 3) + 0.0::DOUBLE AS y FROM a""")
 def _(spark, d):
-    x = graph.layout(graph.ego(host_links(spark, d), page_table(spark, d), CENTRE))
+    x = graph.layout(graph.ego(site_links(spark, d), all_pages(spark, d), CENTRE))
     return x.select("page_id", "kind", (F.round("x", 3) + F.lit(0.0)).alias("x"), (F.round("y", 3) + F.lit(0.0)).alias("y"))
 
 
@@ -382,14 +558,7 @@ def _(spark, d):
 # Crawling, logs, streams ----------------------------------------------------------------------
 
 
-@query("frontier_expand", f"WITH {_FOUND} SELECT DISTINCT to_url AS url FROM found WHERE to_url NOT IN (SELECT {NURL.format('url')} FROM pages WHERE page_id % 2 = 0) ORDER BY 1 LIMIT 500")
-def _(spark, d):
-    out = index.links_found(html.with_records(t(spark, d, "pages"))).select(F.col("to_url").alias("url"))
-    seen = t(spark, d, "pages").filter("page_id % 2 = 0").select(urls.normalized(F.col("url")).alias("url"))
-    return crawl.expand(out, seen, 500)
-
-
-@query("frontier_expand_all", f"WITH {_FOUND} SELECT DISTINCT url FROM (SELECT {NURL.format('to_url')} AS url FROM found) WHERE url IS NOT NULL AND url NOT IN (SELECT u FROM (SELECT {NURL.format('url')} AS u FROM pages) WHERE u IS NOT NULL)")
+@query("frontier_expand", f"WITH {_FOUND} SELECT DISTINCT url FROM (SELECT {NURL.format('to_url')} AS url FROM found) WHERE url IS NOT NULL AND url NOT IN (SELECT u FROM (SELECT {NURL.format('url')} AS u FROM pages) WHERE u IS NOT NULL)")
 def _(spark, d):
     out = index.links_found(html.with_records(t(spark, d, "pages"))).select(F.col("to_url").alias("url"))
     return crawl.expand(out, t(spark, d, "pages").select(urls.normalized(F.col("url")).alias("url")), None)
@@ -437,18 +606,53 @@ def _(spark, d):
     return t(spark, d, "events").select("event_id", first.alias("first"), last.alias("last"), pages.alias("pages"))
 
 
-@query("crawl_simulation", f"""WITH RECURSIVE {LINKS}, s(page_id, depth) AS (SELECT {CENTRE}::BIGINT, 0 UNION SELECT to_page_id, depth + 1 FROM s JOIN links ON from_page_id = s.page_id WHERE depth < 3)
-SELECT 'http://h/' || page_id AS url, min(depth)::INTEGER AS depth FROM s GROUP BY page_id""")
+@query("crawl_simulation", f"""WITH RECURSIVE {PAGES}, {LINKS}, ways AS (SELECT from_page_id AS a, to_page_id AS b FROM links UNION SELECT to_page_id, from_page_id FROM links),
+s(page_id, depth) AS (SELECT {CENTRE}::BIGINT, 0 UNION SELECT b, depth + 1 FROM s JOIN ways ON a = s.page_id WHERE depth < 3)
+SELECT url, min(depth)::INTEGER AS depth FROM s JOIN allp USING (page_id) GROUP BY url""")
 def _(spark, d):
-    name = lambda c: F.concat(F.lit("http://h/"), F.col(c).cast("string"))
-    links = host_links(spark, d).select(name("from_page_id").alias("from_url"), name("to_page_id").alias("to_url"))
-    return crawl.simulate(t(spark, d, "pages").select(name("page_id").alias("url")), links, f"http://h/{CENTRE}", 3)
+    """Over links and, so that pages lead on, links back."""
+    ways = site_links(spark, d).select("from_page_id", "to_page_id")
+    ways = ways.unionByName(ways.select(F.col("to_page_id").alias("from_page_id"), F.col("from_page_id").alias("to_page_id"))).distinct()
+    name = lambda c: all_pages(spark, d).select(F.col("page_id").alias(f"{c}_page_id"), F.col("url").alias(f"{c}_url"))
+    links = ways.join(name("from"), "from_page_id").join(name("to"), "to_page_id").select("from_url", "to_url")
+    pages = all_pages(spark, d).select("url")
+    return crawl.simulate(pages, links, all_pages(spark, d).filter(F.col("page_id") == CENTRE).first().url, 3)
 
 
 @query("stream_index_counts", f"WITH {POSTINGS} SELECT count(*) AS n_postings, count(DISTINCT term) AS n_terms, sum(tf)::DOUBLE AS n_tokens FROM post")
 def _(spark, d):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodeseek-")
-    folder = f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{spark.sql('SELECT uuid()').first()[0]}"
+    folder = fresh_folder(spark, "stream")
+    # a stream reads a folder or a pattern
     ingest.index_stream(spark, f"{d}/documents.parque[t]", t(spark, d, "documents").schema, f"{folder}/index", f"{folder}/state")
     post = spark.read.parquet(f"{folder}/index/postings")
     return post.agg(F.count(F.lit(1)).alias("n_postings"), F.count_distinct("term").alias("n_terms"), F.sum("tf").alias("n_tokens"))
+
+
+def _batched_pages(spark, d) -> str:
+    """d's pages, written as three files and indexed as three batches."""
+    folder = fresh_folder(spark, "stream")
+    p = t(spark, d, "pages").select("page_id", "url", "html")
+    for r in range(3):
+        p.filter(F.col("page_id") % 3 == r).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    ingest.index_stream(spark, f"{folder}/in", p.schema, f"{folder}/index", f"{folder}/state", files_per_batch=1, pages=True)
+    return f"{folder}/index"
+
+
+@query("stream_terms", f"WITH {PAGES.replace('QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1', 'WHERE url IS NOT NULL')}, {TAGGED} SELECT term, count(*) AS df FROM tagp GROUP BY term")
+def _(spark, d):
+    return ingest.terms(spark, _batched_pages(spark, d))
+
+
+@query("stream_links", f"WITH {PAGES.replace('QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1', 'WHERE url IS NOT NULL')}, {LINKS} SELECT from_page_id, to_page_id FROM links")
+def _(spark, d):
+    return ingest.links(spark, _batched_pages(spark, d))
+
+
+@query("stream_stats", f"WITH {POSTINGS} SELECT n AS total_documents, round(avg_len, 6) AS avg_doc_length FROM stats")
+def _(spark, d):
+    folder = fresh_folder(spark, "stream")
+    p = t(spark, d, "documents").select("doc_id", "text")
+    for r in range(2):
+        p.filter(F.col("doc_id") % 2 == r).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    ingest.index_stream(spark, f"{folder}/in", p.schema, f"{folder}/index", f"{folder}/state", files_per_batch=1)
+    return ingest.stats(spark, f"{folder}/index").select("total_documents", F.round("avg_doc_length", 6).alias("avg_doc_length"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +25,22 @@ def require(settings: dict, *names: str) -> dict:
         if not settings.get(n):
             raise KeyError(f"setting {n} is missing")
     return {n: settings[n] for n in names}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, where checkpoints go too.
+
+    Where it is unset, a local master gets a fresh temporary folder; any other is an error.
+    """
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not path and sc.getCheckpointDir() is None and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="lodeseek-"))
+    return (path or sc.getCheckpointDir()).rstrip("/")
+
+
+def fresh_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder's name below the shared one."""
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"

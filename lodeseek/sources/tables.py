@@ -32,6 +32,17 @@ def metrics(events: DataFrame, text: Column, error: Column, duration_ms: Column,
     return events.select(metric_type(error).alias("metricType"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), text.alias("text"), duration_ms.cast("int").alias("duration_ms"))
 
 
-def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
-    """A table bucketed and sorted by a key, so that joins on it need no exchange."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+def write_metrics(records: DataFrame, folder: str) -> None:
+    """Appends metric records as JSON lines."""
+    records.write.mode("append").json(folder)
+
+
+def read_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(schemas.METRICS).json(folder)
+
+
+def access_log(requests: DataFrame) -> DataFrame:
+    """(line) of requests (at, client, method, url, status, bytes, ms): one line a request, a hyphen for what is missing."""
+    show = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    at = F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return requests.select(F.concat_ws(" ", F.coalesce(at, F.lit("-")), *map(show, ("client", "method", "url", "status", "bytes")), F.lit("-"), F.when(F.col("ms").isNull(), "-").otherwise(F.format_string("%.3f", F.col("ms").cast("double"))), F.lit("ms")).alias("line"))

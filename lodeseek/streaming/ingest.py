@@ -1,31 +1,103 @@
-"""Micro-batch indexing of page or document files."""
+"""Micro-batch indexing of document and page files.
+
+A batch writes its own folders, named by its number, so one that runs again after a failure replaces
+itself and changes nothing. Totals (terms, vocabulary, statistics) are kept as a row a batch and
+term, and are merged when they are read.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import index
+from ..functions import html, urls
+from ..operators import index, store
 
+#: The interval at which waiting rows are flushed.
+FLUSH = "500 milliseconds"
 
-def index_stream(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, files_per_batch: int = 10) -> None:
-    """Indexes every file that is there, batch by batch: postings and lengths are written below sink.
 
-    A batch overwrites its own folder, so one that runs again after a failure changes nothing.
-    """
+def _write(df: DataFrame, sink: str, name: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{sink}/{name}/batch={batch_id}")
+
+
+def index_documents(batch: DataFrame, batch_id: int, sink: str, stems: bool = False) -> None:
+    """Postings, lengths, terms, words and statistics of a batch of documents; its texts are read once."""
+    spark = batch.sparkSession
+    counts = index.document_tokens(batch).groupBy("page_id", F.col("term").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    _write(counts, sink, "counts", batch_id)
+    counts = spark.read.parquet(f"{sink}/counts/batch={batch_id}")
+    _write_words(store.stemmed(counts, stems).withColumn("weight", F.lit(1.0)), counts.groupBy("page_id").agg(F.sum("n").alias("doc_length")), sink, batch_id)
+
+
+def _write_words(words: DataFrame, lengths: DataFrame, sink: str, batch_id: int) -> None:
+    spark = words.sparkSession
+    _write(index.postings(words, "stem"), sink, "postings", batch_id)
+    _write(index.terms(spark.read.parquet(f"{sink}/postings/batch={batch_id}")), sink, "terms", batch_id)
+    _write(words.select("word", "stem").distinct(), sink, "words", batch_id)
+    _write(lengths, sink, "lengths", batch_id)
+    sums = spark.read.parquet(f"{sink}/lengths/batch={batch_id}").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("doc_length"), F.lit(0)).alias("total"))
+    _write(sums, sink, "sums", batch_id)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        tokens = index.document_tokens(batch)
-        index.postings(tokens).write.mode("overwrite").parquet(f"{sink}/postings/batch={batch_id}")
-        index.doc_lengths(tokens).write.mode("overwrite").parquet(f"{sink}/lengths/batch={batch_id}")
 
+def index_pages(batch: DataFrame, batch_id: int, sink: str) -> None:
+    """The same of a batch of HTML pages, and its pages and links; targets get the ids of blank pages until they are indexed."""
+    spark = batch.sparkSession
+    _write(html.parsed(batch), sink, "parsed", batch_id)
+    seen = spark.read.parquet(f"{sink}/parsed/batch={batch_id}").withColumn("url", urls.normalized(F.col("url"))).filter("url IS NOT NULL")
+    tokens = index.tag_tokens_of(seen)
+    _write(index.page_word_counts(tokens), sink, "counts", batch_id)
+    _write_words(store.stemmed(spark.read.parquet(f"{sink}/counts/batch={batch_id}")), index.doc_lengths(tokens), sink, batch_id)
+    _write(seen.select("page_id", "url", "title", index.heading_of(F.col("texts")).alias("heading")), sink, "pages", batch_id)
+    _write(index.links_found(seen), sink, "targets", batch_id)
+
+
+def started(spark: SparkSession, source: str, schema, write, checkpoint: str, files_per_batch: int = 10, flush: str | None = FLUSH):
+    """A running query that feeds the files of a folder to write(batch, batch_id): ever more at an interval, or without one those that are there."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    out = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=flush) if flush else out.trigger(availableNow=True)).start()
+
+
+def index_stream(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, files_per_batch: int = 10, pages: bool = False, stems: bool = False) -> None:
+    """Indexes every file that is there, batch by batch, below sink."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if pages:
+            index_pages(batch, batch_id, sink)
+        else:
+            index_documents(batch, batch_id, sink, stems)
+
+    started(spark, source, schema, write, checkpoint, files_per_batch, None).awaitTermination()
+
+
+def terms(spark: SparkSession, sink: str) -> DataFrame:
+    """(term, df) over all batches. A page is in one batch."""
+    return spark.read.parquet(f"{sink}/terms").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def vocabulary(spark: SparkSession, sink: str, min_df: int = store.MIN_WORD_DF) -> DataFrame:
+    return index.vocabulary(spark.read.parquet(f"{sink}/words"), terms(spark, sink), min_df)
+
+
+def stats(spark: SparkSession, sink: str) -> DataFrame:
+    """(total_documents, avg_doc_length) from a row a batch."""
+    got = spark.read.parquet(f"{sink}/sums").agg(F.sum("n").alias("n"), F.sum("total").alias("t"))
+    return got.select(F.coalesce("n", F.lit(0)).alias("total_documents"), F.coalesce(F.try_divide(F.col("t").cast("double"), F.col("n")), F.lit(0.0)).alias("avg_doc_length"))
+
+
+def links(spark: SparkSession, sink: str) -> DataFrame:
+    """(from_page_id, to_page_id): targets that are pages of any batch by their ids, others by those of blank pages."""
+    pages = spark.read.parquet(f"{sink}/pages").select(F.col("page_id").alias("to_page_id"), F.col("url").alias("to_url"))
+    found = spark.read.parquet(f"{sink}/targets").join(pages, "to_url", "left")
+    return found.select(F.col("page_id").alias("from_page_id"), F.coalesce("to_page_id", index.blank_id(F.col("to_url"))).alias("to_page_id")).distinct()
 
 
-def first_seen(stream: DataFrame, key: str) -> DataFrame:
-    """A stream's first row of each key."""
-    return stream.dropDuplicates([key])
+def first_seen(stream: DataFrame, key: str, time: str | None = None, keep: str = "1 day") -> DataFrame:
+    """A stream's first row of each key. With a time column, keys are remembered for so long, else for ever."""
+    if time is None:
+        return stream.dropDuplicates([key])
+    return stream.withWatermark(time, keep).dropDuplicatesWithinWatermark([key])
 
 
 def running_stats(stream: DataFrame) -> DataFrame:
