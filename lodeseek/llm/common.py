@@ -1,49 +1,24 @@
-"""What the operators of this folder share: the shared folder, checkpoints, components."""
+"""What the operators of this folder share: checkpoints, components."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: ASCII white space of the word contracts; a regular-expression class body.
 WS = r"\x20\x09-\x0D"
 #: The same six characters, for translate().
 WS_CHARS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Where it is unset, a local master gets a fresh temporary folder; any other is an error.
-    """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if path:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(path)
-        return path
-    if sc.getCheckpointDir() is None:
-        if not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodeseek-"))
-    return sc.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read from there: lineage ends here."""
-    shared_dir(df.sparkSession)
+    shared_folder(df.sparkSession)  # sets where checkpoints go
     return df.checkpoint(eager=True)
 
 
-def fresh_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder's name below the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
 def fresh_name(df: DataFrame, name: str) -> str:
     """name, with underscores before it until no column of df (in any case) begins with it."""
     taken = [c.lower() for c in df.columns]
