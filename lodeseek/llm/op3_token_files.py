@@ -108,6 +108,13 @@ _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
 _PARTS = re.compile(rf"[^ ]*['\u00aa\u00b5\u00ba\u0130\u0180-\U0010ffff][^ ]*|[{_LATIN}]+|[^ {_LATIN}]+")
 
 
+#: The same where no such character is.
+_ODD, _PLAIN_PARTS = re.compile("['\u00aa\u00b5\u00ba\u0130\u0180-\U0010ffff]"), re.compile(rf"[{_LATIN}]+|[^ {_LATIN}]+")
+_LETTERS = re.compile(rf"[{_LATIN}]+")
+#: Runs of letters that are encoded as one text.
+ROW_WORDS = 64
+
+
 class HuggingPieces:
     """Ids of texts by the tokenizers library, part by part.
 
@@ -124,13 +131,32 @@ class HuggingPieces:
 
         self.tok, self.dtype = Tokenizer.from_str(spec), dtype
         self.special = [t["content"] for t in json.loads(spec).get("added_tokens", [])]
+        model = json.loads(spec)["model"]
+        suffix = model.get("end_of_word_suffix")
+        #: Whether a token ends a word, by id.
+        self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
+        self.ends[[i for t, i in model["vocab"].items() if suffix and t.endswith(suffix)]] = True
         #: What all special tokens begin with, in lower case.
         self.mark = os.path.commonprefix([s.lower() for s in self.special])
         self.memo = Memo(lambda p: self.many([p])[0], MEMO_ENTRIES)
 
     def many(self, pieces: list[str]) -> list[bytes]:
-        found = self.tok.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
+        """Ids of each piece. Runs of letters, each a word to the tokenizer, go in with others between spaces and are told apart by where words end."""
+        out: list[bytes | None] = [None] * len(pieces)
+        letters = [i for i, p in enumerate(pieces) if _LETTERS.fullmatch(p)] if self.ends.any() else []
+        rows = [letters[at : at + ROW_WORDS] for at in range(0, len(letters), ROW_WORDS)]
+        for row, x in zip(rows, self.tok.encode_batch_fast([" ".join([pieces[i] for i in row]) for row in rows], add_special_tokens=False)):
+            ids = np.array(x.ids, dtype=self.dtype)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(row) and stops[-1] == len(ids):
+                raw, at = ids.tobytes(), 0
+                for i, stop in zip(row, (stops * ids.itemsize).tolist()):
+                    out[i] = raw[at:stop]
+                    at = stop
+        rest = [i for i, v in enumerate(out) if v is None]
+        for i, x in zip(rest, self.tok.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)):
+            out[i] = np.array(x.ids, dtype=self.dtype).tobytes()
+        return out
 
     def parts(self, text: str) -> list[str]:
         low = text.lower()
@@ -138,6 +164,8 @@ class HuggingPieces:
         if self.mark in low and any(s in text or s in low for s in self.special):
             return text.split(" ")
         # a capital sigma is the one letter that Python lowers by its place in the word
+        if not _ODD.search(text):
+            return _PLAIN_PARTS.findall(low)
         return _PARTS.findall(text if "\u03a3" in text else low)
 
     def encode(self, texts: list[str]) -> list[bytes]:
