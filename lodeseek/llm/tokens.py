@@ -15,14 +15,14 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-#: Above every rank.
-NONE = 1 << 40
+#: What an id makes with others that it makes nothing with.
+NO_PAIR: dict[int, int] = {}
 #: Texts are handed on in slices of at most this many UTF-8 bytes (or one text).
 SLICE_BYTES = 4 << 20
 #: What Spark sends a worker at once: see text_batches().
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Entries of each of the two generations of a worker's memo of pieces, and of those of line starts and of pre-tokens.
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 300_000
 FEW_ENTRIES = 30_000
 #: Longer pieces are encoded without a place in the memo.
 MEMO_PIECE = 64
@@ -38,6 +38,9 @@ NEWER = (
 )
 
 
+FIRST_NEWER = chr(int(NEWER.split()[0], 16))
+
+
 def compiled(pattern: str) -> regex.Pattern:
     """The pattern with the classes of letters and numbers of Unicode 16."""
     newer = "".join("-".join(rf"\U{int(x, 16):08X}" for x in part.split("-")) for part in NEWER.split())
@@ -93,49 +96,63 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.plain, self.pattern = regex.compile(pattern), compiled(pattern)  # the first is faster and does for ASCII
+        self.plain, self.pattern = regex.compile(pattern), compiled(pattern)  # the first is faster and does below FIRST_NEWER
         keys = list(ranks)
         self.hash = PerfectHash(keys)
         self.rank_at = [ranks[k] for k in self.hash.keys]
-        self.twos = array("q", (ranks.get(bytes((i >> 8, i & 255)), NONE) for i in range(1 << 16)))
+        # ids of single bytes, and for each id the lookup of what it makes with the id to its right
+        self.bytes = [ranks.get(bytes((i,)), -1) for i in range(256)]
+        pairs: dict[int, dict[int, int]] = {}
+        for k, r in ranks.items():
+            for i in range(1, len(k)):
+                left, right = ranks.get(k[:i]), ranks.get(k[i:])
+                if left is not None and right is not None:
+                    pairs.setdefault(left, {})[right] = r
+        self.joins = [pairs.get(i, NO_PAIR).get for i in range(max(ranks.values(), default=-1) + 1)]
         self.tokens = Memo(self.encode_token, FEW_ENTRIES)
         self.lead = Memo(self.encode_piece, FEW_ENTRIES)
         self.spaced = Memo(lambda p: self.encode_piece(" " + p))
         self.line_end = self.encode_token("\n") if ranks else b""
 
     def merge(self, word: bytes) -> list[int]:
-        """Ids of one pre-token: a heap of neighbouring pairs over bytes linked both ways."""
-        get, n = self.ranks.get, len(word)
+        """Ids of one pre-token: a heap of neighbouring pairs over bytes linked both ways. A pair's rank is the id it becomes.
+
+        An entry of the heap is rank and place in one number, a small one for words of up to 64 bytes.
+        """
+        joins, n = self.joins, len(word)
+        ids = list(map(self.bytes.__getitem__, word))
+        if min(ids) < 0:
+            raise ValueError("a byte is not in the vocabulary")
         nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
-        twos = self.twos
-        pair = [twos[a << 8 | b] for a, b in zip(word, word[1:])]  # rank of the pair that starts here
-        pair.append(NONE)
-        heap = [r << 40 | i for i, r in enumerate(pair) if r < NONE]
+        bits = 6 if n <= 64 else 40
+        low = (1 << bits) - 1
+        pair = [joins[a](b) for a, b in zip(ids, ids[1:])]  # rank of the pair that starts here, if it has one
+        pair.append(None)
+        heap = [r << bits | i for i, r in enumerate(pair) if r is not None]
         heapify(heap)
         while heap:
             x = heappop(heap)
-            i = x & 0xFFFFFFFFFF
-            if pair[i] != x >> 40:
+            i, r = x & low, x >> bits
+            if pair[i] != r:
                 continue  # one of its parts has been merged since
             j = nxt[i]
             k = nxt[i] = nxt[j]
-            pair[j] = pair[i] = NONE
+            ids[i] = r
+            pair[j] = pair[i] = None
             if k < n:
                 prev[k] = i
-                r = get(word[i : nxt[k]], NONE)
-                if r < NONE:
-                    pair[i] = r
-                    heappush(heap, r << 40 | i)
+                new = pair[i] = joins[r](ids[k])
+                if new is not None:
+                    heappush(heap, new << bits | i)
             h = prev[i]
             if h >= 0:
-                r = pair[h] = get(word[h:k], NONE)
-                if r < NONE:
-                    heappush(heap, r << 40 | h)
+                new = pair[h] = joins[ids[h]](r)
+                if new is not None:
+                    heappush(heap, new << bits | h)
         out, i = [], 0
         while i < n:
-            j = nxt[i]
-            out.append(self.ranks[word[i:j]])
-            i = j
+            out.append(ids[i])
+            i = nxt[i]
         return out
 
     def encode_token(self, token: str) -> bytes:
@@ -145,9 +162,10 @@ class Codec:
 
     def encode_piece(self, piece: str) -> bytes:
         """Ids of a piece as little-endian 32-bit integers."""
-        found = (self.plain if piece.isascii() else self.pattern).findall(piece)
-        # a piece of one pre-token has its place in the memo of pieces
-        return self.encode_token(found[0]) if len(found) == 1 else b"".join(map(self.tokens, found))
+        found = (self.plain if max(piece) < FIRST_NEWER else self.pattern).findall(piece)
+        if len(found) == 1:  # it has its place in the memo of pieces
+            return self.encode_token(found[0])
+        return b"".join([self.spaced(t[1:]) if t[0] == " " and len(t) > 1 else self.tokens(t) for t in found])
 
     def encode(self, text: str) -> bytes:
         return join_pieces(text, self.lead, self.spaced, self.line_end)
