@@ -37,8 +37,8 @@ WINDOW = 128
 SPAN, CONTEXT = 384, 24
 #: By how much a place's tag shall lead, and the bound of transitions: both let "no span" be sure at most places of prose.
 MARGIN, MOST_TRANSITION = 3.0, 2.0
-#: Windows read at once, and stretches decoded at once.
-BATCH = 512
+#: Windows read at once, and places of stretches decoded at once.
+BATCH, PLACES = 512, 1 << 16
 
 
 def classes(text: str) -> np.ndarray:
@@ -272,41 +272,42 @@ class Reader:
         free, closed = place[begin] == first, place[end - 1] + 1 == stop[seq]  # at a text's start and end nothing stands beside
         length = end - begin
         order = np.argsort(length, kind="stable")
-        found = []
-        for at in range(0, len(order), BATCH):
-            pick = order[at : at + BATCH]
-            t = int(length[pick].max())
+        found, at = [], 0
+        while at < len(order):
+            # short stretches come first, many at once
+            more = int(np.searchsorted(np.arange(1, len(order) - at + 1) * length[order[at:]], PLACES, "right"))
+            pick = order[at : at + max(more, 1)]
+            at += len(pick)
+            t = int(length[pick[-1]])
             rows = np.minimum(begin[pick][:, None] + np.arange(t), end[pick][:, None] - 1)
             tags = self.path(em[rows], length[pick], free[pick], closed[pick])
-            for i, s in enumerate(pick.tolist()):
-                if tags[i, : length[s]].any():
-                    base = int(place[begin[s]] - first[s])
-                    found += [(int(seq[s]), base + x, base + y, kind) for kind, x, y in spans_of(tags[i, : length[s]])]
+            for i in np.flatnonzero(tags.any(1)).tolist():
+                s = int(pick[i])
+                base = int(place[begin[s]] - first[s])
+                found += [(int(seq[s]), base + x, base + y, kind) for kind, x, y in spans_of(tags[i, : length[s]])]
         for k, x, y, kind in sorted(found):
             out[k].append((kind, x, y))
         return out
 
     def path(self, em: np.ndarray, length: np.ndarray, free: np.ndarray, closed: np.ndarray) -> np.ndarray:
-        """Best tags (B, T) of stretches (B, T, tags) between places without a span."""
+        """Best tags (B, T) of stretches (B, T, tags) between places without a span; length ascending."""
         n, t, _ = em.shape
-        rows = np.arange(n)
-        best = em[:, 0] + np.where(free[:, None], 0, self.tr[0])
-        back = np.zeros((t, n, N_TAGS), np.int8)
-        last = best.copy()
+        best = np.empty((t, n, N_TAGS), np.float32)
+        best[0] = em[:, 0] + np.where(free[:, None], 0, self.tr[0])
+        start = np.searchsorted(length, np.arange(t), "right")  # of the stretches that reach each place
         for s in range(1, t):
-            x = best[:, :, None] + self.tr
-            back[s] = x.argmax(1)
-            best = em[:, s] + x.max(1)
-            on = length > s
-            last[on] = best[on]
-        last = last + np.where(closed[:, None], 0, self.tr[:, 0])
-        now = last.argmax(1)
+            k = start[s]
+            before = best[s - 1, k:]
+            best[s, k:] = (before.T[:, :, None] + self.tr[:, None, :]).max(0)
+            best[s, k:] += em[k:, s]
+        rows = np.arange(n)
+        now = (best[length - 1, rows] + np.where(closed[:, None], 0, self.tr[:, 0])).argmax(1)
         out = np.zeros((n, t), np.int8)
         out[rows, length - 1] = now
         for s in range(t - 1, 0, -1):
-            on = np.flatnonzero(length > s)
-            now[on] = back[s, on, now[on]]
-            out[on, s - 1] = now[on]
+            k = start[s]
+            now[k:] = (best[s - 1, k:] + self.tr[:, now[k:]].T).argmax(1)
+            out[k:, s - 1] = now[k:]
         return out
 
 
