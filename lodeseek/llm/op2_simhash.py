@@ -161,19 +161,18 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int
 
 
 def first_of_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """One row of docs for each component: that of the least key (null last), then of the least hash of its text.
+    """One row of docs for each component: that of the least key (null last), then of the least hash of its text, then the first.
 
-    Rows that share a key are told apart by their texts; of rows that share both, one stays.
+    Rows that share a key are told apart by their texts; of rows that share both, one stays. Rows are
+    numbered when they are checkpointed, so that the chosen ones are found again by a number.
     """
-    fp, tie = fresh_name(docs, "fp"), fresh_name(docs, "tie")
-    rows = cut(fingerprints(docs, text, fp, shingle).withColumn(tie, F.xxhash64(text_of(text))))
-    place = F.min(F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("id"), F.col(tie).alias("t"), F.col(fp).alias("f")))
-    least = rows.groupBy(fp).agg(place.alias("x")).select("x", F.col(fp).alias("fp"))
+    fp, place = fresh_name(docs, "fp"), fresh_name(docs, "place")
+    rows = cut(fingerprints(docs, text, fp, shingle).withColumn(place, F.monotonically_increasing_id()))
+    order = F.min(F.struct(F.col(key).isNull(), F.col(key), F.xxhash64(text_of(text)), F.col(place).alias("place"), F.col(fp).alias("fp")))
+    least = rows.groupBy(fp).agg(order.alias("x")).select("x", F.col(fp).alias("fp"))
     first = least.join(roots_of(rows, fp, radius), "fp").groupBy("root").agg(F.min("x").alias("x"))
-    first = cut(first.select(F.col("x.id").alias("i"), F.col("x.t").alias("t"), F.col("x.f").alias("f")))
-    first = first.select(F.col("i").alias(f"{fp}i"), F.col("t").alias(f"{fp}t"), F.col("f").alias(f"{fp}f"))
-    same = rows[key].eqNullSafe(first[f"{fp}i"]) & (rows[tie] == first[f"{fp}t"]) & (rows[fp] == first[f"{fp}f"])
-    return rows.join(first, same, "left_semi").dropDuplicates([fp, tie, key]).select(*docs.columns)
+    first = cut(first.select(F.col("x.place").alias(place), F.col("x.fp").alias(fp)))
+    return rows.join(first, [place, fp], "left_semi").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
