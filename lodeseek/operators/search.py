@@ -143,6 +143,10 @@ def search(tables: dict[str, DataFrame], query: list[str], query_vector: DataFra
 Embed = Callable[[list[str]], list[list[float]]]
 
 
+#: Up to this limit of candidates a request's list is held on the driver.
+MAX_HELD = 10_000
+
+
 @dataclass(frozen=True)
 class Response:
     """The answer to a search request."""
@@ -193,7 +197,10 @@ def answer(stored, q: str | None, embed: Embed | None = None, page=None, page_si
             raise ValueError("a search needs a function that embeds texts, or a vector")
         vector = stored.spark.createDataFrame([(list(map(float, embed([" ".join(full)])[0])),)], "q array<double>")
     terms = sorted({stems[w] for w in wanted if w in stems})
-    fused = fused_list(stored.tables(terms), terms, vector, limit_for(page, size))
+    limit = limit_for(page, size)
+    fused = fused_list(stored.tables(terms), terms, vector, limit)
+    if limit <= MAX_HELD:  # narrow rows, at most twice the limit: the list is made once
+        fused = stored.spark.createDataFrame(fused.collect(), fused.schema)
     total = fused.count()
     if not total:
         raise NotFound("no result")

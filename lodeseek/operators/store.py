@@ -8,7 +8,7 @@ three lengths, link counts and pages by a hash of the page id.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +38,13 @@ class Stored:
     folder: str
     buckets: int = BUCKETS
     site: str | None = None
+    #: Tables that were opened: their files are listed once.
+    opened: dict = field(default_factory=dict, repr=False, compare=False)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.site if self.site and name in SITE else self.folder}/{name}")
+        if name not in self.opened:
+            self.opened[name] = self.spark.read.parquet(f"{self.site if self.site and name in SITE else self.folder}/{name}")
+        return self.opened[name]
 
     def _some(self, name: str, column: str, values: list) -> DataFrame:
         # the hashes of literals are folded, so that both filters reach the scan
@@ -170,4 +174,5 @@ def insert_posting(stored: Stored, term: str, page_id: int, tf: float) -> DataFr
     row = stored.spark.range(1).select(F.lit(term).alias("term"), F.lit(page_id).cast("long").alias("page_id"), F.lit(tf).cast("float").alias("tf"))
     row = row.join(F.broadcast(length), how="left") if length.limit(1).count() else row.withColumn("doc_length", F.lit(0).cast("long"))  # at most a row
     row.withColumn("bucket", bucket(F.col("term"), stored.buckets)).write.mode("append").partitionBy("bucket").parquet(f"{stored.folder}/postings")
+    stored.opened.pop("postings", None)
     return row.select("term", "page_id", "tf")

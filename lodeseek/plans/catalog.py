@@ -68,18 +68,16 @@ def documents_index(spark, d, stems: bool = False) -> store.Stored:
     if key not in _SITES:
         folder = fresh_folder(spark, "index")
         store.build_documents(t(spark, d, "documents").select("doc_id", "text"), folder, stems)
-        _SITES[key] = folder
-    return store.Stored(spark, _SITES[key], site=site(spark, d))
+        _SITES[key] = store.Stored(spark, folder, site=site(spark, d))
+    return _SITES[key]
 
 
 def pages_index(spark, d) -> store.Stored:
     """The stored index of the weighted, stemmed words of d's pages; written once a session."""
     key = (spark.sparkContext.applicationId, d, "pages")
     if key not in _SITES:
-        folder = fresh_folder(spark, "pages")
-        store.build_pages(spark, site(spark, d), folder)
-        _SITES[key] = folder
-    return store.Stored(spark, _SITES[key], site=site(spark, d))
+        _SITES[key] = store.build_pages(spark, site(spark, d), fresh_folder(spark, "pages"))
+    return _SITES[key]
 
 
 def site_table(spark, d, name) -> DataFrame:
