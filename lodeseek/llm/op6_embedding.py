@@ -9,9 +9,9 @@ pass few caps or none, so each vector takes at least its FEWEST best filters of
 number of codewords grows with the number of vectors, and codes are added until simulated pairs at
 the least cosine are found (see codes()).
 
-Vectors meet on filters in two rounds. The first moves ids and sketches (128 signs of random
+Vectors meet on filters in two rounds. The first moves ids and sketches (signs of 192 random
 projections) only, and keeps the places (filter, vector) that have a partner whose sketch differs in
-no more bits than five deviations above what the least cosine gives. The second takes the vectors of
+no more bits than DEVIATIONS above what the least cosine gives. The second takes the vectors of
 these places alone and verifies in double precision. Up to FEW_DIMS components, cells of a grid
 take the place of filters, no sketch is asked, and the search is exact.
 
@@ -50,8 +50,9 @@ SEED = 31
 BLOCK = 512
 #: Vectors of so many components or fewer are searched exactly, in cells.
 FEW_DIMS = 8
-#: Deviations above the expected number of differing signs of a sketch.
-DEVIATIONS = 5
+#: Words of 64 signs of a sketch, and deviations above the expected number of differing signs: of pairs at the least cosine
+#: one in 4,000 is lost, and what passes by chance has a cosine of 0.74 or so where 0.9 is asked.
+WORDS, DEVIATIONS = 3, 3.5
 
 
 def codewords(n: int, dim: int) -> int:
@@ -92,17 +93,21 @@ def codes(dim: int, size: int, min_cosine: float = MIN_COSINE) -> list[tuple[np.
 
 @lru_cache(maxsize=8)
 def planes(dim: int) -> np.ndarray:
-    return np.random.default_rng((SEED, dim)).normal(size=(dim, 128))
+    return np.random.default_rng((SEED, dim)).normal(size=(dim, 64 * WORDS))
 
 
 def sketches(x: np.ndarray) -> np.ndarray:
-    """Two words of signs of each row."""
+    """WORDS words of signs of each row."""
     return np.packbits(x @ planes(x.shape[1]) > 0, axis=1, bitorder="little").view("<i8")
 
 
 def most_bits(min_cosine: float) -> int:
     p = float(np.arccos(min_cosine)) / np.pi
-    return int(np.ceil(128 * p + DEVIATIONS * (128 * p * (1 - p)) ** 0.5))
+    n = 64 * WORDS
+    return int(np.ceil(n * p + DEVIATIONS * (n * p * (1 - p)) ** 0.5))
+
+
+SKETCH = tuple(f"s{i}" for i in range(WORDS))
 
 
 def even(x: np.ndarray) -> np.ndarray:
@@ -192,7 +197,7 @@ ROWS = 2000
 
 
 def places(reps: DataFrame, sizes: dict[int, int], min_cosine: float = MIN_COSINE) -> DataFrame:
-    """shard, node, s0, s1: a row for each filter of reps (node, embedding), with the sketch."""
+    """shard, node and SKETCH: a row for each filter of reps (node, embedding), with the sketch."""
 
     def run(batches):
         for batch in batches:
@@ -205,26 +210,26 @@ def places(reps: DataFrame, sizes: dict[int, int], min_cosine: float = MIN_COSIN
                     lists, s = lists_of(x, d, sizes[d], min_cosine), sketches(x)
                     row = np.repeat(np.arange(len(x)), [len(f) for f in lists])
                     shard = (d << 32) + np.concatenate(lists)
-                    yield pa.RecordBatch.from_arrays([pa.array(shard), some.column("node").take(pa.array(row)), pa.array(s[row, 0]), pa.array(s[row, 1])], names=["shard", "node", "s0", "s1"])
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), some.column("node").take(pa.array(row)), *(pa.array(w) for w in s[row].T.copy())], names=["shard", "node", *SKETCH])
 
-    return reps.mapInArrow(run, "shard long, node long, s0 long, s1 long")
+    return reps.mapInArrow(run, ", ".join(f"{c} long" for c in ("shard", "node", *SKETCH)))
 
 
 def likely(rows: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     """The places (shard, node) that have a partner with a near sketch, from places()."""
     most = most_bits(min_cosine)
-    rows = by_group(deal(rows, "shard", "node", BLOCK).select(*GROUP, "left", "right", "node", "s0", "s1"))
+    rows = by_group(deal(rows, "shard", "node", BLOCK).select(*GROUP, "left", "right", "node", *SKETCH))
 
     def run(batches):
         shards, nodes = [], []
         for shard, t in groups(batches):
             if t.num_rows > 1:
                 node = t.column("node").to_numpy()
-                s = np.stack([t.column(c).to_numpy() for c in ("s0", "s1")], 1).view(np.uint64)
+                s = np.stack([t.column(c).to_numpy() for c in SKETCH], 1).view(np.uint64)
                 ia, ib = np.flatnonzero(t.column("left").to_numpy()), np.flatnonzero(t.column("right").to_numpy())
                 near = np.ones((len(ia), len(ib)), bool)
                 if shard >> 32 > FEW_DIMS:
-                    near = sum(np.bitwise_count(s[ia, k][:, None] ^ s[ib, k][None, :]).astype(np.int16) for k in (0, 1)) <= most
+                    near = sum(np.bitwise_count(s[ia, k][:, None] ^ s[ib, k][None, :]).astype(np.int16) for k in range(WORDS)) <= most
                 near &= ia[:, None] != ib[None, :]
                 some = np.union1d(ia[near.any(1)], ib[near.any(0)])
                 if len(some):
