@@ -24,14 +24,22 @@ def page_tag_tokens(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return tag_tokens_of(html.with_tag_texts(pages, key).withColumnRenamed(key, "page_id"))
 
 
-def page_word_counts(tokens: DataFrame, stop_words=text.STOP_WORDS) -> DataFrame:
-    """(page_id, word, weight, n) of raw tag tokens: how often a word stands in tags of a weight."""
-    weight = F.element_at(F.create_map(*[F.lit(x) for kv in text.TAG_WEIGHTS.items() for x in kv]), F.col("tag"))
-    plain = F.filter(F.split(F.regexp_replace(F.lower("token"), "[^a-zA-Z0-9]+", " "), " "), lambda x: x != "")
-    words = tokens.select("page_id", weight.alias("weight"), F.explode(text.without_stop_words(plain, stop_words)).alias("word"))
+def page_word_counts(parsed: DataFrame, stop_words=text.STOP_WORDS) -> DataFrame:
+    """(page_id, word, weight, n) of parsed pages (page_id, texts): how often a word stands in tags of a weight."""
+    parts = parsed.select("page_id", F.explode("texts").alias("t"))
+    weight = F.element_at(F.create_map(*[F.lit(x) for kv in text.TAG_WEIGHTS.items() for x in kv]), F.col("t.tag"))
+    plain = F.filter(F.split(F.regexp_replace(F.lower("t.text"), "[^a-zA-Z0-9]+", " "), " "), lambda x: x != "")
+    words = parts.select("page_id", weight.alias("weight"), F.explode(text.without_stop_words(plain, stop_words)).alias("word"))
     return words.groupBy("page_id", "word", "weight").agg(F.count(F.lit(1)).alias("n"))
 
 
+def page_lengths(parsed: DataFrame) -> DataFrame:
+    """(page_id, doc_length) of parsed pages that have a token: the raw tokens of all tags, counted within a row."""
+    some = lambda t: F.size(F.filter(F.split(t["text"], " "), lambda x: x.rlike(r"(?U)\S")))
+    n = F.aggregate(F.transform("texts", some), F.lit(0).cast("long"), lambda a, x: a + x)
+    return parsed.select("page_id", n.alias("doc_length")).filter("doc_length > 0")
+
+
 def postings(words: DataFrame, term: str = "term") -> DataFrame:
     """(term, page_id, tf) from weighted words (with n: how often each occurs); sums of halves are exact in any order."""
     each = F.col("weight") * F.col("n") if "n" in words.columns else F.col("weight")
@@ -48,7 +56,7 @@ def merged_terms(old: DataFrame, delta: DataFrame) -> DataFrame:
 
 
 def vocabulary(words: DataFrame, term_table: DataFrame, min_df: int = 3) -> DataFrame:
-    """(word, stem) of words whose stem is in at least min_df pages."""
+    """(word, stem), from such rows, of words whose stem is in at least min_df pages."""
     return words.select("word", "stem").distinct().join(term_table.filter(F.col("df") >= min_df), F.col("stem") == F.col("term"), "left_semi")
 
 

@@ -81,40 +81,46 @@ def write(df: DataFrame, folder: str, name: str, by: Column | None = None, split
     out.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{name}")
 
 
-def build(words: DataFrame, folder: str, lengths: DataFrame, buckets: int = BUCKETS, splits: int = SPLITS, min_df: int = MIN_WORD_DF) -> Stored:
-    """Writes postings, terms, vocab, lengths and stats from words (page_id, word, stem, weight, n), a row for each page, word and weight.
+def build(counts: DataFrame, folder: str, lengths: DataFrame, stems: bool = True, buckets: int = BUCKETS, splits: int = SPLITS, min_df: int = MIN_WORD_DF) -> Stored:
+    """Writes words, lengths, stats, postings, terms and vocab from stored counts (page_id, word, weight, n), a row for each page, word and weight.
 
-    n is how often the word occurs with the weight; lengths: (page_id, doc_length).
+    n is how often the word occurs with the weight; lengths: (page_id, doc_length). With stems, a term is a stem, else a word.
     """
-    spark = words.sparkSession
+    spark = counts.sparkSession
+    write(word_stems(counts, stems), folder, "words")
+    known = spark.read.parquet(f"{folder}/words")
     write(lengths, folder, "lengths")
     lengths = spark.read.parquet(f"{folder}/lengths")
     write(index.corpus_stats(lengths), folder, "stats")
-    post = words.groupBy(F.col("stem").alias("term"), "page_id").agg(F.sum(F.col("weight") * F.col("n")).cast("float").alias("tf")).join(lengths, "page_id")
+    words = counts.join(known, "word") if stems else counts.withColumn("stem", F.col("word"))
+    post = index.postings(words, "stem").join(lengths, "page_id")
     part = F.pmod(F.xxhash64("page_id"), F.lit(splits))
     write(post, folder, "postings", bucket(F.col("term"), buckets), part if splits > 1 else None, ("term", "page_id"))
     terms = index.terms(spark.read.parquet(f"{folder}/postings"))
     write(terms, folder, "terms", bucket(F.col("term"), buckets), None, ("term",))
-    vocab = index.vocabulary(words, spark.read.parquet(f"{folder}/terms"), min_df).withColumn("len", F.length("word"))
+    vocab = known.join(spark.read.parquet(f"{folder}/terms").filter(F.col("df") >= min_df), F.col("stem") == F.col("term"), "left_semi").withColumn("len", F.length("word"))
     vocab.repartition("len").sortWithinPartitions("len", "word").write.mode("overwrite").partitionBy("len").parquet(f"{folder}/vocab")
     return Stored(spark, folder, buckets)
 
 
+def word_stems(counts: DataFrame, stems: bool = True) -> DataFrame:
+    """(word, stem) of the distinct words of counts, each stemmed once; words without a stem of two letters go."""
+    words = counts.select("word").distinct()
+    return words.withColumn("stem", stem.stem_column("word")).filter("length(stem) >= 2") if stems else words.withColumn("stem", F.col("word"))
+
+
 def stemmed(counts: DataFrame, stems: bool = True) -> DataFrame:
-    """counts (page_id, word, ...) with stem; each distinct word is stemmed once, words without a stem of two letters go."""
-    if not stems:
-        return counts.withColumn("stem", F.col("word"))
-    known = counts.select("word").distinct().withColumn("stem", stem.stem_column("word")).filter("length(stem) >= 2")
-    return counts.join(known, "word")
+    """counts (page_id, word, ...) with stem."""
+    return counts.join(word_stems(counts), "word") if stems else counts.withColumn("stem", F.col("word"))
 
 
 def build_documents(docs: DataFrame, folder: str, stems: bool = False, key: str = "doc_id", column: str = "text", stop_words=text.STOP_WORDS, **kw) -> Stored:
     """An index of plain documents, whose texts are read once."""
     spark = docs.sparkSession
     counts = index.document_tokens(docs, key, column, stop_words).groupBy("page_id", F.col("term").alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    write(counts, folder, "counts")
-    lengths = spark.read.parquet(f"{folder}/counts").groupBy("page_id").agg(F.sum("n").alias("doc_length"))
-    return build(stemmed(spark.read.parquet(f"{folder}/counts"), stems).withColumn("weight", F.lit(1.0)), folder, lengths, **kw)
+    write(counts.withColumn("weight", F.lit(1.0)), folder, "counts")
+    counts = spark.read.parquet(f"{folder}/counts")
+    return build(counts, folder, counts.groupBy("page_id").agg(F.sum("n").alias("doc_length")), stems, **kw)
 
 
 def build_site(pages: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
@@ -143,10 +149,9 @@ def build_site(pages: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
 
 def build_pages(spark: SparkSession, site: str, folder: str, stop_words=text.STOP_WORDS, **kw) -> Stored:
     """An index of the weighted, stemmed words of a site's pages."""
-    tokens = index.tag_tokens_of(spark.read.parquet(f"{site}/parsed"))
-    write(index.page_word_counts(tokens, stop_words), folder, "counts")
-    words = stemmed(spark.read.parquet(f"{folder}/counts"))
-    out = build(words, folder, lengths=index.doc_lengths(tokens), **kw)
+    parsed = spark.read.parquet(f"{site}/parsed")
+    write(index.page_word_counts(parsed, stop_words), folder, "counts")
+    out = build(spark.read.parquet(f"{folder}/counts"), folder, index.page_lengths(parsed), **kw)
     return Stored(spark, folder, out.buckets, site)
 
 

@@ -27,14 +27,14 @@ def index_documents(batch: DataFrame, batch_id: int, sink: str, stems: bool = Fa
     counts = index.document_tokens(batch).groupBy("page_id", F.col("term").alias("word")).agg(F.count(F.lit(1)).alias("n"))
     _write(counts, sink, "counts", batch_id)
     counts = spark.read.parquet(f"{sink}/counts/batch={batch_id}")
-    _write_words(store.stemmed(counts, stems).withColumn("weight", F.lit(1.0)), counts.groupBy("page_id").agg(F.sum("n").alias("doc_length")), sink, batch_id)
+    _write_words(counts.withColumn("weight", F.lit(1.0)), counts.groupBy("page_id").agg(F.sum("n").alias("doc_length")), sink, batch_id, stems)
 
 
-def _write_words(words: DataFrame, lengths: DataFrame, sink: str, batch_id: int) -> None:
-    spark = words.sparkSession
-    _write(index.postings(words, "stem"), sink, "postings", batch_id)
+def _write_words(counts: DataFrame, lengths: DataFrame, sink: str, batch_id: int, stems: bool = True) -> None:
+    spark = counts.sparkSession
+    _write(store.word_stems(counts, stems), sink, "words", batch_id)
+    _write(index.postings(counts.join(spark.read.parquet(f"{sink}/words/batch={batch_id}"), "word"), "stem"), sink, "postings", batch_id)
     _write(index.terms(spark.read.parquet(f"{sink}/postings/batch={batch_id}")), sink, "terms", batch_id)
-    _write(words.select("word", "stem").distinct(), sink, "words", batch_id)
     _write(lengths, sink, "lengths", batch_id)
     sums = spark.read.parquet(f"{sink}/lengths/batch={batch_id}").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("doc_length"), F.lit(0)).alias("total"))
     _write(sums, sink, "sums", batch_id)
@@ -45,9 +45,8 @@ def index_pages(batch: DataFrame, batch_id: int, sink: str) -> None:
     spark = batch.sparkSession
     _write(html.parsed(batch), sink, "parsed", batch_id)
     seen = spark.read.parquet(f"{sink}/parsed/batch={batch_id}").withColumn("url", urls.normalized(F.col("url"))).filter("url IS NOT NULL")
-    tokens = index.tag_tokens_of(seen)
-    _write(index.page_word_counts(tokens), sink, "counts", batch_id)
-    _write_words(store.stemmed(spark.read.parquet(f"{sink}/counts/batch={batch_id}")), index.doc_lengths(tokens), sink, batch_id)
+    _write(index.page_word_counts(seen), sink, "counts", batch_id)
+    _write_words(spark.read.parquet(f"{sink}/counts/batch={batch_id}"), index.page_lengths(seen), sink, batch_id)
     _write(seen.select("page_id", "url", "title", index.heading_of(F.col("texts")).alias("heading")), sink, "pages", batch_id)
     _write(index.links_found(seen), sink, "targets", batch_id)
 

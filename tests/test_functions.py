@@ -38,9 +38,10 @@ def test_html_unclosed_b(spark):
     assert html.page_record("http://a.org/", h)[0] == "Alpha Beta"
     pages = spark.createDataFrame([(1, h), (2, "<ul><li><p>Fox</p></li></ul>"), (3, None), (4, "")], "page_id long, html string")
     tok = index.page_tag_tokens(pages)
-    tf = {(r.page_id, r.term): r.tf for r in index.postings(store.stemmed(index.page_word_counts(tok)), "stem").collect()}
+    tf = {(r.page_id, r.term): r.tf for r in index.postings(store.stemmed(index.page_word_counts(html.with_tag_texts(pages))), "stem").collect()}
     assert tf == {(1, "gamma"): 3, (1, "delta"): 2.5, (1, "epsilon"): 2.5, (1, "zeta"): 4, (1, "eta"): 4, (2, "fox"): 2}
     assert {r.page_id: r.doc_length for r in index.doc_lengths(tok).collect()} == {1: 11, 2: 2}
+    assert {r.page_id: r.doc_length for r in index.page_lengths(html.with_tag_texts(pages)).collect()} == {1: 11, 2: 2}
     assert {r.page_id: r.heading for r in index.headings(pages).collect()} == {1: "Gamma..", 2: "..", 3: "..", 4: ".."}
 
 
