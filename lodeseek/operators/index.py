@@ -9,8 +9,9 @@ from ..functions import html, text, urls
 
 
 def document_tokens(docs: DataFrame, key: str = "doc_id", column: str = "text", stop_words=text.STOP_WORDS) -> DataFrame:
-    """(page_id, term, weight): the cleaned words of documents, each with weight 1."""
-    return docs.select(F.col(key).alias("page_id"), F.explode(text.clean_words(F.coalesce(column, F.lit("")), stop_words)).alias("term"), F.lit(1.0).alias("weight"))
+    """(page_id, term, weight): the cleaned words of documents, each with weight 1. Words are sifted as rows, within generated code."""
+    words = docs.select(F.col(key).alias("page_id"), F.explode(F.split(F.lower(column), "[^a-z0-9]+")).alias("term"))
+    return words.filter((F.length("term") >= 2) & ~F.col("term").isin(*stop_words)).withColumn("weight", F.lit(1.0))
 
 
 def tag_tokens_of(parsed: DataFrame) -> DataFrame:
@@ -28,8 +29,8 @@ def page_word_counts(parsed: DataFrame, stop_words=text.STOP_WORDS) -> DataFrame
     """(page_id, word, weight, n) of parsed pages (page_id, texts): how often a word stands in tags of a weight."""
     parts = parsed.select("page_id", F.explode("texts").alias("t"))
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in text.TAG_WEIGHTS.items() for x in kv]), F.col("t.tag"))
-    plain = F.filter(F.split(F.regexp_replace(F.lower("t.text"), "[^a-zA-Z0-9]+", " "), " "), lambda x: x != "")
-    words = parts.select("page_id", weight.alias("weight"), F.explode(text.without_stop_words(plain, stop_words)).alias("word"))
+    words = parts.select("page_id", weight.alias("weight"), F.explode(F.split(F.lower("t.text"), "[^a-z0-9]+")).alias("word"))
+    words = words.filter((F.col("word") != "") & ~F.col("word").isin(*stop_words))
     return words.groupBy("page_id", "word", "weight").agg(F.count(F.lit(1)).alias("n"))
 
 
