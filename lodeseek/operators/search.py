@@ -72,8 +72,14 @@ def posting_scores(postings: DataFrame, terms: DataFrame, lengths: DataFrame | N
 
 
 def bm25_top(scores: DataFrame, limit: int) -> DataFrame:
-    """(page_id, bm25_score, terms), the best first."""
-    got = scores.groupBy("page_id").agg(F.sum("score").alias("bm25_score"), F.array_sort(F.collect_list(F.struct("term", "df", "tf"))).alias("terms"))
+    """(page_id, bm25_score, terms), the best first.
+
+    A page's scores (one a query word) are added in the order of terms, so that copies of a page score
+    exactly alike and stand in the order of their ids.
+    """
+    got = scores.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("term", "df", "tf", "score"))).alias("x"))
+    total = F.aggregate("x", F.lit(0.0), lambda s, x: s + x["score"])
+    got = got.select("page_id", total.alias("bm25_score"), F.transform("x", lambda x: x.dropFields("score")).alias("terms"))
     return got.orderBy(F.desc("bm25_score"), "page_id").limit(limit)
 
 

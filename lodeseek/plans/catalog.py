@@ -141,7 +141,7 @@ ego AS (SELECT page_id, url, title, kind FROM (SELECT page_id, url, title, 'curr
 DOT = "list_sum(list_transform(list_zip({0}::DOUBLE[], {1}::DOUBLE[]), lambda z: z[1] * z[2]))"
 DIST = f"1 - {DOT.format('e.embedding', 'q.embedding')} / (sqrt({DOT.format('e.embedding', 'e.embedding')}) * sqrt({DOT.format('q.embedding', 'q.embedding')}))"
 NEAR = f"near AS (SELECT e.vec_id AS page_id, {DIST} AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {VECTOR_ID}) q WHERE e.embedding IS NOT NULL ORDER BY 2, 1 LIMIT 100)"
-FUSED = """bm AS (SELECT page_id, sum(score) AS s FROM scores GROUP BY page_id ORDER BY 2 DESC, 1 LIMIT 100),
+FUSED = """bm AS (SELECT page_id, list_sum(list(score ORDER BY term)) AS s FROM scores GROUP BY page_id ORDER BY 2 DESC, 1 LIMIT 100),
 bmr AS (SELECT page_id, row_number() OVER (ORDER BY s DESC, page_id) AS r FROM bm),
 ver AS (SELECT page_id, row_number() OVER (ORDER BY distance, page_id) AS r FROM near),
 fused AS (SELECT coalesce(bmr.page_id, ver.page_id) AS page_id, bmr.r AS br, ver.r AS vr,
@@ -318,7 +318,7 @@ def _(spark, d):
     return _scores(spark, d).select("page_id", "term", "tf", "df", F.round("score", 6).alias("score"))
 
 
-@query("bm25_topk", f"WITH {SCORES} SELECT page_id, round(s, 6) AS bm25_score FROM (SELECT page_id, sum(score) AS s FROM scores GROUP BY page_id) ORDER BY 2 DESC, 1 LIMIT 10")
+@query("bm25_topk", f"WITH {SCORES} SELECT page_id, round(s, 6) AS bm25_score FROM (SELECT page_id, list_sum(list(score ORDER BY term)) AS s FROM scores GROUP BY page_id) ORDER BY 2 DESC, 1 LIMIT 10")
 def _(spark, d):
     return search.bm25_top(_scores(spark, d), 10).select("page_id", F.round("bm25_score", 6).alias("bm25_score"))
 
@@ -407,7 +407,7 @@ scores AS (SELECT page_id, term, tf, df, doc_length,
   ln((n - df + 0.5) / (df + 0.5)) * (tf::DOUBLE * 2.2 / (tf::DOUBLE + 1.2 * (0.3 + 0.7 * (doc_length::DOUBLE / avg_len)))) AS score
   FROM post JOIN terms USING (term) JOIN len USING (page_id), stats WHERE term IN (SELECT term FROM asked) AND df > 1 AND df < 25000),
 {NEAR}, {FUSED}, {PAGES}, {LINKS}, {COUNTS},
-said AS (SELECT page_id, sum(score) AS bm25_score, string_agg(term || ':' || df || ':' || tf::INT, ',' ORDER BY term) AS terms FROM scores GROUP BY page_id),
+said AS (SELECT page_id, list_sum(list(score ORDER BY term)) AS bm25_score, string_agg(term || ':' || df || ':' || tf::INT, ',' ORDER BY term) AS terms FROM scores GROUP BY page_id),
 b AS (SELECT f.*, coalesce(c.backlink_count, 0) AS bc, 1 + 0.5 * ln(1 + least(coalesce(c.backlink_count, 0), 1000)) / ln(1001) AS bb FROM fused f LEFT JOIN counts c ON f.page_id = c.page_id),
 o AS (SELECT *, row_number() OVER (ORDER BY bb * rrf DESC, rrf DESC, ord) AS pos FROM b),
 s AS (SELECT o.*, allp.url, allp.title, allp.heading FROM o LEFT JOIN allp ON o.page_id = allp.page_id WHERE pos > {(page - 1) * size} AND pos <= {page * size}),
