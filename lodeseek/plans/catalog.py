@@ -117,7 +117,8 @@ HOST = f"nullif(lower(regexp_replace(regexp_replace(regexp_extract({{0}}, {URL},
 NURL = f"""CASE WHEN regexp_extract({{0}}, {URL}, 1) <> '' THEN lower(regexp_extract({{0}}, {URL}, 1)) || '://' || regexp_extract(regexp_extract({{0}}, {URL}, 2), '^(.*@)?(.*)$', 1)
   || regexp_replace(lower(regexp_extract(regexp_extract({{0}}, {URL}, 2), '^(.*@)?(.*)$', 2)), CASE lower(regexp_extract({{0}}, {URL}, 1)) WHEN 'http' THEN ':80$' WHEN 'https' THEN ':443$' ELSE '^$' END, '')
   || regexp_replace(regexp_extract({{0}}, {URL}, 3), '/$', '') END"""
-PLAIN = "replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+#: Entities, also those that a cut has left without their semicolon.
+PLAIN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')"
 HEADING = f"""array_to_string(list_filter(list_transform(string_split({PLAIN.format("regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)")}, ' '), lambda x: trim(x)), lambda x: x <> ''), ' ') || '..'"""
 PAGES = f"""pt AS (SELECT page_id, url, title, heading FROM (SELECT page_id, {NURL.format('url')} AS url, {PLAIN.format("regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)")} AS title,
   {HEADING} AS heading FROM pages) QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1)"""
