@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import op1_bpe, op2_simhash, op3_token_files, op4_url_filters, op5_pii, op6_embedding, op7_quality, op8_mixing, op9_quality_rules, op10_token_counts
+from . import op1_bpe, op2_simhash, op3_token_files, op4_url_filters, op5_pii, op6_embedding, op7_quality, op8_mixing, op9_quality_rules, op10_token_counts, op12_clicks
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_mixing": op8_mixing.query,
         "op9_quality_rules": op9_quality_rules.query,
         "op10_token_counts": op10_token_counts.query,
+        "op12_clicks": op12_clicks.query,
         "pipeline": corpus_pipeline.run,
     }
 
