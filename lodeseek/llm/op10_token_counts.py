@@ -8,7 +8,7 @@ character lies in no section counts in none. Spans are in code points, ends excl
 that begins or ends within a character's bytes covers that character.
 
 Edge cases: null and empty texts have their sections with no tokens; texts of any length are encoded
-whole; null sections give no row; sections that overlap are an error, empty ones get no token; repeated
+whole; null sections, and those without a start or an end, give no row; sections that overlap are an error, empty ones get no token; repeated
 rows each give their rows; an empty table gives no row; other columns are left out, whatever their names;
 a key named like a result column is returned as `key`.
 """
@@ -86,6 +86,7 @@ def count(docs: DataFrame, vocabulary: str, pattern: str, sections: Column, key:
                 out: list[tuple] = []
                 keys = part.column("k").to_pylist()
                 for k, t, found in zip(keys, texts, part.column("s").to_pylist()):
+                    found = [x for x in found or () if x and x["start"] is not None and x["end"] is not None]
                     if not found:
                         continue
                     found = sorted(found, key=lambda x: (x["start"], x["end"]))

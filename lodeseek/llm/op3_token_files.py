@@ -193,11 +193,18 @@ def pieces(spec: str, dtype: str) -> HuggingPieces:
     return HuggingPieces(spec, dtype)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme and store that Spark takes it to have, so that executors don't take it for their own disk."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", whole)
+
+
 def filesystem(folder: str):
-    """The store of a folder as pyarrow sees it, and the path in it."""
+    """The store of a qualified folder as pyarrow sees it, and the path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    return fs.FileSystem.from_uri(folder)
 
 
 class TokenFile:
@@ -234,6 +241,7 @@ class TokenFile:
 
 def write(docs: DataFrame, spec: str, folder: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> list[dict]:
     """Writes the files and returns the manifest: part, name, n_docs, n_ids, base (ids before it), in key order."""
+    folder = qualified(docs.sparkSession, folder)
     model = json.loads(spec)
     top = max([end_id, *model["model"]["vocab"].values(), *(t["id"] for t in model.get("added_tokens", []))])
     dtype = "<u2" if top < 1 << 16 else "<u4"
@@ -286,6 +294,7 @@ def read(spark: SparkSession, folder: str, manifest: list[dict], with_ids: bool
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     if not manifest:
         return spark.createDataFrame([], schema)
+    folder = qualified(spark, folder)
     files = spark.createDataFrame([(m["name"], m["base"]) for m in manifest], "name string, base long").repartition(len(manifest))
 
     def run(batches):

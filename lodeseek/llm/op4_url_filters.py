@@ -36,6 +36,8 @@ RESULT = ("host", "path", "rule", "verdict", "by_alias")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Pages without either word, or an entity that could hide it, have no target.
 _MAYBE = re.compile("canonical|refresh|&", re.I)
+#: The same within a link or meta tag, or a value there that holds the end of a tag: other pages go to no worker.
+_TAG = r"(?i)<(?:link|meta)\b[^>]*(?:canonical|refresh|&|=\s*\"[^\">]*>|=\s*'[^'>]*>)"
 #: The target of a refresh: after the delay, with or without "url=" and quotes.
 _REFRESH = re.compile(r"""^\s*[\d.]*\s*[;,\s]\s*(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|([^"'].*))""", re.I | re.S)
 _PARTS = "(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -103,7 +105,7 @@ def with_targets(rows: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """key, host, path, rule (host and path of the winning one, else null), verdict, and by_alias: whether an alias decided."""
-    rows = with_targets(pages.select(F.col(key).alias("id"), F.col(url).alias("u"), F.col(html).alias("html")))
+    rows = with_targets(pages.select(F.col(key).alias("id"), F.col(url).alias("u"), F.when(F.col(html).rlike(_TAG), F.col(html)).alias("html")))
     rows = rows.withColumns({"host": host_of(F.col("u")), "path": path_of(F.col("u")), "node": key_of(F.col("u"))})
     rows = cut(rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)))
     seen = rows.filter("node IS NOT NULL").select("node", F.explode("to").alias("target"))

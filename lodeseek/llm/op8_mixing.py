@@ -20,14 +20,19 @@ their names; a key named like a result column is returned as `key`.
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WS, cut, text_of
 
 LEVELS = ("domain", "lang", "source")
-#: Integer weights by level and name; names that are not listed have weight 1.
+#: Weights by level and name, whole or not; names that are not listed have weight 1.
 WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 6, "de": 2, "es": 2, "fr": 2}, "source": {"src0": 2}}
+#: Greatest common denominator of a level's weights.
+MAX_UNIT = 1_000_000
 #: Budget as a share of all tokens, in hundredths.
 BUDGET_PERCENT = 80
 MAX_EPOCHS = 3
@@ -52,11 +57,27 @@ def word_count(text: str = "text") -> Column:
     return F.size(F.array_remove(F.split(text_of(text), f"[{WS}]+"), "")).cast("long")
 
 
+def whole_weights(weights: dict) -> tuple[dict[str, int], int]:
+    """A level's weights times their common denominator, and that number, the weight of names that aren't listed.
+
+    A float counts as the decimal it is written as. ValueError if one is no finite number or the denominator is beyond MAX_UNIT.
+    """
+    exact = {}
+    for name, w in weights.items():
+        if isinstance(w, float) and not math.isfinite(w):
+            raise ValueError(f"the weight of {name} is not a number")
+        exact[name] = Fraction(str(w))
+    unit = math.lcm(*(w.denominator for w in exact.values()))
+    if unit > MAX_UNIT:
+        raise ValueError(f"weights need a common denominator of at most {MAX_UNIT}")
+    return {name: int(w * unit) for name, w in exact.items()}, unit
+
+
 def weight_of(level: str, weights: dict) -> Column:
-    known = weights.get(level, {})
-    out = F.lit(1)
+    known, unit = whole_weights(weights.get(level, {}))
+    out = F.lit(unit)
     for name, w in sorted(known.items()):
-        out = F.when(F.col(level) == name, F.lit(int(w))).otherwise(out)
+        out = F.when(F.col(level) == name, F.lit(w)).otherwise(out)
     return out.cast(BIG)
 
 

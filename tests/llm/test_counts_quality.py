@@ -79,7 +79,11 @@ def test_op10_overlaps_and_totals(spark):
         op10.count(df, voc, pattern, F.array(part("x", 0, 5), part("y", 3, 8))).collect()
     none = F.lit(None).cast("array<struct<section:string,start:int,end:int>>")
     assert op10.count(df, voc, pattern, none).count() == 0
+    part_null = none[0]
+    holed = F.array(part_null, part("x", 0, 2), part_null, part("y", 2, 5), part("no start", None, 4), part("no end", 1, None))
     counts = op10.count(df, voc, pattern, F.array(part("x", 0, 2), part("y", 2, 5)))
+    assert sorted(op10.count(df, voc, pattern, holed).collect()) == sorted(counts.collect())
+    assert op10.count(df, voc, pattern, F.array(part_null)).count() == 0
     assert sorted((r.source, r.section, r.n_tokens) for r in op10.totals(counts, df).collect() if r.source) == [("s", "x", 2), ("s", "y", 2)]
 
 

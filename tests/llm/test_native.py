@@ -31,6 +31,16 @@ def test_op8_shortage_goes_to_siblings_first(spark):
     assert out == {1: 10, 2: 43, 3: 52} or out == {1: 10, 2: 42, 3: 53}
 
 
+def test_op8_weights_that_are_not_whole(spark):
+    assert op8.whole_weights({"a": 0.7, "b": 0.3, "c": 2, "d": "1/6", "e": 0}) == ({"a": 21, "b": 9, "c": 60, "d": 5, "e": 0}, 30)
+    rows = rows_of(spark, [(i, "d", "en", f"s{i % 3}", 10) for i in range(60)])
+    read = lambda w: sorted((r.doc_id, r.epochs, r.tail_tokens) for r in op8.mix(rows, weights={"source": w}, budget_percent=50, max_epochs=1).collect())
+    assert read({"s0": 0.7, "s1": 0.3}) == read({"s0": 7, "s1": 3, "s2": 10}) != []
+    for w in (float("nan"), float("inf"), "x", 1e-9):
+        with pytest.raises(ValueError):
+            op8.whole_weights({"a": w})
+
+
 def test_op8_empty(spark):
     assert op8.mix(rows_of(spark, [])).count() == 0
     assert op8.mix(rows_of(spark, [(1, None, None, None, None)])).count() == 0

@@ -60,7 +60,7 @@ def test_op3_edges(spark, tok):
     assert [r.doc_id for r in rows] == [None, -3, 2, 5, 5]
     assert [r.n_tokens for r in rows] == [2, 1, 1, 3, 3]
     assert rows[3].ids == [*tok.encode("b c", add_special_tokens=False).ids, 2]
-    f = op3.TokenFile(folder, man[-1]["name"])
+    f = op3.TokenFile(op3.qualified(spark, folder), man[-1]["name"])
     assert f.document(len(f) - 1).tolist() == rows[-1].ids and f.key(len(f) - 1) == 5
     assert op3.read(spark, folder, op3.write(df.limit(0), op3.tokenizer_spec(), folder)).count() == 0
 
@@ -85,8 +85,12 @@ def test_op3_long_text_repeats_and_clashes(spark, tok):
     assert rows[0].ids == [*tok.encode(long, add_special_tokens=False).ids, 2]
     same = [*tok.encode("same text", add_special_tokens=False).ids, 2]
     assert all(r.ids == same for r in rows[1:]) and rows[-1].start == rows[0].n_tokens + 499 * len(same)
-    store, path = op3.filesystem(folder)
+    store, path = op3.filesystem(op3.qualified(spark, folder))
     with store.open_output_stream(f"{path}/other") as f:
         f.write(b"x")
     with pytest.raises(ValueError):
-        op3.TokenFile(folder, "other")
+        op3.TokenFile(op3.qualified(spark, folder), "other")
+
+
+def test_folders_have_a_store(spark, tmp_path):
+    assert op3.qualified(spark, str(tmp_path)) == op3.qualified(spark, f"file:{tmp_path}") == f"file://{tmp_path}"

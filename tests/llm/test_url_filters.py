@@ -62,6 +62,9 @@ def test_op4_forms_of_targets(spark):
         "http://h.org/x": link(f'<link rel="canonical" href="{blocked}"><base href="http://m.net/">'),
         "http://i.org/x": link('<meta http-equiv="refresh" content="5">') + f'<!-- <link rel="canonical" href="{blocked}"> -->',
         "http://j.org/x": link('<link rel="canonical" href="http://[bad">'),
+        "http://k.org/x": link(f'<link title="a>b" rel="canonical" href="{blocked}">'),
+        "http://l.org/x": link(f'<LINK\nREL="canon&#105;cal" HREF="{blocked}">'),
+        "http://m.org/x": link(f'<meta content="0;url={blocked}" http-equiv=\'re&#102;resh\'>'),
     }
     df = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(forms.items())], "page_id long, url string, html string")
     got = {list(forms)[r.page_id]: r.verdict for r in op4.judge(df).collect()}
