@@ -39,6 +39,8 @@ COUNTED, LEAVES = 500_000, 400_000
 PIECE = 1 << 20
 #: Leaves of a block, and sources of a language that are compared at once.
 BLOCK, SOURCES = 4096, 256
+#: Kept terms of a language that are compared together, about.
+SHARE = 32_768
 
 #: Letters A-Z become small; all other ASCII characters but letters end a term.
 _TERM_BYTES = bytes(i + 32 if 0x41 <= i <= 0x5A else i if i >= 0x80 or 0x61 <= i <= 0x7A else 0x20 for i in range(256))
@@ -350,7 +352,6 @@ def _ranked(best: dict) -> Iterator[pa.RecordBatch]:
 
 def audit(docs: DataFrame) -> DataFrame:
     """lang, source, part, item, value, rank: all other sources of a source by their divergence, and its RANKS terms that stand out most."""
-    spark = docs.sparkSession
     rows = cut(blocks(docs))
     used = rows.select("lang", F.explode(F.arrays_zip("sources", "used")).alias("s")).groupBy("lang", F.col("s.sources").alias("source")).agg(F.sum("s.used").alias("n"))
     used = cut(used.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1) / SOURCES).cast("int")))
@@ -359,10 +360,10 @@ def audit(docs: DataFrame) -> DataFrame:
     lists = used.groupBy("lang", "part").agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("list"))  # at most SOURCES
     both = lists.select("lang", F.col("part").alias("i"), F.col("list").alias("left")).join(lists.select("lang", F.col("part").alias("j"), F.col("list").alias("right")), "lang")
     both = cut(both.join(whole, "lang").join(terms, "lang"))
-    # blocks of a language are dealt out; every share meets all lists
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # blocks of a language are dealt out in shares by its terms, as each gives sums and best terms of all its sources; every share meets all lists
+    n = max(1, -(-(both.agg(F.max("v")).first()[0] or 0) // SHARE))
     dealt = both.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    full = rows.filter(F.size("terms") > 0).withColumn("salt", F.pmod(F.xxhash64(F.col("terms")[0]), F.lit(n)).cast("int"))
+    full = rows.filter(F.size("terms") > 0).withColumn("salt", F.pmod(F.xxhash64(F.col("terms")[0]), F.lit(n)).cast("int")).repartition("lang", "salt")
     found = full.join(dealt, ["lang", "salt"]).mapInArrow(_compared, _FOUND)
     none = both.select("lang", F.explode("left.source").alias("source"), "right").select("lang", "source", F.lit("pair").alias("part"), F.explode("right.source").alias("item"), F.lit(0).cast("long").alias("value")).filter("source <> item")
     sums = found.unionByName(none).groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
