@@ -8,6 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def around(stored, page_id: int) -> DataFrame:
+    """(from_page_id, to_page_id) of the links that leave or reach a page, looked up by either end of a stored index."""
+    ends = ("from_page_id", "to_page_id")
+    own = stored.links_from(page_id).select(*ends)
+    return own.unionByName(stored.links_to(page_id).select(*ends).filter(F.col("from_page_id") != page_id))
+
+
 def forward(links: DataFrame, pages: DataFrame, page_id: int) -> DataFrame:
     """(page_id, url, title) of the pages that a page links to, without itself."""
     ids = links.filter((F.col("from_page_id") == page_id) & (F.col("to_page_id") != page_id)).select(F.col("to_page_id").alias("page_id"))

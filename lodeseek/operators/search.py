@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text, urls
+from ..session import shared_folder
 
 
 class BadRequest(ValueError):
@@ -108,26 +109,57 @@ def limit_for(page: int, size: int) -> int:
     return max(100, page * size)
 
 
-def fused_list(tables: dict[str, DataFrame], wanted: list[str], query_vector: DataFrame, limit: int) -> DataFrame:
-    """All candidates (at most twice the limit), ranked narrow: with bm25_score, terms, rrf_score, type, backlinks and pos, the place after the first boost."""
+#: Up to this limit of candidates a request's list, at most twice as many narrow rows, is held on the driver.
+MAX_HELD = 10_000
+
+
+def held(rows: DataFrame, most: int) -> DataFrame:
+    """Rows that are computed once: at most `most` of them, on the driver where they are few, else in the shared folder."""
+    if most <= 2 * MAX_HELD:
+        return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+    shared_folder(rows.sparkSession)
+    return rows.checkpoint()
+
+
+def looked_up(source, rows: DataFrame, most: int) -> DataFrame:
+    """The rows of a table (page_id, ...) for the page ids of some held rows.
+
+    source: a lookup by a list of ids, as a stored table has, or a DataFrame. Few ids are named in a filter that
+    reaches the scan; the pages that a longer list names are met by a join.
+    """
+    if most <= 2 * MAX_HELD:
+        ids = [r.page_id for r in rows.select("page_id").collect()]
+        return source(ids) if callable(source) else source.filter(F.col("page_id").isin(*ids)) if ids else source.limit(0)
+    return (source(None) if callable(source) else source).join(F.broadcast(rows.select("page_id")), "page_id", "left_semi")  # twice the request's limit
+
+
+def fused_list(tables: dict, wanted: list[str], query_vector: DataFrame, limit: int) -> DataFrame:
+    """All candidates (at most twice the limit), ranked narrow: with bm25_score, terms, rrf_score, type, backlinks and pos, the place after the first boost.
+
+    The list is made once; backlinks are then looked up for its pages only.
+    """
     scores = posting_scores(tables["postings"], tables["terms"], tables.get("lengths"), tables["stats"], wanted)
     bm = ranked(bm25_top(scores, limit), [F.desc("bm25_score"), "page_id"], "bm25_rank")
     vec = ranked(nearest(tables["vectors"], query_vector, limit, "page_id"), ["distance", "page_id"], "vector_rank")
-    fused = fuse(bm, vec.drop("distance"))
-    few = F.broadcast(fused.select(F.col("page_id").alias("to_page_id")))  # at most twice the limit
+    fused = held(fuse(bm, vec.drop("distance")), 2 * limit)
     if "backlinks" in tables:  # stored counts
-        counts = tables["backlinks"].join(few, F.col("page_id") == F.col("to_page_id"), "left_semi").select("page_id", "backlink_count")
+        counts = looked_up(tables["backlinks"], fused, 2 * limit).select("page_id", "backlink_count")
     else:
-        counts = backlink_counts(tables["links"].join(few, "to_page_id", "left_semi"))
-    x = fused.join(counts, "page_id", "left").withColumn("backlink_count", F.coalesce("backlink_count", F.lit(0)).cast("long"))
+        few = fused.select(F.col("page_id").alias("to_page_id"))
+        counts = backlink_counts(tables["links"].join(F.broadcast(few), "to_page_id", "left_semi"))  # twice the limit
+    x = fused.join(F.broadcast(counts), "page_id", "left").withColumn("backlink_count", F.coalesce("backlink_count", F.lit(0)).cast("long"))  # a row a candidate
     x = x.withColumn("backlink_boost", scoring.backlink_boost(F.col("backlink_count")))
     return x.withColumn("pos", F.row_number().over(Window.orderBy(F.desc(F.col("backlink_boost") * F.col("rrf_score")), F.desc("rrf_score"), "ord")))
 
 
-def shown_page(fused: DataFrame, pages: DataFrame, wanted: list[str], page: int, size: int) -> DataFrame:
-    """One page of a fused list, joined to the pages only after it is cut out; the relevance boost reorders within it."""
-    cut = fused.filter((F.col("pos") > (page - 1) * size) & (F.col("pos") <= page * size))
-    shown = pages.join(F.broadcast(cut), "page_id", "right")  # at most size rows
+def shown_page(fused: DataFrame, pages, wanted: list[str], page: int, size: int) -> DataFrame:
+    """One page of a fused list, whose pages are looked up only after it is cut out; the relevance boost reorders within it.
+
+    pages: a lookup by ids, or a DataFrame.
+    """
+    cut = held(fused.filter((F.col("pos") > (page - 1) * size) & (F.col("pos") <= page * size)), size)
+    own = looked_up(pages, cut, size).select("page_id", "url", "title", "heading")
+    shown = cut.join(F.broadcast(own), "page_id", "left")  # at most size rows
     words = F.array(*[F.lit(w) for w in wanted]).cast("array<string>")
     fields = [text.normalized_words(c) for c in (urls.hostname(F.col("url")), F.col("title"), F.col("heading"))]
     shown = shown.withColumn("relevance_boost", scoring.relevance_boost(words, *fields))
@@ -135,11 +167,11 @@ def shown_page(fused: DataFrame, pages: DataFrame, wanted: list[str], page: int,
     return shown.withColumn("final_score", final).orderBy(F.desc("final_score"), "pos")
 
 
-def search(tables: dict[str, DataFrame], query: list[str], query_vector: DataFrame, page: int = 1, size: int = 10, stop_words=text.STOP_WORDS) -> DataFrame:
-    """One page of results as one plan.
+def search(tables: dict, query: list[str], query_vector: DataFrame, page: int = 1, size: int = 10, stop_words=text.STOP_WORDS) -> DataFrame:
+    """One page of results.
 
     tables: postings, terms, stats, vectors (page_id, embedding), pages (page_id, url, title, heading), links or
-    backlinks (page_id, backlink_count), and lengths where postings carry none.
+    backlinks (page_id, backlink_count), and lengths where postings carry none; pages and backlinks can be lookups by ids.
     """
     wanted = [w for w in query if w not in stop_words]
     return shown_page(fused_list(tables, wanted, query_vector, limit_for(page, size)), tables["pages"], wanted, page, size)
@@ -149,10 +181,6 @@ def search(tables: dict[str, DataFrame], query: list[str], query_vector: DataFra
 Embed = Callable[[list[str]], list[list[float]]]
 
 
-#: Up to this limit of candidates a request's list is held on the driver.
-MAX_HELD = 10_000
-
-
 @dataclass(frozen=True)
 class Response:
     """The answer to a search request."""
@@ -179,11 +207,7 @@ def corrected_words(stored, words: list[str], stop_words=text.STOP_WORDS) -> tup
     """The words after spelling, and the stem of each that the vocabulary has; few rows come to the driver, one a word."""
     from . import spell
 
-    spark = stored.spark
-    lengths = sorted({len(w) + d for w in words for d in (-1, 0, 1)})
-    asked = spark.createDataFrame(list(enumerate(words)), "pos long, word string")
-    fixed = spell.correct(asked, stored.vocabulary(lengths), stop_words).orderBy("pos").collect()
-    out = [r.corrected for r in fixed]
+    out, _ = spell.correct_stored(words, stored, stop_words)
     own = stored.vocabulary(sorted({len(w) for w in out})).filter(F.col("word").isin(*out)).select("word", "stem").collect()
     return out, {r.word: r.stem for r in own}
 
@@ -204,13 +228,12 @@ def answer(stored, q: str | None, embed: Embed | None = None, page=None, page_si
         vector = stored.spark.createDataFrame([(list(map(float, embed([" ".join(full)])[0])),)], "q array<double>")
     terms = sorted({stems[w] for w in wanted if w in stems})
     limit = limit_for(page, size)
-    fused = fused_list(stored.tables(terms), terms, vector, limit)
-    if limit <= MAX_HELD:  # narrow rows, at most twice the limit: the list is made once
-        fused = stored.spark.createDataFrame(fused.collect(), fused.schema)
+    tables = stored.tables(terms, limit)
+    fused = held(fused_list(tables, terms, vector, limit), 2 * limit)
     total = fused.count()
     if not total:
         raise NotFound("no result")
-    return Response(full != words, wanted, full, total, page, size, shown_page(fused, stored.table("pages"), wanted, page, size))
+    return Response(full != words, wanted, full, total, page, size, shown_page(fused, tables["pages"], wanted, page, size))
 
 
 def image_answer(stored, q: str | None, embed: Embed, limit: int = 100, stop_words=text.STOP_WORDS) -> DataFrame:
@@ -238,9 +261,9 @@ def links_answer(stored, page_id) -> tuple[DataFrame, DataFrame]:
     from . import graph
 
     i = whole_number(page_id, "id", least=None)
-    links, pages = stored.table("links"), stored.table("pages").select("page_id", "url", "title")
-    back, forward = graph.back(links, pages, i), graph.forward(links, pages, i)
-    if graph.neighbour_ids(links, i).isEmpty():
+    out, into, pages = stored.links_from(i), stored.links_to(i), stored.table("pages").select("page_id", "url", "title")
+    back, forward = graph.back(into, pages, i), graph.forward(out, pages, i)
+    if out.filter("to_page_id <> from_page_id").isEmpty() and into.filter("to_page_id <> from_page_id").isEmpty():
         raise NotFound("no link")
     return back, forward
 

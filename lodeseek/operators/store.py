@@ -1,61 +1,129 @@
 """The stored index: written once from words or pages, read by every search.
 
-Postings and terms are partitioned by a hash of the term and sorted by term within a file, so that a
-search reads the files of its words only; a posting carries its page's length, so that scoring joins
-nothing but the few rows of terms. The vocabulary is partitioned by word length, as spelling asks for
-three lengths, link counts and pages by a hash of the page id.
+Tables that are looked up are partitioned by a hash of their key and sorted by it within a file, so that
+a request reads the files of its keys only; a posting carries its page's length, so that scoring joins
+nothing but the few rows of terms. How many partitions a table has follows from its counted rows, and
+each table's own numbers stand in the folder's manifest, from which readers take them. Keys with more
+rows than a partition should have are split by page ranges.
+
+Pages are dealt out into ranges of ids. A block is a term's postings in one range; its least and greatest
+tf and length bound the scores in it, whatever the statistics, so that a search can leave out
+ranges that can't reach the best pages. Terms in few pages have no stored blocks: their postings are
+as few.
+
+The vocabulary is partitioned by word length, as spelling asks for three lengths, and stored a second time
+by the words' deletions, where words within two edits of a misspelt one are found by key. Links are stored
+by either end.
 """
 
 from __future__ import annotations
 
+import json
+import math
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
-from ..functions import stem, text, urls
+from ..functions import scoring, stem, text, urls
 from . import index, search
 
-#: Partitions of postings and terms, and files that a partition of a very common hash is split into.
-BUCKETS, SPLITS = 32, 1
+FORMAT = 2
+#: Rows of a partition, about, and partitions of a table.
+ROWS_A_BUCKET, MIN_BUCKETS, MAX_BUCKETS = 2_000_000, 8, 16_384
+#: Pages of a range at least, and ranges.
+PAGES_A_RANGE, MAX_RANGES = 64, 4_096
+#: Terms in so many pages have stored blocks.
+BLOCK_DF = 256
 MIN_WORD_DF = 3
-
+#: Keys with many rows that are broadcast at most.
+MAX_HEAVY = 100_000
 
 #: Tables that don't depend on words.
-SITE = ("parsed", "targets", "pages", "links", "backlinks", "images", "embed_texts", "vectors", "image_vectors")
+SITE = ("parsed", "targets", "pages", "links", "links_from", "links_to", "backlinks", "images", "embed_texts", "vectors", "centroids", "image_vectors")
 
 
 def bucket(c: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
 
 
+def bucket_count(rows: int) -> int:
+    """Partitions of a table with so many rows."""
+    return max(MIN_BUCKETS, min(MAX_BUCKETS, math.ceil(rows / ROWS_A_BUCKET)))
+
+
+def record(spark: SparkSession, folder: str, table: str, **facts) -> None:
+    """Notes a table's facts in the manifest of its folder."""
+    row = json.dumps({"table": table, "format": FORMAT, **facts})
+    spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest/{table}")
+
+
+def manifest(spark: SparkSession, folder: str) -> dict[str, dict]:
+    """What a folder's manifest says of its tables; ValueError without one or of another format."""
+    try:
+        rows = spark.read.option("recursiveFileLookup", "true").text(f"{folder}/manifest").collect()  # a row a table
+    except AnalysisException:
+        raise ValueError(f"{folder} has no manifest: it holds no index") from None
+    out = {x["table"]: x for x in (json.loads(r.value) for r in rows)}
+    if odd := [t for t, x in out.items() if x["format"] != FORMAT]:
+        raise ValueError(f"{folder}: tables {odd} have another format than {FORMAT}")
+    return out
+
+
 @dataclass(frozen=True)
 class Stored:
     """A stored index below a folder; some tables can stand below another one, that of a site."""
 
     spark: SparkSession
     folder: str
-    buckets: int = BUCKETS
     site: str | None = None
-    #: Tables that were opened: their files are listed once.
+    #: Tables that were opened (their files are listed once) and manifests that were read.
     opened: dict = field(default_factory=dict, repr=False, compare=False)
 
+    def home(self, name: str) -> str:
+        return self.site if self.site and name in SITE else self.folder
+
     def table(self, name: str) -> DataFrame:
         if name not in self.opened:
-            self.opened[name] = self.spark.read.parquet(f"{self.site if self.site and name in SITE else self.folder}/{name}")
+            kind = self.facts(name).get("schema")  # an empty table has no file that tells it
+            reader = self.spark.read.schema(T.StructType.fromJson(json.loads(kind))) if kind else self.spark.read
+            self.opened[name] = reader.parquet(f"{self.home(name)}/{name}")
         return self.opened[name]
 
-    def _some(self, name: str, column: str, values: list) -> DataFrame:
+    def facts(self, name: str) -> dict:
+        """What the manifest says of a table."""
+        key = "manifest", self.home(name)
+        if name not in self.opened.get(key, {}):
+            self.opened[key] = {name: {}} | manifest(self.spark, self.home(name))
+        return self.opened[key][name]
+
+    def forget(self, *names: str) -> None:
+        """Tables whose files have changed are opened anew."""
+        for n in names:
+            self.opened.pop(n, None)
+
+    def some(self, name: str, column: str, values: list) -> DataFrame:
+        """Rows of a table by its key."""
+        if not values:
+            return self.table(name).limit(0)
         # the hashes of literals are folded, so that both filters reach the scan
-        hashes = [bucket(F.lit(v), self.buckets) for v in values]
-        return self.table(name).filter(F.col("bucket").isin(*hashes) & F.col(column).isin(*values)) if values else self.table(name).limit(0)
+        n = self.facts(name)["buckets"]
+        kind = self.table(name).schema[column].dataType
+        hashes = [bucket(F.lit(v).cast(kind), n) for v in values]
+        return self.table(name).filter(F.col("bucket").isin(*hashes) & F.col(column).isin(*values))
 
     def postings(self, words: list[str]) -> DataFrame:
-        return self._some("postings", "term", words)
+        return self.some("postings", "term", words)
 
     def terms(self, words: list[str]) -> DataFrame:
-        return self._some("terms", "term", words)
+        """(term, df) of some terms; rows of later insertions are added up."""
+        return self.some("terms", "term", words).groupBy("term").agg(F.sum("df").alias("df"))
+
+    def all_terms(self) -> DataFrame:
+        return self.table("terms").groupBy("term").agg(F.sum("df").alias("df"))
 
     def vocabulary(self, lengths: list[int] | None = None) -> DataFrame:
         """(word, stem), of some lengths or of all."""
@@ -66,25 +134,53 @@ class Stored:
         """One posting, by what identifies it."""
         return self.postings([term]).filter(F.col("page_id") == page_id)
 
-    def tables(self, words: list[str]) -> dict[str, DataFrame]:
-        """What search() reads for some words."""
-        return {"postings": self.postings(words), "terms": self.terms(words), **{n: self.table(n) for n in ("stats", "vectors", "backlinks", "pages")}}
+    def links_from(self, page_id: int) -> DataFrame:
+        return self.some("links_from", "from_page_id", [page_id])
 
+    def links_to(self, page_id: int) -> DataFrame:
+        return self.some("links_to", "to_page_id", [page_id])
 
-def write(df: DataFrame, folder: str, name: str, by: Column | None = None, splits: Column | None = None, sort: tuple = ()) -> None:
-    """Writes a table below a folder, its partitions by a column named bucket."""
+    def by_ids(self, name: str):
+        """A lookup of rows by page_id; without ids, the whole table."""
+        return lambda ids: self.table(name) if ids is None else self.some(name, "page_id", ids)
+
+    def tables(self, words: list[str], limit: int | None = None) -> dict:
+        """What search() reads for some words: postings, all or those of ranges that can hold one of the best pages, and the rest."""
+        post = self.postings(words) if limit is None else best_postings(self, words, limit)[0]
+        return {"postings": post, "terms": self.terms(words), "stats": self.table("stats"), "vectors": self.table("vectors"), "backlinks": self.by_ids("backlinks"), "pages": self.by_ids("pages")}
+
+
+def write(df: DataFrame, folder: str, name: str, by: str | None = None, buckets: int | None = None, slices: Column | None = None, tasks: int | None = None, sort: tuple = (), **facts) -> None:
+    """Writes a table below a folder; with a key, in partitions by its hash, and its facts into the manifest.
+
+    slices: parts of a key's rows that go to different tasks.
+    """
     if by is None:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return
-    out = df.withColumn("bucket", by)
-    out = out.repartition(*["bucket", *([splits] if splits is not None else [])]).sortWithinPartitions("bucket", *sort)
-    out.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{name}")
+    out = df.withColumns({"bucket": bucket(F.col(by), buckets), **({"__slice": slices} if slices is not None else {})})
+    out = out.repartition(tasks or buckets, "bucket", *(["__slice"] if slices is not None else [])).drop("__slice", "__part")
+    out.sortWithinPartitions("bucket", by, *sort).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{name}")
+    record(df.sparkSession, folder, name, key=by, buckets=buckets, schema=schema_of(out, "bucket"), **facts)
+
+
+def schema_of(df: DataFrame, last: str) -> str:
+    """A table's schema as it is read again, the column of its partitions last."""
+    return T.StructType([*(f for f in df.schema.fields if f.name != last), T.StructField(last, T.IntegerType())]).json()
+
+
+def heavy_keys(counts: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """(key, k) of keys with more than a partition's rows, k the parts they need, from (key, n); and all parts beyond the first."""
+    many = counts.filter(F.col("n") > ROWS_A_BUCKET).select(key, F.ceil(F.col("n") / ROWS_A_BUCKET).cast("int").alias("k"))
+    found = many.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("more")).first()
+    return (F.broadcast(many) if found.keys <= MAX_HEAVY else many), int(found.more)
 
 
-def build(counts: DataFrame, folder: str, lengths: DataFrame, stems: bool = True, buckets: int = BUCKETS, splits: int = SPLITS, min_df: int = MIN_WORD_DF) -> Stored:
-    """Writes words, lengths, stats, postings, terms and vocab from stored counts (page_id, word, weight, n), a row for each page, word and weight.
+def build(counts: DataFrame, folder: str, lengths: DataFrame, stems: bool = True, buckets: int | None = None, min_df: int = MIN_WORD_DF, block_df: int = BLOCK_DF) -> Stored:
+    """Writes words, lengths, stats, postings, terms, blocks, vocab and deletes from stored counts (page_id, word, weight, n), a row for each page, word and weight.
 
-    n is how often the word occurs with the weight; lengths: (page_id, doc_length). With stems, a term is a stem, else a word.
+    n is how often the word occurs with the weight; lengths: (page_id, doc_length). With stems, a term is a
+    stem, else a word. buckets: partitions of the tables by term instead of the number that the counts ask for.
     """
     spark = counts.sparkSession
     write(word_stems(counts, stems), folder, "words")
@@ -92,15 +188,114 @@ def build(counts: DataFrame, folder: str, lengths: DataFrame, stems: bool = True
     write(lengths, folder, "lengths")
     lengths = spark.read.parquet(f"{folder}/lengths")
     write(index.corpus_stats(lengths), folder, "stats")
+    ids = lengths.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    lo = ids.lo or 0
+    n_ranges = max(1, min(MAX_RANGES, ids.n // PAGES_A_RANGE))
+    width = max(1, -(-((ids.hi or 0) - lo + 1) // n_ranges))
+    rows = counts.count()
+    buckets = buckets or bucket_count(rows)
+    base = max(1, math.ceil(rows / (buckets * ROWS_A_BUCKET)))
+    uses = counts.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    uses = uses.join(known, "word").groupBy(F.col("stem").alias("term")).agg(F.sum("n").alias("n")) if stems else uses.withColumnRenamed("word", "term")
+    heavy, more = heavy_keys(uses, "term")
     words = counts.join(known, "word") if stems else counts.withColumn("stem", F.col("word"))
-    post = index.postings(words, "stem").join(lengths, "page_id")
-    part = F.pmod(F.xxhash64("page_id"), F.lit(splits))
-    write(post, folder, "postings", bucket(F.col("term"), buckets), part if splits > 1 else None, ("term", "page_id"))
-    terms = index.terms(spark.read.parquet(f"{folder}/postings"))
-    write(terms, folder, "terms", bucket(F.col("term"), buckets), None, ("term",))
-    vocab = known.join(spark.read.parquet(f"{folder}/terms").filter(F.col("df") >= min_df), F.col("stem") == F.col("term"), "left_semi").withColumn("len", F.length("word"))
-    vocab.repartition("len").sortWithinPartitions("len", "word").write.mode("overwrite").partitionBy("len").parquet(f"{folder}/vocab")
-    return Stored(spark, folder, buckets)
+    post = index.postings(words, "stem").join(lengths, "page_id").withColumn("range", F.expr(f"CAST((page_id - {lo}) DIV {width} AS INT)"))
+    parts = F.lit(base)
+    if more:
+        post = post.join(heavy, "term", "left")
+        parts = F.greatest(parts, F.coalesce("k", parts))
+    slices = F.floor(F.col("range") * parts / n_ranges) if more or base > 1 else None
+    keep = ("term", "page_id", "tf", "doc_length", "range")
+    post = post.withColumn("__part", slices if slices is not None else F.lit(0)).select(*keep, "__part")
+    write(post, folder, "postings", "term", buckets, F.col("__part"), buckets * base + more, ("range", "page_id"), lo=lo, width=width, ranges=n_ranges, rows=rows)
+    done = Stored(spark, folder)
+    stored = done.table("postings")
+    write(stored.groupBy("term").agg(F.count(F.lit(1)).alias("df"), *extremes()), folder, "terms", "term", buckets)
+    terms = done.table("terms")
+    many = terms.filter(F.col("df") >= block_df).select("term")
+    blocks = stored.groupBy("term", "range").agg(F.count(F.lit(1)).alias("n"), *extremes())
+    write(blocks.join(many, "term", "left_semi"), folder, "blocks", "term", buckets, sort=("range",), block_df=block_df)
+    vocab = known.join(terms.filter(F.col("df") >= min_df).select("term"), F.col("stem") == F.col("term"), "left_semi").withColumn("len", F.length("word"))
+    n_words = vocab.count()
+    part = F.pmod(F.xxhash64("word"), F.lit(max(1, math.ceil(n_words / ROWS_A_BUCKET))))
+    vocab.repartition("len", part).sortWithinPartitions("len", "word").write.mode("overwrite").partitionBy("len").parquet(f"{folder}/vocab")
+    record(spark, folder, "vocab", schema=schema_of(vocab, "len"))
+    from . import spell
+
+    write(spell.deletions(done.table("vocab")), folder, "deletes", "key", bucket_count(n_words * spell.KEYS_A_WORD), sort=("word",))
+    record(spark, folder, "index", stems=stems, min_df=min_df)
+    return done
+
+
+def extremes() -> list[Column]:
+    """Of postings: the least and greatest tf, and length for each use of the term. A score grows with the one and falls with the other."""
+    thin = F.col("doc_length") / F.col("tf").cast("double")
+    return [f(c).alias(f"{n}_{s}") for c, s in ((F.col("tf"), "tf"), (thin, "thin")) for f, n in ((F.min, "least"), (F.max, "most"))]
+
+
+# Blocks -----------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Skipped:
+    """What a search left out: ranges of pages, blocks and postings, each of how many."""
+
+    ranges: tuple[int, int]
+    blocks: tuple[int, int]
+    postings: tuple[int, int]
+
+
+def blocks_of(stored: Stored, words: list[str]) -> DataFrame:
+    """(term, range, n, extremes) of terms: stored ones, and of terms in few pages what their postings say."""
+    least = stored.facts("blocks")["block_df"]
+    df = {r.term: r.df for r in stored.terms(words).collect()}  # a row a word
+    many, few = [w for w in df if df[w] >= least], [w for w in df if df[w] < least]
+    own = [F.sum("n").alias("n"), *(F.min(c).alias(c) for c in ("least_tf", "least_thin")), *(F.max(c).alias(c) for c in ("most_tf", "most_thin"))]
+    big = stored.some("blocks", "term", many).groupBy("term", "range").agg(*own)
+    small = stored.postings(few).groupBy("term", "range").agg(F.count(F.lit(1)).alias("n"), *extremes())
+    return big.unionByName(small)  # columns in any order
+
+
+def best_postings(stored: Stored, words: list[str], limit: int) -> tuple[DataFrame, Skipped]:
+    """Postings of all ranges of pages that can hold one of the best `limit` pages, and what was left out.
+
+    A range's bound is the sum over terms of the greatest score that its block's extremes allow. The
+    ranges with the greatest bounds are scored first, until they hold more pages than asked for; the least
+    score among the best of them is what another range must be able to reach. Ranges and words are few
+    (MAX_RANGES a word), so their bounds are weighed on the driver.
+    """
+    words = sorted(set(words))
+    stats, terms = stored.table("stats"), stored.terms(words)
+    n, avg = F.col("total_documents"), F.col("avg_doc_length")
+    usable = terms.filter((F.col("df") > scoring.MIN_DF) & (F.col("df") < scoring.MAX_DF))
+    seen = blocks_of(stored, words).join(F.broadcast(usable), "term").crossJoin(F.broadcast(stats))  # a row a word, one row
+    corner = lambda a, b: scoring.bm25(F.col(a), F.col("df"), F.col(a) * F.col(b), n, avg)
+    bound = F.greatest(corner("most_tf", "least_thin"), corner("least_tf", "most_thin"))
+    rows = seen.select("range", "n", bound.alias("bound")).collect()  # at most MAX_RANGES a word
+    every = stored.postings(words)
+    if not rows:
+        return every, Skipped((0, 0), (0, 0), (0, 0))
+    bounds: dict[int, list[float]] = {}
+    sizes: dict[int, list[int]] = {}
+    for r in rows:
+        bounds.setdefault(r.range, []).append(math.inf if r.bound is None or math.isnan(r.bound) else r.bound)
+        sizes.setdefault(r.range, []).append(r.n)
+    most = {k: sum(x for x in v if x > 0) if max(v) > 0 else max(v) for k, v in bounds.items()}
+    first, held = [], 0
+    for k in sorted(most, key=lambda k: (-most[k], k)):
+        first.append(k)
+        held += max(sizes[k])  # its pages are at least so many
+        if held >= limit:
+            break
+    kept = set(most)
+    if len(first) < len(most):
+        scores = search.bm25_top(search.posting_scores(every.filter(F.col("range").isin(*first)), terms, None, stats, words), limit)
+        low = scores.agg(F.count("bm25_score").alias("n"), F.min("bm25_score").alias("low")).first()
+        if low.n >= limit:  # bounds are computed as scores are, but added in another order
+            kept = {k for k in most if most[k] >= low.low - 1e-9 * abs(low.low)}
+    gone = set(most) - kept
+    told = Skipped((len(gone), len(most)), (sum(len(sizes[k]) for k in gone), len(rows)), (sum(sum(sizes[k]) for k in gone), sum(map(sum, sizes.values()))))
+    return (every.filter(F.col("range").isin(*sorted(kept))) if gone else every), told
 
 
 def word_stems(counts: DataFrame, stems: bool = True) -> DataFrame:
@@ -123,16 +318,22 @@ def build_documents(docs: DataFrame, folder: str, stems: bool = False, key: str
     return build(counts, folder, counts.groupBy("page_id").agg(F.sum("n").alias("doc_length")), stems, **kw)
 
 
-def build_site(pages: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
-    """Writes parsed, targets, pages, links, backlinks, images and embed_texts of HTML pages; every page's tree is built once.
+def build_site(pages: DataFrame, folder: str, buckets: int | None = None) -> None:
+    """Writes parsed, targets, pages, links (by either end too), backlinks, images and embed_texts of HTML pages; every page's tree is built once.
 
-    Of pages with the same normalised URL the last stays. Link targets that are no page yet become blank pages.
+    Of pages with the same normalised URL the last stays: it is chosen by URL and id alone, and only such pages
+    are parsed. Link targets that are no page yet become blank pages. buckets: partitions of the tables by page.
     """
     from ..functions import html
 
     spark = pages.sparkSession
-    seen = html.parsed(pages).withColumn("url", urls.normalized(F.col("url"))).filter("url IS NOT NULL")
-    write(index.latest(seen, "url", "page_id"), folder, "parsed")
+    named = pages.select("page_id", "url", "html", urls.normalized(F.col("url")).alias("__url")).filter("__url IS NOT NULL")
+    sizes = named.groupBy("__url", "page_id").agg(F.count(F.lit(1)).alias("__n"))
+    last = sizes.groupBy("__url").agg(F.max(F.struct("page_id", "__n")).alias("x")).select("__url", "x.page_id", "x.__n")
+    kept = named.join(last, ["__url", "page_id"])
+    if not last.filter("__n > 1").isEmpty():  # only then whole pages are dealt out by their URL
+        kept = kept.dropDuplicates(["__url"])
+    write(html.parsed(kept.drop("__url", "__n")).withColumn("url", urls.normalized(F.col("url"))), folder, "parsed")
     seen = spark.read.parquet(f"{folder}/parsed")
     write(seen.select("page_id", text.embedding_text(F.col("texts")).alias("text")), folder, "embed_texts")
     known = seen.select("page_id", "url", "title", index.heading_of(F.col("texts")).alias("heading"))
@@ -140,26 +341,32 @@ def build_site(pages: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
     targets = spark.read.parquet(f"{folder}/targets")
     none = F.lit(None).cast("string")
     blank = index.blank_pages(targets, known).select(index.blank_id(F.col("url")).alias("page_id"), "url", none.alias("title"), none.alias("heading"))
-    write(known.unionByName(blank), folder, "pages", bucket(F.col("page_id"), buckets), None, ("page_id",))
-    write(index.edges(targets, spark.read.parquet(f"{folder}/pages")), folder, "links")
-    write(search.backlink_counts(spark.read.parquet(f"{folder}/links")), folder, "backlinks", bucket(F.col("page_id"), buckets), None, ("page_id",))
+    own = buckets or bucket_count(targets.count() + known.count())
+    write(known.unionByName(blank), folder, "pages", "page_id", own)
+    write(index.edges(targets, Stored(spark, folder).table("pages")), folder, "links")
+    write_links(spark.read.parquet(f"{folder}/links"), folder, buckets)
+    write(search.backlink_counts(spark.read.parquet(f"{folder}/links")), folder, "backlinks", "page_id", own)
     found = seen.select("page_id", F.posexplode(F.map_entries("images")).alias("seq", "i")).select("page_id", "seq", F.col("i.key").alias("url"), F.col("i.value").alias("alt"))
     write(index.images(found), folder, "images")
 
 
+def write_links(links: DataFrame, folder: str, buckets: int | None = None) -> None:
+    """Edges by the page they leave and by the page they reach; those of hubs are dealt out by their other end."""
+    n = buckets or bucket_count(links.count())
+    for name, key, other in (("links_from", "from_page_id", "to_page_id"), ("links_to", "to_page_id", "from_page_id")):
+        heavy, more = heavy_keys(links.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key)
+        rows = links.join(heavy, key, "left") if more else links.withColumn("k", F.lit(None).cast("int"))
+        rows = rows.withColumn("__part", F.pmod(F.xxhash64(other), F.coalesce("k", F.lit(1)))).drop("k")
+        out = rows.select(*links.columns, "__part")
+        write(out, folder, name, key, n, F.col("__part") if more else None, n + more, (other,))
+
+
 def build_pages(spark: SparkSession, site: str, folder: str, stop_words=text.STOP_WORDS, **kw) -> Stored:
     """An index of the weighted, stemmed words of a site's pages."""
     parsed = spark.read.parquet(f"{site}/parsed")
     write(index.page_word_counts(parsed, stop_words), folder, "counts")
-    out = build(spark.read.parquet(f"{folder}/counts"), folder, index.page_lengths(parsed), **kw)
-    return Stored(spark, folder, out.buckets, site)
-
-
-def write_vectors(vectors: DataFrame, folder: str) -> None:
-    """(page_id, embedding) with the norm of each, which searches need and don't compute again."""
-    from ..functions import scoring
-
-    write(vectors.withColumn("norm", scoring.norm(F.col("embedding"))), folder, "vectors")
+    build(spark.read.parquet(f"{folder}/counts"), folder, index.page_lengths(parsed), **kw)
+    return Stored(spark, folder, site)
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
@@ -174,10 +381,39 @@ def full_scan(stored: Stored, name: str = "postings") -> DataFrame:
 
 
 def insert_posting(stored: Stored, term: str, page_id: int, tf: float) -> DataFrame:
-    """Appends one posting (a correction by hand; batches come through the stream) and returns it."""
-    length = stored.table("lengths").filter(F.col("page_id") == page_id).select("doc_length")
-    row = stored.spark.range(1).select(F.lit(term).alias("term"), F.lit(page_id).cast("long").alias("page_id"), F.lit(tf).cast("float").alias("tf"))
-    row = row.join(F.broadcast(length), how="left") if length.limit(1).count() else row.withColumn("doc_length", F.lit(0).cast("long"))  # at most a row
-    row.withColumn("bucket", bucket(F.col("term"), stored.buckets)).write.mode("append").partitionBy("bucket").parquet(f"{stored.folder}/postings")
-    stored.opened.pop("postings", None)
+    """Adds one posting (a correction by hand; batches come through the stream) and returns it.
+
+    There is one posting of a term and page: one that is there stays as it is and is returned. Terms, blocks
+    and, once the term is in enough pages, the vocabulary get their share, so that searches find it.
+    """
+    spark = stored.spark
+    old = stored.posting(term, page_id).select("term", "page_id", "tf")
+    if not old.isEmpty():
+        return old
+    length = stored.table("lengths").filter(F.col("page_id") == page_id).select("doc_length").first()
+    about = stored.facts("postings")
+    df = stored.terms([term]).first()
+    place = (page_id - about["lo"]) // about["width"]
+    row = spark.createDataFrame([(term, page_id, tf, length.doc_length if length else 0, place)], "term string, page_id long, tf float, doc_length long, range int")
+
+    def add(df: DataFrame, name: str, key: str) -> None:
+        df.withColumn("bucket", bucket(F.col(key), stored.facts(name)["buckets"])).write.mode("append").partitionBy("bucket").parquet(f"{stored.folder}/{name}")
+        stored.forget(name)
+
+    bounds = row.groupBy("term", "range").agg(F.count(F.lit(1)).alias("df"), *extremes())
+    add(row, "postings", "term")
+    add(bounds.drop("range"), "terms", "term")
+    count = (df.df if df else 0) + 1
+    least = stored.facts("blocks")["block_df"]
+    if count > least:
+        add(bounds.withColumnRenamed("df", "n"), "blocks", "term")
+    elif count == least:  # from now on it has blocks
+        add(stored.postings([term]).groupBy("term", "range").agg(F.count(F.lit(1)).alias("n"), *extremes()), "blocks", "term")
+    if count == stored.facts("index")["min_df"] and stored.vocabulary([len(term)]).filter(F.col("stem") == term).isEmpty():
+        from . import spell
+
+        word = spark.createDataFrame([(term, term, len(term))], "word string, stem string, len int")
+        word.write.mode("append").partitionBy("len").parquet(f"{stored.folder}/vocab")
+        add(spell.deletions(word), "deletes", "key")
+        stored.forget("vocab")
     return row.select("term", "page_id", "tf")

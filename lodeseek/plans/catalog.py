@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html, scoring, stem, text, urls
-from ..operators import crawl, embed, graph, index, queues, search, spell, store
+from ..operators import crawl, embed, graph, index, queues, search, spell, store, vectors
 from ..session import fresh_folder
 from ..sources import tables
 from ..streaming import ingest
@@ -57,7 +57,7 @@ def site(spark, d) -> str:
     if key not in _SITES:
         folder = fresh_folder(spark, "site")
         store.build_site(t(spark, d, "pages"), folder)
-        store.write_vectors(t(spark, d, "embeddings").select(F.col("vec_id").alias("page_id"), "embedding"), folder)
+        vectors.write_vectors(t(spark, d, "embeddings").select(F.col("vec_id").alias("page_id"), "embedding"), folder)
         _SITES[key] = folder
     return _SITES[key]
 
@@ -68,7 +68,7 @@ def documents_index(spark, d, stems: bool = False) -> store.Stored:
     if key not in _SITES:
         folder = fresh_folder(spark, "index")
         store.build_documents(t(spark, d, "documents").select("doc_id", "text"), folder, stems)
-        _SITES[key] = store.Stored(spark, folder, site=site(spark, d))
+        _SITES[key] = store.Stored(spark, folder, site(spark, d))
     return _SITES[key]
 
 
@@ -80,6 +80,14 @@ def pages_index(spark, d) -> store.Stored:
     return _SITES[key]
 
 
+def site_index(spark, d) -> store.Stored:
+    """The tables of d's pages alone."""
+    key = (spark.sparkContext.applicationId, d, "site")
+    if key not in _SITES:
+        _SITES[key] = store.Stored(spark, site(spark, d))
+    return _SITES[key]
+
+
 def site_table(spark, d, name) -> DataFrame:
     return spark.read.parquet(f"{site(spark, d)}/{name}")
 
@@ -311,7 +319,7 @@ def _vector(spark, d):
 @query("idf", f"WITH {POSTINGS} SELECT term, round(ln((n - df + 0.5) / (df + 0.5)), 6) AS idf FROM terms, stats")
 def _(spark, d):
     x = documents_index(spark, d)
-    return x.table("terms").crossJoin(F.broadcast(x.table("stats"))).select("term", F.round(scoring.idf(F.col("total_documents"), F.col("df")), 6).alias("idf"))
+    return x.all_terms().crossJoin(F.broadcast(x.table("stats"))).select("term", F.round(scoring.idf(F.col("total_documents"), F.col("df")), 6).alias("idf"))
 
 
 @query("bm25_posting", f"WITH {SCORES} SELECT page_id, term, tf, df, round(score, 6) AS score FROM scores")
@@ -329,6 +337,41 @@ def _(spark, d):
     return search.nearest(site_table(spark, d, "vectors"), _vector(spark, d), 100, "page_id").select(F.col("page_id").alias("vec_id"), F.round("distance", 6).alias("distance"))
 
 
+#: Cells around vectors that a hash of the id draws, as many as the root of their number; so many hundredths of them are probed.
+_PROBES = 75
+ANN = f"""v AS (SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL), size AS (SELECT round(sqrt(count(*)))::BIGINT AS cells FROM v),
+c AS (SELECT row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS cell, embedding FROM v QUALIFY cell < (SELECT cells FROM size)),
+d AS (SELECT e.vec_id, c.cell, {DIST.replace('q.embedding', 'c.embedding')} AS d FROM v e, c),
+placed AS (SELECT vec_id, arg_min(cell, struct_pack(d, cell)) AS cell FROM d GROUP BY vec_id),
+probe AS (SELECT vec_id AS query_id, cell FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cell) <= (SELECT ceil(cells * {_PROBES} / 100) FROM size))"""
+
+
+def _pivots(spark, d) -> store.Stored:
+    """d's vectors in cells whose centroids are vectors themselves; written once a session."""
+    key = (spark.sparkContext.applicationId, d, "pivots")
+    if key not in _SITES:
+        folder = fresh_folder(spark, "pivots")
+        rows = t(spark, d, "embeddings").select(F.col("vec_id").alias("page_id"), "embedding").filter("embedding IS NOT NULL")
+        vectors.write_vectors(rows, folder, rounds=0, probes=-(-vectors.cell_count(rows.count()) * _PROBES // 100))
+        _SITES[key] = store.Stored(spark, folder)
+    return _SITES[key]
+
+
+@query("cosine_ann", f"WITH {ANN}, n AS (SELECT e.vec_id, {DIST} AS distance FROM v e JOIN placed USING (vec_id) JOIN probe USING (cell) JOIN v q ON q.vec_id = query_id WHERE query_id = {VECTOR_ID}) SELECT vec_id, round(distance, 6) AS distance FROM n ORDER BY n.distance, vec_id LIMIT 100")
+def _(spark, d):
+    top = vectors.nearest_ann(_pivots(spark, d), _vector(spark, d).first().q, 100)
+    return top.select(F.col("page_id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+
+
+@query("cosine_ann_all", f"""WITH {ANN}, n AS (SELECT query_id, e.vec_id, {DIST} AS distance FROM v e JOIN placed USING (vec_id) JOIN probe USING (cell) JOIN v q ON q.vec_id = query_id WHERE query_id % 100 = 0 AND query_id <> e.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank FROM n) SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 10""")
+def _(spark, d):
+    """The ten nearest of every hundredth vector."""
+    asked = t(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    got = vectors.nearest_to_all(_pivots(spark, d), asked, 10)
+    return got.select("query_id", F.col("page_id").alias("vec_id"), F.round("distance", 6).alias("distance"), "rank")
+
+
 @query("image_topk", f"WITH {NEAR} SELECT n.page_id AS image_id, 'image ' || e.label AS alt_text, round(distance, 6) AS distance FROM near n JOIN embeddings e ON e.vec_id = n.page_id")
 def _(spark, d):
     top = search.nearest(t(spark, d, "embeddings"), _vector(spark, d), 100)
@@ -377,7 +420,7 @@ SELECT page_id, url, title, type, round(rrf, 6) AS rrf_score, bc AS backlink_cou
 
 def _search(page):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        out = search.search(documents_index(spark, d).tables(QUERY), QUERY, _vector(spark, d), page)
+        out = search.search(documents_index(spark, d).tables(QUERY, search.limit_for(page, 10)), QUERY, _vector(spark, d), page)
         r = lambda c: F.round(c, 6).alias(c)
         return out.select("page_id", "url", "title", "type", r("rrf_score"), "backlink_count", r("backlink_boost"), "relevance_boost", r("final_score"))
 
@@ -436,7 +479,7 @@ query("search_corrected", _answer_sql(["adocx", "the", "aioux", "thstion"], 2, 5
 
 @query("links_response", f"WITH {_neigh(CENTRE)} SELECT 'forward' AS kind, * FROM fwd UNION ALL SELECT 'backlink', * FROM bck")
 def _(spark, d):
-    back, forward = search.links_answer(store.Stored(spark, site(spark, d), site=site(spark, d)), str(CENTRE))
+    back, forward = search.links_answer(site_index(spark, d), str(CENTRE))
     return back.select(F.lit("backlink").alias("kind"), "*").unionByName(forward.select(F.lit("forward").alias("kind"), "*"))
 
 
@@ -505,9 +548,8 @@ c AS (SELECT pos, w, levenshtein(word, w) AS dist, CASE length(w) - length(word)
 b AS (SELECT pos, w FROM c QUALIFY row_number() OVER (PARTITION BY pos ORDER BY dist, o, w) = 1)
 SELECT q.pos AS pos, word, coalesce(b.w, word) AS corrected FROM q LEFT JOIN b ON q.pos = b.pos""")
 def _(spark, d):
-    lengths = sorted({len(w) + k for w in _MISSPELT for k in (-1, 0, 1)})
-    vocab = documents_index(spark, d).vocabulary(lengths)
-    return spell.correct(spark.createDataFrame(list(enumerate(_MISSPELT)), "pos long, word string"), vocab)
+    fixed, _ = spell.correct_stored(list(_MISSPELT), documents_index(spark, d))
+    return spark.createDataFrame([(i, w, c) for i, (w, c) in enumerate(zip(_MISSPELT, fixed))], "pos long, word string, corrected string")
 
 
 # The graph ------------------------------------------------------------------------------------
@@ -517,34 +559,37 @@ _NEIGH, _HUB_NEIGH = _neigh(CENTRE), _neigh(HUB)
 
 @query("forward_links", f"WITH {_NEIGH} SELECT * FROM fwd")
 def _(spark, d):
-    return graph.forward(site_links(spark, d), all_pages(spark, d), CENTRE)
+    return graph.forward(site_index(spark, d).links_from(CENTRE), all_pages(spark, d), CENTRE)
 
 
 @query("back_links", f"WITH {_HUB_NEIGH} SELECT * FROM bck")
 def _(spark, d):
-    return graph.back(site_links(spark, d), all_pages(spark, d), hub(spark, d))
+    centre = hub(spark, d)
+    return graph.back(site_index(spark, d).links_to(centre), all_pages(spark, d), centre)
 
 
 @query("neighbour_ids", f"WITH {_HUB_NEIGH} SELECT page_id, 'backlink' AS kind FROM bck UNION ALL SELECT page_id, 'forward' FROM fwd")
 def _(spark, d):
-    return graph.neighbour_ids(site_links(spark, d), hub(spark, d))
+    centre = hub(spark, d)
+    return graph.neighbour_ids(graph.around(site_index(spark, d), centre), centre)
 
 
 @query("ego_graph", f"WITH {_HUB_NEIGH} SELECT * FROM ego")
 def _(spark, d):
-    return graph.ego(site_links(spark, d), all_pages(spark, d), hub(spark, d))
+    centre = hub(spark, d)
+    return graph.ego(graph.around(site_index(spark, d), centre), all_pages(spark, d), centre)
 
 
 @query("ego_edges", f"WITH {_NEIGH} SELECT c AS source, page_id AS target FROM fwd, mid UNION ALL SELECT page_id, c FROM bck, mid")
 def _(spark, d):
-    return graph.ego_edges(site_links(spark, d), CENTRE)
+    return graph.ego_edges(graph.around(site_index(spark, d), CENTRE), CENTRE)
 
 
 @query("ego_layout", f"""WITH {_NEIGH}, i AS (SELECT page_id, kind, row_number() OVER (PARTITION BY kind ORDER BY page_id) - 1 AS i, count(*) OVER (PARTITION BY kind) AS n FROM ego),
 a AS (SELECT *, CASE WHEN kind = 'backlink' THEN pi() ELSE 0 END + CASE WHEN n > 1 THEN -radians(170) / 2 + radians(170) * i / (n - 1) ELSE 0 END AS a, CASE WHEN kind = 'current' THEN 0 ELSE 150.0 + (i % 5) * 40 END AS r FROM i)
 SELECT page_id, kind, round(r * cos(a), 3) + 0.0::DOUBLE AS x, round(r * sin(a), 3) + 0.0::DOUBLE AS y FROM a""")
 def _(spark, d):
-    x = graph.layout(graph.ego(site_links(spark, d), all_pages(spark, d), CENTRE))
+    x = graph.layout(graph.ego(graph.around(site_index(spark, d), CENTRE), all_pages(spark, d), CENTRE))
     return x.select("page_id", "kind", (F.round("x", 3) + F.lit(0.0)).alias("x"), (F.round("y", 3) + F.lit(0.0)).alias("y"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions import html, scoring, text, urls
 from lodeseek.functions.stem import stem
-from lodeseek.operators import crawl, embed, graph, index, queues, search, spell, store
+from lodeseek.operators import crawl, embed, graph, index, queues, search, spell, store, vectors
 from lodeseek.sources import tables
 
 
@@ -131,7 +131,7 @@ def small(spark, tmp_path_factory):
     store.build_site(spark.createDataFrame(rows, "page_id long, url string, html string"), folder, 4)
     out = store.build_pages(spark, folder, f"{folder}/words", buckets=4, min_df=1)
     texts = out.table("embed_texts")
-    store.write_vectors(embed.embedded(texts, embed.hashed(16)).select("page_id", "embedding"), folder)
+    vectors.write_vectors(embed.embedded(texts, embed.hashed(16)).select("page_id", "embedding"), folder)
     pics = out.table("images").selectExpr("1L AS image_id", "url", "alt_text")
     embed.embedded(pics, embed.hashed(16), "alt_text").write.parquet(f"{folder}/image_vectors")
     return out
@@ -155,9 +155,8 @@ def test_answer(spark, small):
             search.answer(small, bad, embed.hashed(16))
     with pytest.raises(search.BadRequest):
         search.answer(small, "fox", embed.hashed(16), page="x")
-    empty = store.Stored(spark, small.folder, small.buckets, small.site)
     none = spark.createDataFrame([], "page_id long, embedding array<float>, norm double")
-    gone = type("Gone", (store.Stored,), {"tables": lambda self, words: {**store.Stored.tables(self, words), "vectors": none}})(spark, empty.folder, empty.buckets, empty.site)
+    gone = type("Gone", (store.Stored,), {"tables": lambda self, words, limit=None: {**store.Stored.tables(self, words, limit), "vectors": none}})(spark, small.folder, small.site)
     with pytest.raises(search.NotFound):
         search.answer(gone, "qqqqqqqqqqqqqqqqqqqqqqqqqqq", embed.hashed(16))
 
