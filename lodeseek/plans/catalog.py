@@ -668,35 +668,44 @@ def _(spark, d):
     folder = fresh_folder(spark, "stream")
     # a stream reads a folder or a pattern
     ingest.index_stream(spark, f"{d}/documents.parque[t]", t(spark, d, "documents").schema, f"{folder}/index", f"{folder}/state")
-    post = spark.read.parquet(f"{folder}/index/postings")
+    post = ingest.postings(spark, f"{folder}/index")
     return post.agg(F.count(F.lit(1)).alias("n_postings"), F.count_distinct("term").alias("n_terms"), F.sum("tf").alias("n_tokens"))
 
 
 def _batched_pages(spark, d) -> str:
-    """d's pages, written as three files and indexed as three batches."""
+    """d's pages, in the order of their ids, as three files and batches, after a first one with other versions of a fifth of them."""
     folder = fresh_folder(spark, "stream")
     p = t(spark, d, "pages").select("page_id", "url", "html")
-    for r in range(3):
-        p.filter(F.col("page_id") % 3 == r).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    old = p.filter("page_id % 5 = 0").withColumn("html", F.concat(F.lit("<html><body><h1>former version</h1><p>words that go again "), F.col("page_id").cast("string"), F.lit('<a href="/gone">x</a></p></body></html>')))
+    cuts = p.agg(F.expr("percentile_disc(0.34) WITHIN GROUP (ORDER BY page_id)").alias("a"), F.expr("percentile_disc(0.67) WITHIN GROUP (ORDER BY page_id)").alias("b")).first()
+    place = F.when(F.col("page_id") <= cuts.a, 0).when(F.col("page_id") <= cuts.b, 1).otherwise(2)
+    for part in (old, *(p.filter(place == r) for r in range(3))):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
     ingest.index_stream(spark, f"{folder}/in", p.schema, f"{folder}/index", f"{folder}/state", files_per_batch=1, pages=True)
     return f"{folder}/index"
 
 
-@query("stream_terms", f"WITH {PAGES.replace('QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1', 'WHERE url IS NOT NULL')}, {TAGGED} SELECT term, count(*) AS df FROM tagp GROUP BY term")
+@query("stream_terms", f"WITH {PAGES}, {TAGGED} SELECT term, count(*) AS df FROM tagp GROUP BY term")
 def _(spark, d):
     return ingest.terms(spark, _batched_pages(spark, d))
 
 
-@query("stream_links", f"WITH {PAGES.replace('QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1', 'WHERE url IS NOT NULL')}, {LINKS} SELECT from_page_id, to_page_id FROM links")
+@query("stream_links", f"WITH {PAGES}, {LINKS} SELECT from_page_id, to_page_id FROM links")
 def _(spark, d):
     return ingest.links(spark, _batched_pages(spark, d))
 
 
+@query("stream_postings", f"WITH {PAGES}, {TAGGED} SELECT term, page_id, tf FROM tagp")
+def _(spark, d):
+    return ingest.postings(spark, _batched_pages(spark, d))
+
+
 @query("stream_stats", f"WITH {POSTINGS} SELECT n AS total_documents, round(avg_len, 6) AS avg_doc_length FROM stats")
 def _(spark, d):
     folder = fresh_folder(spark, "stream")
     p = t(spark, d, "documents").select("doc_id", "text")
-    for r in range(2):
-        p.filter(F.col("doc_id") % 2 == r).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    old = p.filter("doc_id % 7 = 0").withColumn("text", F.lit("a former version of a text"))
+    for part in (old, *(p.filter(F.col("doc_id") % 2 == r) for r in range(2))):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
     ingest.index_stream(spark, f"{folder}/in", p.schema, f"{folder}/index", f"{folder}/state", files_per_batch=1)
     return ingest.stats(spark, f"{folder}/index").select("total_documents", F.round("avg_doc_length", 6).alias("avg_doc_length"))
