@@ -618,6 +618,16 @@ def _(spark, d):
     return crawl.over_limit(t(spark, d, "events"), "user_id", "ts", limit=1)
 
 
+@query("rate_limit_requests", """WITH RECURSIVE starts AS (SELECT user_id, min(ts) AS s FROM events GROUP BY user_id
+  UNION ALL SELECT starts.user_id, min(e.ts) FROM starts JOIN events e ON e.user_id = starts.user_id AND e.ts >= s + INTERVAL 10 MINUTE GROUP BY starts.user_id),
+w AS (SELECT e.event_id, e.user_id, e.ts, s.s AS window_start FROM events e ASOF JOIN starts s ON e.user_id = s.user_id AND e.ts >= s.s),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, window_start ORDER BY ts, event_id)::INTEGER AS n FROM w)
+SELECT event_id, user_id, epoch_us(window_start) AS window_us, n, n <= 150 AS allowed FROM n""")
+def _(spark, d):
+    rows = t(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("client"), "ts")
+    return crawl.limited(rows).select(F.col("id").alias("event_id"), F.col("client").alias("user_id"), F.unix_micros("window_start").alias("window_us"), "n", "allowed")
+
+
 @query("domain_cooldown", """SELECT event_id, coalesce(epoch_us(ts) - epoch_us(last) < 3600000000, false) AS blocked FROM (SELECT event_id, ts,
   max(CASE WHEN event_id % 7 = 0 THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM events)""")
 def _(spark, d):

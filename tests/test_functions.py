@@ -234,6 +234,28 @@ def test_cool_down_against_the_plain_rule(spark):
         assert got[i] == any((t - x[2]).total_seconds() < 30 for x in before)
 
 
+@pytest.mark.parametrize("stretch,in_turn", [(10, 5), (60, 100), (3600, 10**6)])
+def test_rate_limit_against_a_plain_loop(spark, stretch, in_turn):
+    """Dense, sparse and tied requests of a hot client and others; windows of 10 seconds."""
+    import random
+
+    rnd, rows = random.Random(stretch), []
+    for i in range(1500):
+        client = None if i % 11 == 0 else 7 if i % 3 else rnd.randrange(5)
+        at = None if i % 97 == 0 else 1_700_000_000_000_000 + rnd.choice([rnd.randrange(400), rnd.randrange(20_000)]) * rnd.choice([1_000_000, 250_000])
+        rows.append((i, client, at))
+    want, state = {}, {}
+    for i, client, at in sorted((r for r in rows if r[2] is not None), key=lambda r: (r[2], r[0])):
+        if client not in state or at >= state[client][0] + 10_000_000:
+            state[client] = [at, 0]
+        state[client][1] += 1
+        want[i] = (client, state[client][0], state[client][1], state[client][1] <= 4)
+    df = spark.createDataFrame(rows, "id long, client long, us long").selectExpr("id", "client", "timestamp_micros(us) AS ts")
+    got = {r.id: (r.client, r.w, r.n, r.allowed) for r in crawl.limited(df, 4, 10, stretch, in_turn).selectExpr("*", "unix_micros(window_start) AS w").collect()}
+    assert got == want and {x[3] for x in want.values()} == {True, False}
+    assert crawl.limited(df.limit(0)).count() == 0
+
+
 def test_metrics_and_log(spark, tmp_path):
     rec = spark.createDataFrame([("ERROR", "2024", "x", 5)], "metricType string, timestamp string, text string, duration_ms int")
     for _ in range(2):
