@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html, scoring, stem, text, urls
-from ..operators import crawl, embed, graph, index, queues, search, spell, store, vectors
+from ..operators import crawl, embed, graph, ids, index, queues, search, spell, store, vectors
 from ..session import fresh_folder
 from ..sources import tables
 from ..streaming import ingest
@@ -710,6 +710,22 @@ def _(spark, d):
     return ingest.postings(spark, _batched_pages(spark, d))
 
 
+@query("url_ids", f"""WITH {_FOUND}, half AS (SELECT percentile_disc(0.5) WITHIN GROUP (ORDER BY page_id) AS h FROM pages),
+said AS (SELECT page_id, {NURL.format('url')} AS url FROM pages UNION ALL SELECT page_id, to_url FROM found),
+firsts AS (SELECT url, min((page_id > h)::INT) AS batch FROM said, half WHERE url IS NOT NULL GROUP BY url)
+SELECT url, row_number() OVER (ORDER BY batch, substr(md5(url), 1, 2), url) - 1 AS page_id FROM firsts""")
+def _(spark, d):
+    """Ids of d's pages and of what they link to, handed out in two batches; the second one begins with URLs of the first."""
+    folder = fresh_folder(spark, "ids")
+    p = t(spark, d, "pages").select("page_id", "url", "html")
+    half = p.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY page_id)")).first()[0]
+    found = index.links_found(html.with_records(p)).select("page_id", F.col("to_url").alias("url"))
+    said = p.select("page_id", urls.normalized(F.col("url")).alias("url")).unionByName(found)
+    for batch, part in enumerate((said.filter(F.col("page_id") <= half), said)):
+        ids.assign(spark, folder, part, batch)
+    return ids.known(spark, folder)
+
+
 @query("stream_stats", f"WITH {POSTINGS} SELECT n AS total_documents, round(avg_len, 6) AS avg_doc_length FROM stats")
 def _(spark, d):
     folder = fresh_folder(spark, "stream")

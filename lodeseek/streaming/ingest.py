@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html, urls
-from ..operators import index, store
+from ..operators import ids, index, store
 
 #: The interval at which waiting rows are flushed.
 FLUSH = "500 milliseconds"
@@ -103,14 +103,23 @@ def _write_words(counts: DataFrame, lengths: DataFrame, sink: str, batch_id: int
     _write(sums, sink, "sums", batch_id)
 
 
-def index_pages(batch: DataFrame, batch_id: int, sink: str) -> None:
-    """The same of a batch of HTML pages, and its pages and links; targets get the ids of blank pages until they are indexed.
+def index_pages(batch: DataFrame, batch_id: int, sink: str, dictionary: str | None = None) -> None:
+    """The same of a batch of HTML pages, and its pages and links.
 
-    Of several pages of a batch with one URL the one with the greatest id stays.
+    Of several pages of a batch with one URL the one with the greatest id stays. With a dictionary's folder, pages and
+    link targets have their ids from there, so that a page keeps the one that links to it had before it came; without,
+    targets get the ids of blank pages until they are indexed.
     """
     spark = batch.sparkSession
     parsed = html.parsed(batch).withColumn("url", urls.normalized(F.col("url"))).filter("url IS NOT NULL")
-    _write(index.latest(parsed, "url", "page_id"), sink, "parsed", batch_id)
+    parsed = index.latest(parsed, "url", "page_id")
+    if dictionary:
+        _write(parsed, sink, "read", batch_id)
+        parsed = _own(spark, sink, "read", batch_id)
+        named = parsed.select("url").unionByName(index.links_found(parsed).select(F.col("to_url").alias("url")))
+        ids.assign(spark, dictionary, named, batch_id)
+        parsed = parsed.drop("page_id").join(ids.known(spark, dictionary), "url")
+    _write(parsed, sink, "parsed", batch_id)
     seen = _own(spark, sink, "parsed", batch_id)
     gone = _replace(seen.select(F.col("url").alias("key"), "page_id"), sink, batch_id)
     _write(index.page_word_counts(seen), sink, "counts", batch_id)
@@ -165,8 +174,10 @@ def stats(spark: SparkSession, sink: str) -> DataFrame:
     return got.select(F.coalesce("n", F.lit(0)).alias("total_documents"), F.coalesce(F.try_divide(F.col("t").cast("double"), F.col("n")), F.lit(0.0)).alias("avg_doc_length"))
 
 
-def links(spark: SparkSession, sink: str) -> DataFrame:
-    """(from_page_id, to_page_id): targets that are pages of any batch by their ids, others by those of blank pages."""
+def links(spark: SparkSession, sink: str, dictionary: str | None = None) -> DataFrame:
+    """(from_page_id, to_page_id): targets by their ids in a dictionary; without one those that are pages of any batch by their ids, others by those of blank pages."""
+    if dictionary:
+        return index.edges(live(spark, sink, "targets"), ids.known(spark, dictionary))
     pages = live(spark, sink, "pages").select(F.col("page_id").alias("to_page_id"), F.col("url").alias("to_url"))
     found = live(spark, sink, "targets").join(pages, "to_url", "left")
     return found.select(F.col("page_id").alias("from_page_id"), F.coalesce("to_page_id", index.blank_id(F.col("to_url"))).alias("to_page_id")).distinct()
