@@ -338,7 +338,7 @@ def _(spark, d):
 
 
 #: Cells around vectors that a hash of the id draws, as many as the root of their number; so many hundredths of them are probed.
-_PROBES = 75
+_PROBES = 85
 ANN = f"""v AS (SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL), size AS (SELECT round(sqrt(count(*)))::BIGINT AS cells FROM v),
 c AS (SELECT row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS cell, embedding FROM v QUALIFY cell < (SELECT cells FROM size)),
 d AS (SELECT e.vec_id, c.cell, {DIST.replace('q.embedding', 'c.embedding')} AS d FROM v e, c),

@@ -232,3 +232,17 @@ def test_vectors_few_none_and_alike(spark, tmp_path):
         vectors.write_vectors(spark.createDataFrame(rows, "page_id long, embedding array<float>"), f"{tmp_path}/{name}")
     alike = store.Stored(spark, f"{tmp_path}/alike")
     assert [r.page_id for r in vectors.nearest_ann(alike, [2.0, 4.0], 5).collect()] == [0, 1, 2, 3, 4]
+
+
+def test_recall_of_the_registered_search(spark):
+    from lodeseek.plans import catalog
+
+    sf = "/root/testdata/sf0.01"
+    rows = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect() if r.embedding is not None}
+    ids, x = np.array(list(rows)), np.array(list(rows.values()))
+    got = {}
+    for r in catalog.queries()["cosine_ann_all"](spark, sf).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = [i for i in range(len(ids)) if ids[i] % 100 == 0]
+    found = [len(got[ids[i]] & {int(ids[j]) for j in exact(x, x[i], 10, i)}) / 10 for i in asked]
+    assert set(got) == {ids[i] for i in asked} and np.mean(found) >= 0.9
