@@ -683,16 +683,19 @@ def _(spark, d):
 
 
 def _batched_pages(spark, d) -> str:
-    """d's pages, in the order of their ids, as three files and batches, after a first one with other versions of a fifth of them."""
+    """d's pages, in the order of their ids, as two files and batches, after a first one with other versions of a fifth of them; indexed once a session."""
+    key = (spark.sparkContext.applicationId, d, "stream")
+    if key in _SITES:
+        return _SITES[key]
     folder = fresh_folder(spark, "stream")
     p = t(spark, d, "pages").select("page_id", "url", "html")
     old = p.filter("page_id % 5 = 0").withColumn("html", F.concat(F.lit("<html><body><h1>former version</h1><p>words that go again "), F.col("page_id").cast("string"), F.lit('<a href="/gone">x</a></p></body></html>')))
-    cuts = p.agg(F.expr("percentile_disc(0.34) WITHIN GROUP (ORDER BY page_id)").alias("a"), F.expr("percentile_disc(0.67) WITHIN GROUP (ORDER BY page_id)").alias("b")).first()
-    place = F.when(F.col("page_id") <= cuts.a, 0).when(F.col("page_id") <= cuts.b, 1).otherwise(2)
-    for part in (old, *(p.filter(place == r) for r in range(3))):
+    half = p.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY page_id)")).first()[0]
+    for part in (old, p.filter(F.col("page_id") <= half), p.filter(F.col("page_id") > half)):
         part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
     ingest.index_stream(spark, f"{folder}/in", p.schema, f"{folder}/index", f"{folder}/state", files_per_batch=1, pages=True)
-    return f"{folder}/index"
+    _SITES[key] = f"{folder}/index"
+    return _SITES[key]
 
 
 @query("stream_terms", f"WITH {PAGES}, {TAGGED} SELECT term, count(*) AS df FROM tagp GROUP BY term")
