@@ -21,11 +21,12 @@ MAX_WORDS, PARTS = 10_000, 64
 KEYS_A_WORD, MAX_LOOKUP = 46, 24
 
 
-def deletions(words: DataFrame) -> DataFrame:
-    """(key, word): each word and what is left of it without one or two of its letters."""
+def deletions(words: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(key, word): each word and what is left of it without one or two of its letters, made in so many tasks."""
     less = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
     one = F.when(F.length("word") > 0, less(F.col("word"))).otherwise(F.array().cast("array<string>"))
-    x = words.select("word").distinct().withColumn("one", F.array_distinct(one))
+    each = words.select("word").distinct()
+    x = (each.repartition(tasks, "word") if tasks else each).withColumn("one", F.array_distinct(one))
     two = F.flatten(F.transform(F.filter("one", lambda w: w != ""), less))
     return x.select(F.explode(F.array_distinct(F.concat(F.array("word"), "one", two))).alias("key"), "word")
 

@@ -58,7 +58,7 @@ def bucket_count(rows: int) -> int:
 def record(spark: SparkSession, folder: str, table: str, **facts) -> None:
     """Notes a table's facts in the manifest of its folder."""
     row = json.dumps({"table": table, "format": FORMAT, **facts})
-    spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest/{table}")
+    spark.range(1, numPartitions=1).select(F.lit(row).alias("value")).write.mode("overwrite").text(f"{folder}/manifest/{table}")
 
 
 def manifest(spark: SparkSession, folder: str) -> dict[str, dict]:
@@ -153,13 +153,14 @@ class Stored:
 def write(df: DataFrame, folder: str, name: str, by: str | None = None, buckets: int | None = None, slices: Column | None = None, tasks: int | None = None, sort: tuple = (), **facts) -> None:
     """Writes a table below a folder; with a key, in partitions by its hash, and its facts into the manifest.
 
-    slices: parts of a key's rows that go to different tasks.
+    slices: parts of a key's rows that go to different tasks. Without them each partition has a task of its own.
     """
     if by is None:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return
     out = df.withColumns({"bucket": bucket(F.col(by), buckets), **({"__slice": slices} if slices is not None else {})})
-    out = out.repartition(tasks or buckets, "bucket", *(["__slice"] if slices is not None else [])).drop("__slice", "__part")
+    out = out.repartitionById(buckets, "bucket") if slices is None else out.repartition(tasks or buckets, "bucket", "__slice")
+    out = out.drop("__slice", "__part")
     out.sortWithinPartitions("bucket", by, *sort).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{name}")
     record(df.sparkSession, folder, name, key=by, buckets=buckets, schema=schema_of(out, "bucket"), **facts)
 
@@ -183,7 +184,8 @@ def build(counts: DataFrame, folder: str, lengths: DataFrame, stems: bool = True
     stem, else a word. buckets: partitions of the tables by term instead of the number that the counts ask for.
     """
     spark = counts.sparkSession
-    write(word_stems(counts, stems), folder, "words")
+    rows = counts.count()
+    write(word_stems(counts, stems, spread(spark, rows)), folder, "words")
     known = spark.read.parquet(f"{folder}/words")
     write(lengths, folder, "lengths")
     lengths = spark.read.parquet(f"{folder}/lengths")
@@ -192,7 +194,6 @@ def build(counts: DataFrame, folder: str, lengths: DataFrame, stems: bool = True
     lo = ids.lo or 0
     n_ranges = max(1, min(MAX_RANGES, ids.n // PAGES_A_RANGE))
     width = max(1, -(-((ids.hi or 0) - lo + 1) // n_ranges))
-    rows = counts.count()
     buckets = buckets or bucket_count(rows)
     base = max(1, math.ceil(rows / (buckets * ROWS_A_BUCKET)))
     uses = counts.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -207,7 +208,7 @@ def build(counts: DataFrame, folder: str, lengths: DataFrame, stems: bool = True
     slices = F.floor(F.col("range") * parts / n_ranges) if more or base > 1 else None
     keep = ("term", "page_id", "tf", "doc_length", "range")
     post = post.withColumn("__part", slices if slices is not None else F.lit(0)).select(*keep, "__part")
-    write(post, folder, "postings", "term", buckets, F.col("__part"), buckets * base + more, ("range", "page_id"), lo=lo, width=width, ranges=n_ranges, rows=rows)
+    write(post, folder, "postings", "term", buckets, F.col("__part") if slices is not None else None, buckets * base + more, ("range", "page_id"), lo=lo, width=width, ranges=n_ranges, rows=rows)
     done = Stored(spark, folder)
     stored = done.table("postings")
     write(stored.groupBy("term").agg(F.count(F.lit(1)).alias("df"), *extremes()), folder, "terms", "term", buckets)
@@ -222,7 +223,8 @@ def build(counts: DataFrame, folder: str, lengths: DataFrame, stems: bool = True
     record(spark, folder, "vocab", schema=schema_of(vocab, "len"))
     from . import spell
 
-    write(spell.deletions(done.table("vocab")), folder, "deletes", "key", bucket_count(n_words * spell.KEYS_A_WORD), sort=("word",))
+    n_keys = n_words * spell.KEYS_A_WORD
+    write(spell.deletions(done.table("vocab"), spread(spark, n_keys)), folder, "deletes", "key", bucket_count(n_keys), sort=("word",))
     record(spark, folder, "index", stems=stems, min_df=min_df)
     return done
 
@@ -298,9 +300,15 @@ def best_postings(stored: Stored, words: list[str], limit: int) -> tuple[DataFra
     return (every.filter(F.col("range").isin(*sorted(kept))) if gone else every), told
 
 
-def word_stems(counts: DataFrame, stems: bool = True) -> DataFrame:
-    """(word, stem) of the distinct words of counts, each stemmed once; words without a stem of two letters go."""
+def spread(spark: SparkSession, rows: int) -> int:
+    """Tasks of a step whose rows are few bytes and much work, so that it isn't left to the one or two tasks that their bytes ask for."""
+    return max(spark.sparkContext.defaultParallelism, bucket_count(rows))
+
+
+def word_stems(counts: DataFrame, stems: bool = True, tasks: int | None = None) -> DataFrame:
+    """(word, stem) of the distinct words of counts, each stemmed once, in so many tasks; words without a stem of two letters go."""
     words = counts.select("word").distinct()
+    words = words.repartition(tasks, "word") if tasks and stems else words
     return words.withColumn("stem", stem.stem_column("word")).filter("length(stem) >= 2") if stems else words.withColumn("stem", F.col("word"))
 
 
@@ -309,15 +317,23 @@ def stemmed(counts: DataFrame, stems: bool = True) -> DataFrame:
     return counts.join(word_stems(counts), "word") if stems else counts.withColumn("stem", F.col("word"))
 
 
-def build_documents(docs: DataFrame, folder: str, stems: bool = False, key: str = "doc_id", column: str = "text", stop_words=text.STOP_WORDS, **kw) -> Stored:
-    """An index of plain documents, whose texts are read once."""
-    spark = docs.sparkSession
+def count_documents(docs: DataFrame, folder: str, key: str = "doc_id", column: str = "text", stop_words=text.STOP_WORDS) -> DataFrame:
+    """Writes the counted words of plain documents, whose texts are read once, and returns them."""
     counts = index.document_tokens(docs, key, column, stop_words).groupBy("page_id", F.col("term").alias("word")).agg(F.count(F.lit(1)).alias("n"))
     write(counts.withColumn("weight", F.lit(1.0)), folder, "counts")
-    counts = spark.read.parquet(f"{folder}/counts")
+    return docs.sparkSession.read.parquet(f"{folder}/counts")
+
+
+def build_counted(counts: DataFrame, folder: str, stems: bool = False, **kw) -> Stored:
+    """An index of counted documents; one over words and one over stems can come from the same counts."""
     return build(counts, folder, counts.groupBy("page_id").agg(F.sum("n").alias("doc_length")), stems, **kw)
 
 
+def build_documents(docs: DataFrame, folder: str, stems: bool = False, key: str = "doc_id", column: str = "text", stop_words=text.STOP_WORDS, **kw) -> Stored:
+    """An index of plain documents."""
+    return build_counted(count_documents(docs, folder, key, column, stop_words), folder, stems, **kw)
+
+
 def build_site(pages: DataFrame, folder: str, buckets: int | None = None) -> None:
     """Writes parsed, targets, pages, links (by either end too), backlinks, images and embed_texts of HTML pages; every page's tree is built once.
 

@@ -62,12 +62,20 @@ def site(spark, d) -> str:
     return _SITES[key]
 
 
+def documents_counts(spark, d) -> DataFrame:
+    """The counted words of d's documents, from which both indexes are built; written once a session."""
+    key = (spark.sparkContext.applicationId, d, "counts")
+    if key not in _SITES:
+        _SITES[key] = store.count_documents(t(spark, d, "documents").select("doc_id", "text"), fresh_folder(spark, "counts"))
+    return _SITES[key]
+
+
 def documents_index(spark, d, stems: bool = False) -> store.Stored:
     """The stored index of d's documents, over words or over stems; written once a session."""
     key = (spark.sparkContext.applicationId, d, stems)
     if key not in _SITES:
         folder = fresh_folder(spark, "index")
-        store.build_documents(t(spark, d, "documents").select("doc_id", "text"), folder, stems)
+        store.build_counted(documents_counts(spark, d), folder, stems)
         _SITES[key] = store.Stored(spark, folder, site(spark, d))
     return _SITES[key]
 
