@@ -79,21 +79,27 @@ def index_documents(batch: DataFrame, batch_id: int, sink: str, stems: bool = Fa
     """Postings, lengths, terms, words and statistics of a batch of documents (an id once in a batch); its texts are read once."""
     spark = batch.sparkSession
     gone = _replace(batch.select(F.col(key).cast("string").alias("key"), F.col(key).alias("page_id")).filter("key IS NOT NULL").distinct(), sink, batch_id)
-    counts = index.document_tokens(batch, key, column).groupBy("page_id", F.col("term").alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    _write(counts.withColumn("weight", F.lit(1.0)), sink, "counts", batch_id)
+    counts = index.document_counts(batch, key, column).drop("doc_length")
+    if not batch.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").isEmpty():  # only then counts move
+        counts = counts.groupBy("page_id", "word", "weight").agg(F.sum("n").alias("n"))
+    _write(counts, sink, "counts", batch_id)
     counts = _own(spark, sink, "counts", batch_id)
-    _write_words(counts, counts.groupBy("page_id").agg(F.sum("n").alias("doc_length")), sink, batch_id, gone, stems)
+    _write_words(counts, counts.groupBy("page_id").agg(F.sum("n").alias("doc_length")), sink, batch_id, gone, stems, True)
 
 
-def _write_words(counts: DataFrame, lengths: DataFrame, sink: str, batch_id: int, gone: DataFrame | None, stems: bool = True) -> None:
+def _write_words(counts: DataFrame, lengths: DataFrame, sink: str, batch_id: int, gone: DataFrame | None, stems: bool = True, single: bool = False) -> None:
+    """single: counts have a row for each page and word, so that without stems they are the postings."""
     spark = counts.sparkSession
     old = lambda name: None if gone is None else _retracted(spark, sink, name, batch_id, gone)
-    pages = lambda df: None if df is None else df.select("page_id", "word").distinct()
+    pages = lambda df: None if df is None else df.select("page_id", "word") if single else df.select("page_id", "word").distinct()
     every = counts.select("word") if gone is None else counts.select("word").unionByName(old("counts").select("word"))
     _write(store.word_stems(every, stems), sink, "stems", batch_id)  # each word is stemmed once
     known = _own(spark, sink, "stems", batch_id)
     _write(_delta(pages(counts), pages(old("counts")), ["word"], "n").join(known, "word"), sink, "words", batch_id)
-    _write(index.postings(counts.join(known, "word"), "stem"), sink, "postings", batch_id)
+    if single and not stems:
+        _write(counts.select(F.col("word").alias("term"), "page_id", (F.col("weight") * F.col("n")).cast("float").alias("tf")), sink, "postings", batch_id)
+    else:
+        _write(index.postings(counts.join(known, "word"), "stem"), sink, "postings", batch_id)
     _write(_delta(_own(spark, sink, "postings", batch_id), old("postings"), ["term"], "df"), sink, "terms", batch_id)
     _write(lengths, sink, "lengths", batch_id)
     rows = _own(spark, sink, "lengths", batch_id).select(F.lit(1).alias("d"), "doc_length")

@@ -3,8 +3,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodeseek.functions import html
 from lodeseek.operators import index, store
 from lodeseek.plans import catalog
+from lodeseek.streaming import ingest
 
 
 def corpus(spark, n):
@@ -45,3 +47,28 @@ def test_a_lookup_needs_no_page_and_no_vector(spark):
     assert {"parsed", "pages", "vectors"} <= set(catalog.site_index(spark, sf).steps)
     catalog.queries()["tag_doc_length"](spark, sf).collect()
     assert {"words", "postings", "deletes"} <= set(catalog.pages_index(spark, sf).steps)
+
+
+def test_each_word_is_stemmed_once(spark):
+    counts = spark.createDataFrame([("likes",), ("likes",), ("s",)], "word string")
+    words = store.word_stems(counts, True, 2)
+    tree = words._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in words.collect()] == [("likes", "like")]
+    assert tree.count("ArrowEvalPython") == 1 and tree.index("ArrowEvalPython") < tree.index("HashAggregate")  # above the distinct
+
+
+def test_workers_get_bounded_batches_of_pages(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    html.with_tag_texts(spark.createDataFrame([(1, "<p>x</p>")], "page_id long, html string"))
+    assert int(spark.conf.get(name)) <= 1000
+    spark.conf.set(name, before)
+
+
+def test_batches_of_a_stream_are_as_many_files_as_they_come_in(spark, tmp_path):
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text")).repartition(4)
+    catalog._fed(spark, str(tmp_path), (rows, rows.withColumn("text", F.lit("fresh words"))))
+    assert len(list(tmp_path.glob("in/*.parquet"))) == 8
+    assert {p.name for p in tmp_path.glob("index/sums/*")} == {"batch=0", "batch=1"}
+    assert tuple(ingest.stats(spark, f"{tmp_path}/index").first()) == (40, 2.0)
