@@ -140,6 +140,45 @@ def test_whole_texts_by_brute_force(model, spark, sf_dir):
     assert np.abs(em.transpose(0, 2, 1) - model.emissions(ids)[0]).max() < 1e-3
 
 
+def test_reader_takes_few_exponentials(model, monkeypatch):
+    """They are what reading costs most: 24 a character (one a cell), where each gate took one too."""
+    taken = 0
+
+    def counted(f):
+        def run(x, *args, **kwargs):
+            nonlocal taken
+            taken += np.size(x)
+            return f(x, *args, **kwargs)
+
+        return run
+
+    ids = np.random.default_rng(2).integers(0, tagger.N_CLASSES, (tagger.SPAN, 2))
+    for name in ("exp", "tanh"):
+        monkeypatch.setattr(np, name, counted(getattr(np, name)))
+    model.reader().emissions(ids, np.full(2, tagger.SPAN))
+    assert 0 < taken <= 2 * tagger.HIDDEN * ids.size
+
+
+def test_reader_is_close_to_double_precision(model):
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, tagger.N_CLASSES, (30, tagger.SPAN))
+    lengths = np.sort(rng.integers(1, tagger.SPAN, 30))
+    em = model.reader().emissions(ids.T, lengths)
+    for k, n in enumerate(lengths):
+        assert np.abs(em[:n, :, k] - model.emissions(ids[k : k + 1, :n])[0][:, 0]).max() < 1e-3
+    # weights so large that gates are shut or open; short, as such a net is chaotic
+    wild = tagger.Tagger({k: v * 9 for k, v in model.p.items()})
+    em = wild.reader().emissions(ids[:, :2].T, np.full(30, 2))
+    assert np.abs(em.transpose(0, 2, 1) - wild.emissions(ids[:, :2])[0]).max() < 0.05
+
+
+def test_windows_are_read_in_even_groups(model, monkeypatch):
+    seqs = [tagger.classes(t) for t in ["Call (555) 867-5309 now. " * 40, "", "x", *[w for w, _ in PLANTED]]]
+    whole = model.reader().spans(seqs)
+    monkeypatch.setattr(tagger, "BATCH", 4)
+    assert model.reader().spans(seqs) == whole and any(whole)
+
+
 def test_long_text_is_reconciled(model):
     text = " ".join(["Call (555) 867-5309 now, the thing ended"] * 4000)
     got = op5.added_spans([text], [[]], model)[0]
